@@ -1,0 +1,6 @@
+"""Queries of the page-bundle engine and their SQL oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
