@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from folioforge.llm import packing, secrets, simhash, substrings, toxicity
+from folioforge.llm import bpe, embeddings, fingerprints, packing, pii, secrets, simhash, substrings, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_bpe": bpe.op2_bpe,
     "op3_substrings": substrings.op3_substrings,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_url_filters": urlrules.op8_url_filters,
+    "op9_embeddings": embeddings.op9_embeddings,
     "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLES = {"op3_substrings": substrings.ORACLE_SQL}
+ORACLES = {"op3_substrings": substrings.ORACLE_SQL, "op8_url_filters": urlrules.ORACLE_SQL}
 
 
 def queries() -> dict:
