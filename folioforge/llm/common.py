@@ -44,22 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stash(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+def stash(df: DataFrame) -> DataFrame:
     """Write df to shared storage and read it back: cuts lineage, survives lost executors.
 
     The driver's garbage collection afterwards lets Spark delete the shuffle
     files of the finished job, so the disk in use is that of one step.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/folioforge-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
     out._stash = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, once the listeners let go of the last job's plan.
+
+    Each keeps its last event until the next one comes, hence the query that
+    runs nothing.
+    """
+    spark.sql("select 1").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.sparkContext._jvm.System.gc()
+
+
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for df in frames:
