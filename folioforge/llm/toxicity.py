@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import arrow_map, table
 
 #: The model is fitted on at most so many labelled rows of each label, drawn by a hash of doc_id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Slots of the hashed feature weights: the size of what each task receives, whatever the corpus.
 SLOTS = 1 << 18
 #: Distinct words whose scores a Python worker remembers.
@@ -110,6 +110,22 @@ def _tag_words(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     return {k for k, n in seen[1].items() if n >= 3 and n * np.log(1 / rate) - seen[0][k] * np.log(1 / (1 - rate)) - 8 * seen[0][k] * rate > 13}
 
 
+def _apart(split: list[list[str]]) -> list[int]:
+    """Places of the texts that share less than a third of their passages with those before them.
+
+    A passage is eight words, taken where the first one's hash says so. Near
+    copies of one text would make each of its words look like a mark.
+    """
+    seen: set[int] = set()
+    out = []
+    for i, words in enumerate(split):
+        own = {zlib.crc32(" ".join(words[k : k + 8]).encode("utf-8", "replace")) for k in range(len(words) - 7) if zlib.crc32(words[k].encode("utf-8", "replace")) % 8 == 0}
+        if 3 * len(own & seen) <= len(own):
+            out.append(i)
+        seen |= own
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float | None = None) -> Model:
     """Tokens of toxic texts that mark them are labelled 1, all others 0; the CRF is fitted to these labels by gradient ascent.
 
@@ -118,29 +134,33 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float | None
     """
     model = Model()
     kept = {t: y for t, y in zip(texts, toxic)}  # copies count once
-    texts, y = list(kept), np.array(list(kept.values()), dtype=bool)
+    split = [t.split() for t in kept]
+    apart = _apart(split)
+    split, y = [split[i] for i in apart], np.array(list(kept.values()), dtype=bool)[apart]
     if not y.any() or y.all():
         return model
-    split = [t.split() for t in texts]
     marks = _tag_words(split, y)
     types: dict[str, int] = {}
-    flat = np.array([types.setdefault(w, len(types)) for words in split for w in words], dtype=np.int64)
-    slots = np.array([features(w) for w in types], dtype=np.int64).reshape(-1, _BUCKETS)
-    marked = np.array([(w := x.strip(_PUNCTUATION).lower()) in marks or w[:5] + "*" in marks for x in types], dtype=bool)
+    flat = np.concatenate([np.array([types.setdefault(w, len(types)) for w in words], dtype=np.int32) for words in split])
     lengths = np.array([len(words) for words in split])
+    del split
+    slots = np.array([features(w) for w in types], dtype=np.int32).reshape(-1, _BUCKETS)
+    marked = np.array([(w := x.strip(_PUNCTUATION).lower()) in marks or w[:5] + "*" in marks for x in types], dtype=bool)
+    del marks
     labels = marked[flat] & np.repeat(y, lengths)
 
     # chains of at most 256 words: the fit needs no longer reach
     first = np.concatenate([[0], np.cumsum(lengths)])
     cut = np.concatenate([np.arange(a, b, 256) for a, b in zip(first, first[1:])]) if len(flat) else np.zeros(0, dtype=np.int64)
     chains = Chains(np.diff(np.concatenate([cut, [len(flat)]])))
-    target = np.empty(len(flat))
+    target = np.empty(len(flat), dtype=bool)
     target[chains.place] = labels
-    kind = np.empty(len(flat), dtype=np.int64)
+    kind = np.empty(len(flat), dtype=np.int32)
     kind[chains.place] = flat
     n, at, active = len(flat), chains.at, chains.active
-    later = np.concatenate([np.arange(at[t + 1], at[t + 2]) for t in range(len(active) - 1)]) if len(active) > 1 else np.zeros(0, dtype=np.int64)
-    earlier = np.concatenate([np.arange(at[t], at[t] + active[t + 1]) for t in range(len(active) - 1)]) if len(active) > 1 else later
+    none = [np.zeros(0, dtype=np.int32)]
+    later = np.concatenate(none + [np.arange(at[t + 1], at[t + 2], dtype=np.int32) for t in range(len(active) - 1)])
+    earlier = np.concatenate(none + [np.arange(at[t], at[t] + active[t + 1], dtype=np.int32) for t in range(len(active) - 1)])
     pairs = np.array([[np.sum((target[earlier] == a) & (target[later] == c)) for c in (0, 1)] for a in (0, 1)], dtype=float)
     w, bias, move = np.zeros(SLOTS), np.log((labels.sum() + 1) / (n + 1)), np.zeros((2, 2))
     gw, gb, gm = np.full(SLOTS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
@@ -150,9 +170,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float | None
         step = target - p
         by_type = np.bincount(kind, weights=step, minlength=len(types))
         grad = np.bincount(slots.ravel(), weights=np.repeat(by_type, _BUCKETS), minlength=SLOTS) - 0.05 * w
-        joint = np.stack([np.stack([np.ones(len(later)), odds[later] * b[later]], 1) * np.exp(move)[a] * (r[earlier][:, None] if a else 1) for a in (0, 1)], 1)
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pull = pairs - joint.sum(axis=0) - 0.05 * move
+        (m00, m01), (m10, m11) = np.exp(move)
+        before, after = r[earlier], odds[later] * b[later]
+        whole = m00 + m01 * after + before * (m10 + m11 * after)
+        expected = np.array([[np.sum(m00 / whole), np.sum(m01 * after / whole)], [np.sum(m10 * before / whole), np.sum(m11 * before * after / whole)]])
+        pull = pairs - expected - 0.05 * move
         gw += grad**2
         w += 0.7 * grad / np.sqrt(gw)
         gb += step.sum() ** 2
