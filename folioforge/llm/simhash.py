@@ -175,27 +175,39 @@ def _wide_fingerprints(width: int):
     return run
 
 
-def _wide_chains(limit: int):
+def _wide_stars(limit: int):
+    """Documents that share a key in, edges out: from each to the least of its component in the group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            members, hubs = [], []
             for rows in batch.column("members").to_pylist():
-                left = np.array([[r["node"], *(r[f"f{k}"] for k in range(WIDE))] for r in rows], dtype=np.int64)
+                left = np.array(sorted([r["node"], *(r[f"f{k}"] for k in range(WIDE))] for r in rows), dtype=np.int64)
                 while len(left):
-                    todo, left = [left[0]], left[1:]
+                    hub, todo, left = left[0, 0], [left[0]], left[1:]
                     while todo and len(left):
-                        x = todo.pop()
-                        near = np.bitwise_count(left[:, 1:] ^ x[1:]).sum(axis=1) <= limit
+                        near = np.bitwise_count(left[:, 1:] ^ todo.pop()[1:]).sum(axis=1) <= limit
                         if near.any():
                             found, left = left[near], left[~near]
-                            out += zip([x[0], *found[:-1, 0]], found[:, 0])
+                            members += found[:, 0].tolist()
+                            hubs += [hub] * len(found)
                             todo += list(found)
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(hubs, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _thin(edges: DataFrame) -> DataFrame:
+    """Edges that connect what edges (member a, hub b) connect: of each member's hubs the least, to which the others are tied.
+
+    A member has a hub for each key at most. Ties between hubs repeat over the
+    members of a group, so few are left of them.
+    """
+    hubs = edges.groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("least", F.array_min("hubs"))
+    tied = hubs.select(F.explode(F.concat(F.array("a"), "hubs")).alias("a"), F.col("least").alias("b"))
+    return tied.where("a <> b").distinct()
+
+
 def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """Components of documents whose word shingles have a Jaccard similarity of about ``similarity`` or more.
 
@@ -225,7 +237,7 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, group:
     sizes = stash(distinct.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     salted = keyed.join(sizes, "key").withColumn("salt", F.expr(f"pmod(xxhash64(node, key), cast(ceil(n / {group}) as bigint))"))
     groups = salted.groupBy("key", "salt").agg(F.collect_list(F.struct("node", *fs)).alias("members")).where("size(members) > 1").select("members")
-    edges = stash(arrow_map(groups, _wide_chains(limit), "a long, b long"))
+    edges = stash(_thin(arrow_map(groups, _wide_stars(limit), "a long, b long")))
     roots = components(edges)
     rooted = stash(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
