@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ _BUCKETS = 4
 def features(word: str) -> list[int]:
     """Slots of a word's features: itself, its first four and five letters, its last four."""
     w = word.strip(_PUNCTUATION).lower()
-    return [zlib.crc32(f"{kind}{part}".encode("utf-8", "replace")) % SLOTS for kind, part in (("w", w), ("a", w[:4]), ("b", w[:5]), ("z", w[-4:]))]
+    crc, parts = zlib.crc32, ("w" + w, "a" + w[:4], "b" + w[:5], "z" + w[-4:])
+    return [crc(p.encode("utf-8", "replace")) % SLOTS for p in parts]
 
 
 class Chains:
@@ -74,7 +77,18 @@ class Model:
     document: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0, 0, 0]))
 
     def odds(self, word: str) -> float:
-        return float(np.exp(np.clip(self.bias + self.weights[features(word)].sum(), -30, 30)))
+        w = self._listed()
+        a, b, c, d = features(word)
+        return math.exp(min(30.0, max(-30.0, self.bias + w[a] + w[b] + w[c] + w[d])))
+
+    def _listed(self) -> list[float]:
+        """The weights as a list, which is faster to look up one by one."""
+        if "_list" not in self.__dict__:
+            self._list = self.weights.tolist()
+        return self._list
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_list"}
 
 
 def _summaries(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -218,7 +232,7 @@ def tag(model: Model, texts: list[str], memo: _Memo | None = None) -> tuple[np.n
     split = [t.split() for t in texts]
     lengths = np.array([len(w) for w in split], dtype=np.int64)
     total = int(lengths.sum())
-    flat = np.fromiter((memo[w] for words in split for w in words), dtype=np.float64, count=total)
+    flat = np.fromiter(chain.from_iterable(map(memo.__getitem__, words) for words in split), dtype=np.float64, count=total)
     chains = Chains(lengths)
     odds = np.empty(total)
     odds[chains.place] = flat
