@@ -12,6 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import arrow_map, table
 
-#: Distinct pieces, and pairs of tokens, that a Python worker remembers.
-PIECES, PAIRS = 300_000, 1_000_000
+#: Distinct pieces, prefixes and pairs of tokens that a Python worker remembers.
+PIECES, PREFIXES, PAIRS = 500_000, 500_000, 1_000_000
+#: Bytes up to which a piece looks its prefixes up among those of all pieces; longer ones are read from the front.
+SHORT = 64
 _NEVER = 1 << 62
 
 
@@ -38,6 +41,13 @@ class Vocabulary:
             lengths.setdefault(b[-1], set()).add(len(b))
         #: Lengths of the tokens that end in a byte, longest first.
         self.lengths = {b: sorted(n, reverse=True) for b, n in lengths.items()}
+        self._last: dict[bytes, int] = {}
+        ends: dict[bytes, set[int]] = {}
+        for b in ranks:
+            if len(b) > 1:
+                ends.setdefault(b[-2:], {1}).add(len(b))
+        #: Lengths of the tokens that may end in two bytes, longest first.
+        self._ends = {b: sorted(n, reverse=True) for b, n in ends.items()}
         self._formed: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
 
@@ -91,6 +101,38 @@ class Vocabulary:
         return held
 
 
+    def last(self, prefix: bytes) -> int:
+        """The last token of the encoding of a short prefix, which is the same in whatever stands behind it."""
+        token = self._last.get(prefix)
+        if token is None:
+            size, ranks = len(prefix), self.ranks
+            for n in self._ends.get(prefix[-2:], (1,)):
+                if n > size or (token := ranks.get(prefix[size - n :])) is None:
+                    continue
+                if n == size:
+                    if self.reachable(token):
+                        break
+                    continue
+                before = self.last(prefix[: size - n])
+                held = self._pairs.get((before, token))
+                if self.adjacent(before, token) if held is None else held:
+                    break
+            else:
+                raise ValueError("a byte is not in the vocabulary")
+            self._last[prefix] = token
+        return token
+
+    def encode_short(self, data: bytes) -> list[int]:
+        out = []
+        while data:
+            token = self.last(data)
+            out.append(token)
+            data = data[: -len(self.bytes[token])]
+        if len(self._last) >= PREFIXES:
+            self._last.clear()
+        return out[::-1]
+
+
 class Prefixes:
     """Bytes, and for each of their prefixes the last token of its encoding."""
 
@@ -156,7 +198,12 @@ class Encoder:
     def piece(self, piece: str) -> tuple[list[int], str]:
         data = piece.encode("utf-8")
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()
+        if whole is not None:
+            ids = [whole]
+        elif len(data) <= SHORT:
+            ids = self.vocabulary.encode_short(data)
+        else:
+            ids = Prefixes(self.vocabulary, data).tokens()
         if len(self.known) >= PIECES:
             self.known.clear()
         out = self.known[piece] = (ids, " ".join(map(str, ids)))
@@ -170,7 +217,7 @@ class Encoder:
         """Ids, and the same in decimal, joined by spaces."""
         known, piece = self.known.get, self.piece
         found = [known(p) or piece(p) for p in self.find(text)]
-        return [i for ids, _ in found for i in ids], " ".join([s for _, s in found])
+        return list(chain.from_iterable([ids for ids, _ in found])), " ".join([s for _, s in found])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
