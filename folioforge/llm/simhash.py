@@ -233,9 +233,10 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, group:
         for j in chosen:
             key = F.shiftleft(key, BLOCK).bitwiseOR(blocks[j])
         keys.append(key)
-    keyed = distinct.select("node", *fs, F.explode(F.array(*keys)).alias("key"))
-    sizes = stash(distinct.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    salted = keyed.join(sizes, "key").withColumn("salt", F.expr(f"pmod(xxhash64(node, key), cast(ceil(n / {group}) as bigint))"))
+    keyed = distinct.select("node", F.explode(F.array(*keys)).alias("key"))
+    sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stash(keyed.join(sizes, "key"))
+    salted = shared.join(distinct.select("node", *fs), "node").withColumn("salt", F.expr(f"pmod(xxhash64(node, key), cast(ceil(n / {group}) as bigint))"))
     groups = salted.groupBy("key", "salt").agg(F.collect_list(F.struct("node", *fs)).alias("members")).where("size(members) > 1").select("members")
     edges = stash(_thin(arrow_map(groups, _wide_stars(limit), "a long, b long")))
     roots = components(edges)
