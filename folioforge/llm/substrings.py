@@ -274,12 +274,14 @@ def substring_dedup(docs: DataFrame, *, target: int = 35, start: int | None = No
     become empty, repeated rows too. Null texts count as empty and come back
     empty. Ids play no part; null ids and other columns pass through.
     """
-    keyed, told = repeated_windows(docs, target=target, start=start)
-    keyed = keyed.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = keyed.join(told, "k1", "left")
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_words long, n_removed long, text string"])
-    return arrow_map(joined, _removal(target, True), schema)
+    others = [f"`{c}`" for c in docs.columns if c not in ("text", "n_words", "n_removed")]
+    # other columns travel as one, so that their names clash with none here
+    carried = F.struct(*others) if others else F.lit(None).cast("string")
+    given = docs.select(carried.alias("carried"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed, told = repeated_windows(given, target=target, start=start)
+    kind = given.schema["carried"].dataType.simpleString()
+    done = arrow_map(keyed.join(told, "k1", "left"), _removal(target, True), f"carried {kind}, n_words long, n_removed long, text string")
+    return done.select(*(["carried.*"] if others else []), "text", "n_words", "n_removed")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
