@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioforge.llm.common import arrow_map, as_bytes, components, stash, table
+from folioforge.llm.common import arrow_map, as_bytes, components, stash, table, unstash
 
 SEED = 42
 #: Groups above this many fingerprints get finer blocks before they are compared.
@@ -142,18 +142,25 @@ def simhash(docs: DataFrame, *, width: int = 3, distance: int = 3, blocks: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For similarity: words of 64 bits a document, blocks of 8 bits, blocks in a key, keys.
-WIDE, BLOCK, PER_KEY, KEYS = 4, 8, 3, 64
+#: For similarity: words of 64 sign bits a document, least shingles of a document that serve as its keys.
+WIDE, KEYS = 4, 24
+#: Sign bits that may differ in a pair to be verified: from SHORT shingles on, and below. At Jaccard 0.8 the mean is
+#: 39 and 5.7 the deviation; of few shingles up to 48 and 6.2. Either limit lies six deviations off.
+SHORT, FAR, FAR_SHORT = 64, 73, 86
 
 
-def wide_fingerprint(text: bytes | None, width: int) -> np.ndarray:
-    """WIDE * 64 sign bits of the text's word shingles; each word of bits mixes the XXH64 anew."""
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The different XXH64 of the text's word shingles, ascending; of fewer words than width all are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
-    n = max(1, len(words) - width + 1)
+        return np.zeros(0, dtype=np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n)
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=max(1, len(words) - width + 1)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE * 64 sign bits of different shingles; each word of bits mixes their XXH64 anew."""
+    n = len(hashes)
     ones = np.zeros((WIDE, 64), dtype=np.int64)
     lanes = np.uint64(0x0101010101010101)
     for k in range(WIDE):
@@ -166,80 +173,242 @@ def wide_fingerprint(text: bytes | None, width: int) -> np.ndarray:
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _wide_fingerprints(width: int):
+def _prefix(n: int, similarity: float) -> int:
+    """So many first shingles, in any one order of all: two sets that are similar share one of them."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _shingled(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in as_bytes(batch.column("text"))]
+            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            bits = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            keys = _lists([s[: min(KEYS, _prefix(len(s), similarity))] for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(bits[:, k]) for k in range(WIDE)), keys, _lists(sets)],
+                names=["doc_id", "node", "n", *(f"f{k}" for k in range(WIDE)), "keys", "shingles"],
+            )
+
+    return run
+
+
+def _rekeyed(crowded: np.ndarray, similarity: float):
+    """Shingle sets in, the whole prefix of each out, in an order that puts crowded shingles last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([wide_fingerprint(t, width) for t in as_bytes(batch.column("text"))], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, k]) for k in range(WIDE))], names=["doc_id", *(f"f{k}" for k in range(WIDE))])
+            lists = batch.column("shingles")
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            ends, keys = ends - ends[0], []
+            for lo, hi in zip(ends, ends[1:]):
+                last = np.isin(flat[lo:hi], crowded)
+                keys.append(np.concatenate([flat[lo:hi][~last], flat[lo:hi][last]])[: _prefix(hi - lo, similarity)].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(keys)], names=["node", "keys"])
 
     return run
 
 
-def _wide_stars(limit: int):
-    """Documents that share a key in, edges out: from each to the least of its component in the group."""
+def _near(x: int, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may be similar to row x, by size (exactly) and sign bits."""
+    size = np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-9
+    far = np.where((n < SHORT) | (n[x] < SHORT), FAR_SHORT, FAR)
+    return size & (np.bitwise_count(bits ^ bits[x]).sum(axis=1) <= far)
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    lists = batch.column("members")
+    rows, ends = lists.flatten(), lists.offsets.to_numpy()
+    columns = {rows.type.field(i).name: c.to_numpy(zero_copy_only=False) for i, c in enumerate(rows.flatten())}
+    keys = columns.pop("keys")
+    bits = np.stack([columns[f"f{k}"] for k in range(WIDE)], axis=1).view(np.uint64)  # of a negative number, bitwise_count takes the absolute value
+    named = zip(batch.column("anew").to_pylist(), batch.column("key").to_pylist(), ends - ends[0], ends[1:] - ends[0])
+    for anew, key, lo, hi in named:
+        yield {name: c[lo:hi] for name, c in columns.items()} | {"bits": bits[lo:hi], "before": _before(keys[lo:hi], 0 if anew else key)}
+
+
+def _before(keys: np.ndarray, key: int) -> np.ndarray:
+    """The keys of each row that come before this one, by a number each from 1, 0 where none is left; none for new keys."""
+    rows = [k.view(np.uint64)[k.view(np.uint64) < np.int64(key).view(np.uint64)] for k in keys]
+    out = np.zeros((len(rows), KEYS), dtype=np.uint64)
+    for row, k in zip(out, rows):
+        row[: len(k)] = k
+    return out
+
+
+def _first_here(g: dict[str, np.ndarray], x: int, rows: np.ndarray) -> np.ndarray:
+    """Which of the rows share no earlier key with row x, as pairs that do are seen to in that key's group."""
+    own = g["before"][x]
+    return ~np.isin(g["before"][rows], own[own > 0]).any(axis=1)
+
+
+def _trees(similarity: float):
+    """Groups in, pairs to verify out: a tree over each set of rows connected by what may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members, hubs = [], []
-            for rows in batch.column("members").to_pylist():
-                left = np.array(sorted([r["node"], *(r[f"f{k}"] for k in range(WIDE))] for r in rows), dtype=np.int64)
-                while len(left):
-                    hub, todo, left = left[0, 0], [left[0]], left[1:]
+            first, second = [], []
+            for g in _members(batch):
+                left = np.argsort(g["node"])
+                while len(left) > 1:
+                    todo, left = [left[0]], left[1:]
                     while todo and len(left):
-                        near = np.bitwise_count(left[:, 1:] ^ todo.pop()[1:]).sum(axis=1) <= limit
-                        if near.any():
-                            found, left = left[near], left[~near]
-                            members += found[:, 0].tolist()
-                            hubs += [hub] * len(found)
-                            todo += list(found)
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(hubs, pa.int64())], names=["a", "b"])
+                        x = todo.pop()
+                        rows = np.concatenate([[x], left])
+                        near = _near(0, g["n"][rows], g["bits"][rows], similarity)[1:]
+                        near[near] = _first_here(g, x, left[near])
+                        found, left = left[near], left[~near]
+                        first += [g["node"][x]] * len(found)
+                        second += g["node"][found].tolist()
+                        todo += found.tolist()
+            a, b = np.array([first, second], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _thin(edges: DataFrame) -> DataFrame:
-    """Edges that connect what edges (member a, hub b) connect: of each member's hubs the least, to which the others are tied.
+def _apart(similarity: float):
+    """Groups in, out the rows that may be similar to one of another component."""
 
-    A member has a hub for each key at most. Ties between hubs repeat over the
-    members of a group, so few are left of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, nodes = [], []
+            for place, g in enumerate(_members(batch)):
+                roots, counts = np.unique(g["root"], return_counts=True)
+                if len(roots) < 2:
+                    continue
+                open_ = np.zeros(len(g["node"]), dtype=bool)
+                for x in np.flatnonzero(g["root"] != roots[counts.argmax()]):  # each such pair has an end outside the largest
+                    near = _near(x, g["n"], g["bits"], similarity) & (g["root"] != g["root"][x])
+                    near[near] = _first_here(g, x, np.flatnonzero(near))
+                    if near.any():
+                        open_ |= near
+                        open_[x] = True
+                nodes += g["node"][open_].tolist()
+                places += [place] * int(open_.sum())
+            at = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in GROUPED), pa.array(nodes, pa.int64())], names=[*GROUPED, "node"])
+
+    return run
+
+
+def _verified(similarity: float):
+    """Pairs with both shingle sets in, the similar ones out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, i), (y, j) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("x"), batch.column("y")))
+            good = []
+            for k in range(batch.num_rows):
+                both = len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True))
+                good.append(both >= similarity * (i[k + 1] - i[k] + j[k + 1] - j[k] - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _across(similarity: float):
+    """One group with shingle sets in, out edges that connect its components wherever two rows of them are similar."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, root, n = (rows[c].to_numpy().copy() for c in ("node", "root", "n"))
+        bits = np.stack([rows[f"f{k}"].to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
+        names, ids = np.unique(rows["shingles"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+        starts = np.cumsum([0, *n])
+        edges = []
+        for x in range(len(node)):
+            near = np.flatnonzero(_near(x, n, bits, similarity) & (root != root[x]))
+            near = near[near > x]
+            if not len(near):
+                continue
+            mark = np.zeros(len(names), dtype=bool)
+            mark[ids[starts[x] : starts[x + 1]]] = True
+            for y in near:
+                both = int(mark[ids[starts[y] : starts[y + 1]]].sum())
+                if root[y] != root[x] and both >= similarity * (n[x] + n[y] - both) - 1e-9:
+                    edges.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+#: What names a group: 1 for keys anew, the key, and two chunks of a key that stays crowded.
+GROUPED = ["anew", "key", "i", "j"]
+
+
+def _groups(distinct: DataFrame, sets: DataFrame, similarity: float, group: int) -> DataFrame:
+    """Rows (GROUPED, node): any two similar documents are in one of the groups, each of about ``group`` at most.
+
+    The keys are a document's least shingles. The least shingle that two
+    similar ones share is among the first KEYS of both unless KEYS of only one
+    come before, 0.2 ** KEYS at 0.8. Documents with a crowded key get new ones:
+    the whole prefix, in an order with all shingles last that more than
+    ``group`` of them hold. What is crowded still consists of documents
+    that are made of such shingles; all pairs of its chunks are groups.
     """
-    hubs = edges.groupBy("a").agg(F.collect_set("b").alias("hubs")).withColumn("least", F.array_min("hubs"))
-    tied = hubs.select(F.explode(F.concat(F.array("a"), "hubs")).alias("a"), F.col("least").alias("b"))
-    return tied.where("a <> b").distinct()
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = keyed.join(sizes, "key")
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j")]
+    out = shared.where(F.col("size") <= group).select(F.lit(0).alias("anew"), "key", *whole, "node")
+    if sizes.where(F.col("size") > group).isEmpty():
+        return stash(out)
+    hot = stash(_sets_of(sets, shared.where(F.col("size") > group).select("node").distinct()))
+    crowded = hot.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group)
+    crowded = np.array([r.key for r in crowded.select("key").collect()], dtype=np.int64)
+    anew = stash(arrow_map(hot, _rekeyed(crowded, similarity), "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
+    anew = anew.join(stash(anew.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")), "key")
+    chunks = F.when(F.col("size") <= group, 1).otherwise(F.ceil(F.col("size") * 2 / group)).cast("int")
+    dealt = anew.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return stash(out.unionByName(dealt.select(F.lit(1).alias("anew"), "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node")))
+
+
+def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    nodes = stash(nodes)  # so that few are broadcast, and the sets that nobody asks for not dealt out
+    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """Components of documents whose word shingles have a Jaccard similarity of about ``similarity`` or more.
-
-    At that similarity about 15 % of sign bits differ, too many for 64 bits and
-    few blocks, so a document has WIDE * 64 bits. Its blocks of BLOCK bits are
-    drawn into KEYS keys of PER_KEY blocks each; documents that share a key are
-    verified on all bits. A group above ``group`` is salted anew for each key,
-    so that its copies meet in other chunks under other keys. Returns one row
-    per input row: doc_id, component_id. Nulls, blanks and ties as in simhash.
+    """Components of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Documents that share a key (see _groups) and may be similar by size and by
+    WIDE * 64 sign bits are verified on their whole shingle sets. First a tree
+    of such pairs is verified in each group, which settles groups of copies in
+    linear time; then all pairs of a group that are in different components
+    still. Returns one row per input row: doc_id, component_id. Nulls, blanks
+    and ties as in simhash.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    limit = round(WIDE * 64 * np.arccos(cosine) / np.pi)
-    prints = stash(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _wide_fingerprints(width), "doc_id long, " + ", ".join(f"f{k} long" for k in range(WIDE))))
     fs = [f"f{k}" for k in range(WIDE)]
-    prints = prints.withColumn("node", F.xxhash64(*fs))
-    distinct = stash(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(f).alias(f) for f in fs)))
-    blocks = [F.shiftrightunsigned(f, i).bitwiseAND(F.lit((1 << BLOCK) - 1)) for f in fs for i in range(0, 64, BLOCK)]
-    draw = np.random.default_rng(SEED)
-    choices = [sorted(draw.choice(len(blocks), PER_KEY, replace=False).tolist()) for _ in range(KEYS)]
-    keys = []
-    for i, chosen in enumerate(choices):
-        key = F.lit(i).cast("long")
-        for j in chosen:
-            key = F.shiftleft(key, BLOCK).bitwiseOR(blocks[j])
-        keys.append(key)
-    keyed = distinct.select("node", F.explode(F.array(*keys)).alias("key"))
-    sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = stash(keyed.join(sizes, "key"))
-    salted = shared.join(distinct.select("node", *fs), "node").withColumn("salt", F.expr(f"pmod(xxhash64(node, key), cast(ceil(n / {group}) as bigint))"))
-    groups = salted.groupBy("key", "salt").agg(F.collect_list(F.struct("node", *fs)).alias("members")).where("size(members) > 1").select("members")
-    edges = stash(_thin(arrow_map(groups, _wide_stars(limit), "a long, b long")))
-    roots = components(edges)
+    schema = "doc_id long, node long, n int, " + ", ".join(f"{f} long" for f in fs) + ", keys array<long>, shingles array<long>"
+    prints = stash(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _shingled(width, similarity), schema))
+    sets = prints.select("node", "shingles")
+    distinct = stash(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ["n", *fs, "keys"])))
+    grouped = _groups(distinct, sets, similarity, group)
+    sketched = distinct.select("node", "n", *fs)
+    known = distinct.select("node", "n", *fs, "keys")
+    gathered = lambda rows, *more: rows.groupBy(*GROUPED).agg(F.collect_list(F.struct("node", "n", *fs, "keys", *more)).alias("members")).where("size(members) > 1")
+    pairs = stash(arrow_map(gathered(grouped.join(known, "node")), _trees(similarity), "a long, b long").distinct())
+    needed = stash(_sets_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    paired = pairs.join(needed.toDF("a", "x"), "a").join(needed.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    edges = stash(arrow_map(paired, _verified(similarity), "a long, b long"))
+    unstash(needed, pairs)
+    roots = stash(components(edges))
+    labelled = grouped.join(known, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = stash(arrow_map(gathered(labelled, "root"), _apart(similarity), "anew int, key long, i int, j int, node long"))
+    if not apart.isEmpty():
+        filled = apart.join(_sets_of(sets, apart.select("node").distinct()), "node").join(sketched, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = stash(filled.groupBy(*GROUPED).applyInArrow(_across(similarity), "a long, b long"))
+        roots = components(edges.unionByName(more))
     rooted = stash(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = stash(rooted.join(least, "root").select("node", "component_id"))

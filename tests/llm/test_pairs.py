@@ -86,6 +86,28 @@ def test_keep_one(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, rows)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+@pytest.mark.parametrize("group", [simhash.GROUP])
+def test_similar(spark, group):
+    draw = random.Random(6)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    rows = []
+    for k in range(160):  # lone pairs around the threshold
+        text = words(draw, draw.choice([12, 60, 300])).split()
+        rows.append(" ".join(text))
+        for at in draw.sample(range(len(text)), max(1, len(text) * (1 + k % 4) // 90)):
+            text[at] = f"other{draw.randrange(10**6)}"
+        rows.append(" ".join(text))
+    boiler = words(draw, 120)  # a template whose documents share most shingles, of which few pairs are similar
+    for _ in range(30):
+        tail = words(draw, 60)
+        rows += [f"{boiler} {tail}"] + [f"{boiler} {tail} {words(draw, 12)}"] * (draw.randrange(2))
+    rows += [f"{boiler} {words(draw, 3)}" for _ in range(30)] + ["", " "]
+    sets = [shingles(t) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(rows))), group=group).collect()}
+    assert got == joined(pairs, range(len(rows)))
+
+
 def removed(texts, width):
     split = [(t or "").split(" ") if t else [] for t in texts]
     split = [[w for w in s if w] for s in split]
