@@ -86,7 +86,7 @@ def test_keep_one(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, rows)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP])
+@pytest.mark.parametrize("group", [simhash.GROUP, 8])
 def test_similar(spark, group):
     draw = random.Random(6)
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
