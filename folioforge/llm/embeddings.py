@@ -11,11 +11,25 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import arrow_map, components, stash, table, unstash
 
-#: Sign bits of a vector in each pass, passes, passes sorted at a time (each deals out all vectors once).
+#: Sign bits of a vector in each pass, least passes, passes sorted at a time (each deals out all vectors once).
 BITS, PASSES, TOGETHER = 48, 16, 4
 #: Neighbours compared on each side, rows of a run of the order that one task compares, rows of a block of a component.
 WINDOW, RUN, BLOCK = 64, 4096, 512
 SEED = 20
+#: Chance that all passes miss a pair of the least cosine that stands alone.
+MISS = 0.001
+
+
+def passes_for(rows: int, least: float, window: int) -> int:
+    """Passes that miss a lone pair of cosine ``least`` among so many vectors with a chance of about MISS.
+
+    Two vectors meet in a pass if they agree in the log2(rows / window) leading
+    bits, after which about a window of vectors is left; each bit agrees with
+    the chance of 1 - angle / pi.
+    """
+    bits = max(0.0, float(np.log2(max(1, rows) / window)))
+    met = (1 - np.arccos(least) / np.pi) ** bits
+    return max(PASSES, int(np.ceil(np.log(MISS) / np.log1p(-met)))) if met < 1 else PASSES
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -135,13 +149,14 @@ def near_links(vectors: DataFrame, *, least: float = 0.9, passes: int = PASSES,
     return out.distinct()
 
 
-def near_duplicates(rows: DataFrame, *, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, least: float = 0.9, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """Links of cosine ``least`` or more among rows (vec_id, embedding), and their components.
 
     Returns one row per input row: vec_id, n_links (other rows linked
     directly), component_id (the smallest vec_id reachable, itself included),
     kept (vec_id = component_id). Equal vectors are compared once and link with
-    each other. The passes find the components; within each, all its vectors
+    each other. The passes, by default as many as passes_for says for the
+    vectors there are, find the components; within each, all its vectors
     are then compared block by block, so n_links has every link there is in
     it. Vectors that are null, empty, zero or hold null or non-finite
     components, and vectors of other lengths, link with nothing. A null vec_id
@@ -154,6 +169,8 @@ def near_duplicates(rows: DataFrame, *, least: float = 0.9, passes: int = PASSES
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), floats.alias("embedding")).withColumn("node", F.when(sound, F.xxhash64("embedding")))
     ids = stash(rows.select("vec_id", "node"))
     vectors = stash(rows.where("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("copies")))
+    if passes is None:
+        passes = passes_for(vectors.count(), least, window)
     roots = stash(components(near_links(vectors.select("node", "embedding"), least=least, passes=passes, window=window)))
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))

@@ -156,3 +156,15 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903, 904))
     assert got[905].n_links == 2 and got[905].component_id == 905 and not got[None].kept
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_lone_pairs(spark):
+    assert embeddings.passes_for(50, 0.9, 64) == embeddings.PASSES and embeddings.passes_for(3_000_000, 0.9, 64) > 70
+    draw = np.random.default_rng(7)
+    x, off = draw.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    y = 0.902 * x + np.sqrt(1 - 0.902**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    data = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>"), window=1)
+    assert got.where("vec_id >= 1000 and component_id = vec_id - 1000 and n_links = 1").count() >= 990
