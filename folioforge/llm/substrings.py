@@ -99,6 +99,24 @@ class Words:
         return base + np.arange(int(fits.sum()))
 
 
+#: Words of a piece of work whose places fit beside their hashes in 64 bits; texts of more words take more steps.
+PLACES = 1 << 24
+
+
+def _chosen_long(h: np.ndarray, parts: np.ndarray, starts: np.ndarray, span: int, n: int) -> np.ndarray:
+    """As in _chosen, for any number of words: places of the least hashes are kept apart from the hashes."""
+    key = np.full(n + span, ~np.uint64(0), dtype=np.uint64)
+    key[parts] = h >> np.uint64(24)  # the bits that _chosen compares
+    at = np.arange(n + span, dtype=np.int64)
+    step = 1
+    while step * 2 <= span:
+        other = np.concatenate([at[step:], at[-step:]])
+        at = np.where(key[other] < key[at], other, at)
+        step *= 2
+    one, other = at[starts], at[starts + span - step]
+    return np.where(key[other] < key[one], other, one)
+
+
 def _chosen(words: Words, starts: np.ndarray, target: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For windows of ``target`` words at ``starts`` (all windows of the batch): the word at which the least part of ``width`` words starts.
 
@@ -110,10 +128,13 @@ def _chosen(words: Words, starts: np.ndarray, target: int, width: int) -> tuple[
     h = words.hashes(parts, width)
     full = np.zeros(len(words.start), dtype=np.uint64)
     full[parts] = h
-    low = np.uint64((1 << 24) - 1)
-    key = np.full(len(words.start), ~np.uint64(0), dtype=np.uint64)
+    if len(words.start) >= PLACES:
+        return _chosen_long(h, parts, starts, target - width + 1, len(words.start)), full
+    low = np.uint64(PLACES - 1)
+    span = target - width + 1
+    key = np.full(len(words.start) + span, ~np.uint64(0), dtype=np.uint64)
     key[parts] = (h & ~low) | parts.astype(np.uint64)  # ties go to the leftmost
-    span, step, least = target - width + 1, 1, key
+    step, least = 1, key
     while step * 2 <= span:
         least = np.minimum(least, np.concatenate([least[step:], np.full(step, ~np.uint64(0))]))
         step *= 2
@@ -126,7 +147,8 @@ def _chosen(words: Words, starts: np.ndarray, target: int, width: int) -> tuple[
 
 def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
     """One row for each text of the batch: copies add nothing but work."""
-    _, at = np.unique(batch.column("k1").to_numpy(), return_index=True)
+    both = np.stack([batch.column("k1").to_numpy(), batch.column("k2").to_numpy()], axis=1)
+    _, at = np.unique(both, axis=0, return_index=True)
     return batch if len(at) == len(batch) else batch.take(pa.array(np.sort(at)))
 
 
@@ -163,6 +185,12 @@ def _alive(words: Words, places: list, target: int, width: int) -> np.ndarray:
     return starts[marked[chosen]]
 
 
+def _copies(batch: pa.RecordBatch) -> pa.Array:
+    """How many rows have each row's text: of the copied texts that share the first half of its key, the one with its second half."""
+    out = [1 if own is None else next((c["copies"] for c in own if c["k2"] == k), 1) for own, k in zip(batch.column("copied").to_pylist(), batch.column("k2").to_pylist())]
+    return pa.array(out, pa.int64())
+
+
 def _next_level(target: int, width: int, wider: int):
     """Texts and places of the parts that are repeated; hash, key and place of wider parts out."""
 
@@ -185,10 +213,11 @@ def _next_level(target: int, width: int, wider: int):
                         pa.array(words.hashes(picked, wider, 0).view(np.int64)),
                         pa.array(words.hashes(picked, wider, 1).view(np.int64)),
                         batch.column("k1").take(take),
+                        batch.column("k2").take(take),
                         pa.array((picked - words.first[text]).astype(np.int32)),
-                        batch.column("copies").take(take),
+                        _copies(batch).take(take),
                     ],
-                    names=["h", "g", "k1", "pos", "copies"],
+                    names=["h", "g", "k1", "k2", "pos", "copies"],
                 )
 
     return run
@@ -222,7 +251,7 @@ def _removal(target: int, with_text: bool):
                     # a text that loses nothing stays as it is, its spaces too
                     texts = batch.column("text").cast(pa.binary()).to_pylist()
                     out.append(pa.array([k if r else t for k, r, t in zip(kept, removed, texts)], pa.binary()).cast(pa.string()))
-                    names = [n for n in batch.schema.names if n not in ("k1", "places", "copies", "text")]
+                    names = [n for n in batch.schema.names if n not in ("k1", "k2", "places", "copies", "text")]
                 else:
                     out.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept]))
                     names = ["doc_id"]
@@ -231,37 +260,48 @@ def _removal(target: int, with_text: bool):
     return run
 
 
+KEY = ["k1", "k2"]
+
+
 def repeated_windows(docs: DataFrame, *, target: int = 35, start: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keyed texts (docs with k1, a hash of the text), and by k1 the places of repeated windows and the copies of the text.
+    """Keyed texts (docs with k1 and k2, 128 bits of a hash of the text), and by key the places of repeated windows and the copies of the text.
 
     Level by level: a window's least part of ``start`` words is counted over
     the corpus, windows whose part stands alone are dropped, the others are
-    tested with parts twice as long, up to the whole window. Each repeated
-    window passes every level, as its copies choose the same parts. The last
-    level compares 128-bit hashes of the whole window.
+    tested with parts twice as long, up to the whole window: 9, 18 and 35 words
+    by default. Each repeated window passes every level, as its copies choose
+    the same parts. The last level compares 128-bit hashes of the whole window.
+    Before it, places go by k1 alone: texts that share it only add candidates.
     """
-    widths = [start or (target + 1) // 2]
+    widths = [start or -(-target // 4)]
     while widths[-1] < target:
         widths.append(min(target, widths[-1] * 2))
-    keyed = docs.withColumn("k1", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    texts = keyed.select("k1", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    copies = stash(texts.groupBy("k1").agg(F.count("*").alias("copies")).where("copies > 1"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
+    texts = keyed.select(*KEY, text.alias("text"))
+    copies = stash(texts.groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1"))
+    copied = stash(copies.groupBy("k1").agg(F.collect_list(F.struct("k2", "copies")).alias("copied")))
     found = stash(arrow_map(texts, _first_level(target, widths[0]), "h long, k1 long, pos int"))
     often = stash(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    places = stash(found.join(often, "h", "left_semi").groupBy("k1").agg(F.collect_set("pos").alias("places")))
-    unstash(found, often)
-    for width, wider in zip(widths, widths[1:]):
-        told = stash(places.join(copies, "k1", "left").select("k1", "places", F.coalesce("copies", F.lit(1).cast("long")).alias("copies")))
-        wide = stash(arrow_map(texts.join(told, "k1"), _next_level(target, width, wider), "h long, g long, k1 long, pos int, copies long"))
-        unstash(places, told)
-        mark = F.xxhash64("k1", "pos")
-        often = wide.groupBy("h", "g").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.max("copies").alias("c"))
+    places = found.join(often, "h", "left_semi")
+    levels = list(zip(widths, widths[1:]))
+    if not levels:
+        # the first level is the last one: its hashes are 64 bits, so the whole windows are hashed again
+        levels = [(target, target)]
+    for width, wider in levels:
+        last = wider == target
+        told = stash(places.groupBy("k1").agg(F.collect_set("pos").alias("places")).join(copied, "k1", "left"))
+        unstash(found, often)
+        found = stash(arrow_map(texts.join(told, "k1"), _next_level(target, width, wider), "h long, g long, k1 long, k2 long, pos int, copies long"))
+        unstash(told)
+        mark = F.xxhash64(*KEY, "pos")
+        often = found.groupBy("h", "g").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.max("copies").alias("c"))
         often = stash(often.where("lo <> hi or c > 1").select("h", "g"))
-        # a text with copies loses all its windows anyway
-        places = stash(wide.where("copies = 1").join(often, ["h", "g"], "left_semi").groupBy("k1").agg(F.collect_set("pos").alias("places")))
-        unstash(wide, often)
-    told = places.join(copies, "k1", "full").select("k1", "places", "copies")
-    return keyed, stash(told)
+        # a text with copies loses all its windows anyway, but others may repeat them until the last level
+        places = (found.where("copies = 1") if last else found).join(often, ["h", "g"], "left_semi")
+    told = stash(places.groupBy(*KEY).agg(F.collect_set("pos").alias("places")).join(copies, KEY, "full").select(*KEY, "places", "copies"))
+    unstash(found, often)
+    return keyed, told
 
 
 def substring_dedup(docs: DataFrame, *, target: int = 35, start: int | None = None) -> DataFrame:
@@ -272,7 +312,8 @@ def substring_dedup(docs: DataFrame, *, target: int = 35, start: int | None = No
     repeated if its word sequence starts anywhere else in the corpus, same
     document included, so all copies of a text of ``target`` words or more
     become empty, repeated rows too. Null texts count as empty and come back
-    empty. Ids play no part; null ids and other columns pass through.
+    empty. Texts of any length are read whole. Ids play no part; null ids and
+    other columns pass through, and so does an empty table.
     """
     others = [f"`{c}`" for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     # other columns travel as one, so that their names clash with none here
@@ -280,7 +321,7 @@ def substring_dedup(docs: DataFrame, *, target: int = 35, start: int | None = No
     given = docs.select(carried.alias("carried"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed, told = repeated_windows(given, target=target, start=start)
     kind = given.schema["carried"].dataType.simpleString()
-    done = arrow_map(keyed.join(told, "k1", "left"), _removal(target, True), f"carried {kind}, n_words long, n_removed long, text string")
+    done = arrow_map(keyed.join(told, KEY, "left"), _removal(target, True), f"carried {kind}, n_words long, n_removed long, text string")
     return done.select(*(["carried.*"] if others else []), "text", "n_words", "n_removed")
 
 
@@ -288,7 +329,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed, told = repeated_windows(docs)
     keyed = keyed.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    return arrow_map(keyed.join(told, "k1", "left"), _removal(35, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return arrow_map(keyed.join(told, KEY, "left"), _removal(35, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = r"""
