@@ -11,13 +11,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import arrow_map, table
+from folioforge.llm.common import arrow_map, stash, table, unstash
 
 #: The model is fitted on at most so many labelled rows of each label, drawn by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
+#: And, of the rows of each label in that order, on those within so many characters, which bounds what the driver holds.
+SAMPLE_CHARS = 6_000_000
 #: Slots of the hashed feature weights: the size of what each task receives, whatever the corpus.
 SLOTS = 1 << 18
 #: Distinct words whose scores a Python worker remembers.
@@ -269,15 +271,25 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most sample_toxic and sample_clean labelled rows that are not held out, with their whole texts.
 
-    Rows whose label, doc_id or text is null teach nothing.
+    They are drawn by a hash of doc_id. A text longer than a fiftieth of
+    sample_chars comes after all shorter ones; the rows of a label whose texts
+    end beyond sample_chars, in this order, are left out. Of several texts of
+    one doc_id the one with the least hash counts, and repeated labels count
+    once. Rows whose label, doc_id or text is null teach nothing; without rows
+    of both labels the model is neutral.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out()).distinct()
     drawn = [usable.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
     ids = drawn[0].unionByName(drawn[1])  # at most sample_toxic + sample_clean rows, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic").limit(2 * (sample_toxic + sample_clean)).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    drawn = stash(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    order = [F.length("text") > sample_chars // 50, F.xxhash64("doc_id"), F.col("doc_id")]
+    within = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over the sample
+    rows = drawn.withColumn("chars", F.sum(F.length("text")).over(within)).where(F.col("chars") <= sample_chars).orderBy("toxic", *order).select("text", "toxic").collect()
+    unstash(drawn)
     share = usable.agg(F.avg("toxic")).first()[0]
     return fit([r.text for r in rows], [r.toxic for r in rows], rate=share)
 
@@ -287,8 +299,8 @@ def toxicity(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
 
     score is 0 to 1, predicted is 1 from 0.5 on, spans lists start, end
     (code points) and marginal of each word tagged toxic. Null, empty and blank
-    texts have no words and get the model's score for that. Repeated rows each
-    get a row.
+    texts have no words and get the model's score for that. Texts of any length
+    are one chain. Repeated rows each get a row; an empty table stays empty.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
     docs = docs.select(*keep)
@@ -298,8 +310,8 @@ def toxicity(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, and the offsets of their toxic words as start:end, joined by commas."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, table(spark, sf_dir, "labels"))
-
-    scored = arrow_map(docs, _scores(model, False, ["doc_id"]), "doc_id long, score double, predicted int")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    places = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.array_join(places, ",").alias("spans"))
