@@ -20,9 +20,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: What an unseen identifier may look like: at least five characters with three digits or an at sign.
-_CANDIDATE = re.compile(r"(?<!\S)(?=\S*@|(?:\S*[0-9]){3})[^\s]{5,64}(?!\S)")
-_HAS_DIGITS = re.compile(r"[0-9][^\s]*[0-9][^\s]*[0-9]")
+#: What an unseen identifier may look like: at least five characters with three digits or an at sign, or digits in
+#: groups between single spaces, seven at least.
+_CANDIDATE = re.compile(r"(?<!\S)(?=\S*@|(?:\S*?[0-9]){3})\S{5,}")
+_GROUPS = re.compile(r"(?<!\S)[+(]?[0-9][0-9().+-]*(?:\x20[(]?[0-9][0-9().-]*)+(?!\S)")
+_HAS_DIGITS = re.compile(r"[0-9]\S*[0-9]\S*[0-9]|[0-9]\x20[0-9]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 
 
@@ -70,28 +72,55 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _normal(word: str) -> str:
-    return _DIGITS.sub("0", word.strip(_EDGE).lower())[:32]
+    return _DIGITS.sub("0", word.strip(_EDGE).lower())
+
+
+def _words(text: str, at: int, step: int, most: int) -> list[str]:
+    """Up to ``most`` whole words that end before (step -1) or start after (step 1) a place, in the order of the text."""
+    out, n = [], len(text)
+    lo = at - 1 if step < 0 else at
+    while len(out) < most:
+        while 0 <= lo < n and text[lo].isspace():
+            lo += step
+        hi = lo
+        while 0 <= hi < n and not text[hi].isspace():
+            hi += step
+        if hi == lo:
+            break
+        out.append(text[hi + 1 : lo + 1] if step < 0 else text[lo:hi])
+        lo = hi
+    return out[::step]
+
+
+def _shape(value: str) -> str:
+    """Runs of letters as a, digits one by one as 0, other characters as they are."""
+    return re.sub(r"[^\W\d_]+", "a", _DIGITS.sub("0", value))
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: two words before it; one before and one after it."""
-    before, after = text[max(0, start - 80) : start].split()[-2:], text[end : end + 40].split()[:1]
+    """Lexical patterns of a place: the word before it, two words before it, one before and one after it, and its shape behind the word before it."""
+    before, after = [_normal(w) for w in _words(text, start, -1, 2)], [_normal(w) for w in _words(text, end, 1, 1)]
     out = []
+    if before:
+        out += [f"{before[-1]} _", f"{before[-1]} {_shape(text[start:end])}"]
     if len(before) == 2:
-        out.append(f"{_normal(before[0])} {_normal(before[1])} _")
+        out.append(f"{before[0]} {before[1]} _")
     if before and after:
-        out.append(f"{_normal(before[-1])} _ {_normal(after[0])}")
+        out.append(f"{before[-1]} _ {after[0]}")
     return out
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Tokens that look like identifiers and touch no base span."""
+    """Tokens and groups of digits that look like identifiers and touch no base span; a token inside a group goes."""
     if "@" not in text and not _HAS_DIGITS.search(text):
         return []
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in _EDGE:
+    groups = [m.span() for m in _GROUPS.finditer(text) if len(_DIGITS.findall(m[0])) >= 7]
+    out, at = [], 0
+    for a, b in sorted(groups + [m.span() for m in _CANDIDATE.finditer(text)], key=lambda x: (x[0], -x[1])):
+        if b <= at:
+            continue
+        at = b
+        while a < b and text[a] in _EDGE and not (text[a] == "(" and ")" in text[a:b]):
             a += 1
         while a < b and text[b - 1] in _EDGE:
             b -= 1
@@ -123,39 +152,52 @@ def _observe(columns: list[str]):
     return run
 
 
-def confident_patterns(edges: DataFrame, *, rounds: int = 2, support: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Score the graph of patterns and instances by turns.
+def bootstrap(edges: DataFrame, *, rounds: int = 8, support: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Score the graph of patterns and instances by turns, until no round accepts another instance.
 
     edges: pattern, value, kind (null for candidates), one row for each such
-    triple. A pattern's score for a kind is the confidence of that kind's
-    instances among all its instances, if it has ``support`` different seeds
-    of the kind; an instance's score is one less the product of its patterns'
-    doubts, seeds having score 1. Returns (pattern, kind, score) of at least
-    ``least``, and (value, kind, score) of candidates.
+    triple. Seeds have score 1 for their kind. In each round a pattern's
+    support for a kind is the sum of its instances' scores for it, and its
+    score the share of that in all its different instances; patterns of enough
+    support and score stay. An open instance's score for a kind is one less
+    the product of the doubts of its patterns that stay; those of score
+    ``least`` are accepted and support patterns like seeds in the next round,
+    so they also induce patterns that no seed shows. Returns (pattern, kind,
+    score) and (value, kind, score) of accepted instances, the likeliest kind
+    of each. ``rounds`` bounds the search: each costs two joins.
     """
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= support)
-    total = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
-    patterns = stash(seeds.join(total, "pattern").select("pattern", "kind", "seeds", "total", (F.col("seeds") / F.col("total")).alias("score")))
-    open_ = stash(edges.where("kind is null").select("pattern", "value").distinct())
-    values = None
+    pairs = stash(edges.select("pattern", "value").distinct())
+    total = stash(pairs.groupBy("pattern").agg(F.count("*").alias("total")).where(F.col("total") >= support))
+    seeds = stash(edges.where("kind is not null").select("value", "kind").distinct())
+    # only patterns of enough instances can ever count
+    pairs = stash(pairs.join(total.select("pattern"), "pattern", "left_semi"))
+    open_ = stash(pairs.join(seeds.select("value").distinct(), "value", "left_anti"))
+    accepted, count = None, 0
     for _ in range(rounds):
-        reached = open_.join(patterns.select("pattern", "kind", "score"), "pattern")
-        values = stash(reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))).alias("score")))
-        gained = reached.select("pattern", "value", "kind").join(values, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        patterns = stash(
-            patterns.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "total", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("total")).alias("score"))
-        )
-    return patterns.where(F.col("score") >= least).select("pattern", "kind", "score"), values
-
-
-def extract(docs: DataFrame, *, rounds: int = 2, support: int = 5, least: float = 0.8) -> DataFrame:
+        known = seeds.withColumn("score", F.lit(1.0))
+        known = known if accepted is None else known.unionByName(accepted)
+        held = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).where(F.col("support") >= support)
+        patterns = stash(held.join(total, "pattern").select("pattern", "kind", (F.col("support") / F.col("total")).alias("score")).where(F.col("score") >= least))
+        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))
+        scored = open_.join(patterns, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= least)
+        accepted = scored.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
+        accepted = stash(accepted)
+        before, count = count, accepted.count()
+        if count == before:
+            break
+    return patterns, accepted
+
+
+def extract(docs: DataFrame, *, rounds: int = 8, support: int = 5, least: float = 0.8) -> DataFrame:
     """Columns of docs other than text, plus base and spans: arrays of kind, start, end (code points, end exclusive).
 
-    Seeds are the base spans of the whole corpus. Patterns that introduce them
-    reliably tag the candidates that stand in the same context; these join the
-    base spans. Null texts count as empty. Rows are told apart by a number
-    given when they are first stored, so repeated rows and null ids are fine.
-    Columns named base, places, spans or row are replaced.
+    Seeds are the base spans of the whole corpus. Their contexts are patterns;
+    candidates that confident patterns introduce join the base spans, wherever
+    they stand, and become seeds of further patterns. Null texts count as
+    empty; texts, words and identifiers of any length count whole. Rows are told
+    apart by a number given when they are first stored, so repeated rows and
+    null ids are fine. Columns named base, places, spans or row are replaced.
+    An empty table stays empty.
     """
     keep = [c for c in docs.columns if c not in ("text", "base", "places", "spans", "row")]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in keep)
@@ -163,11 +205,9 @@ def extract(docs: DataFrame, *, rounds: int = 2, support: int = 5, least: float
     seen = stash(seen.withColumn("row", F.monotonically_increasing_id()))
     places = seen.select("row", F.explode("places").alias("p")).select("row", "p.*")
     edges = stash(places.select("pattern", "value", "kind").distinct())
-    patterns, values = confident_patterns(edges, rounds=rounds, support=support, least=least)
-    good = values.where(F.col("score") >= least).select("value", "kind")
-    told = places.where("kind is null").drop("kind").join(stash(patterns.select("pattern", "kind")), "pattern").join(stash(good), ["value", "kind"])
-    # a place that two patterns tag differently takes the first kind
-    added = told.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    _, accepted = bootstrap(edges, rounds=rounds, support=support, least=least)
+    told = places.where("kind is null").select("row", "start", "end", "value").distinct().join(accepted.select("value", "kind"), "value")
+    added = told.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     return seen.join(stash(added), "row", "left").select(*keep, "base", F.concat("base", F.coalesce("added", F.array().cast(_SPANS))).alias("spans"))
 
 
