@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,17 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import arrow_map, stash, table
+from folioforge.llm.common import arrow_map, stash, table, unstash
 
 CAPACITY = 1024
 #: Ends each document.
 SEPARATOR = 2
-#: Items on an island: what one task packs at a time.
-ISLAND = 4096
-#: Fill from which an island settles a bin, by level; beyond, and on the last island, all bins settle.
-SETTLED = (0.995, 0.97)
-#: Bins of an island's bottom share that its genetic search rearranges.
-SEARCHED = 96
+#: Items of a shard, which is packed on its own; islands that each search for a packing of it, and epochs between
+#: which each island's elite also moves to the next island; generations of an epoch, and packings on an island.
+SHARD, ISLANDS, EPOCHS, GENERATIONS, HERD = 4096, 3, 3, 15, 6
+#: A shard is searched no further once its sequences exceed the least conceivable number by this share at most.
+CLOSE = 0.001
+#: The items of a shard's sequences below this fill are packed once more with those of other shards, the least filled
+#: ones first and at most this share of them, so that each level is a fraction of the one before.
+FULL, LOOSE = 0.995, 0.25
 
 
 @lru_cache(maxsize=2)
@@ -86,101 +88,167 @@ def best_fit(sizes: list[int], items: list[int], capacity: int, bins: list[list[
     return bins
 
 
-def _fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> float:
-    """Falkenauer's measure: the mean of squared fills; fewer and fuller bins are better."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / len(bins)
+Packing = list[list[int]]
 
 
-def _cross(sizes: list[int], one: list[list[int]], other: list[list[int]], capacity: int, draw: random.Random) -> list[list[int]]:
+def _fill(sizes: list[int], one: list[int]) -> int:
+    return sum([sizes[i] for i in one])
+
+
+def _score(sizes: list[int], bins: Packing, capacity: int) -> tuple[int, float]:
+    """Fewer bins are better; of equally many, fuller and emptier ones: Falkenauer's mean of squared fills, negated."""
+    return len(bins), -sum((_fill(sizes, b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+
+
+def _exchange(sizes: list[int], bins: Packing, loose: list[int], capacity: int) -> list[int]:
+    """Replace items of bins by larger loose ones that still fit, the best replacement of a bin first; what is loose then."""
+    loose = sorted(loose, key=lambda i: sizes[i])
+    keys = [sizes[i] for i in loose]
+    for b in bins:
+        room = capacity - _fill(sizes, b)
+        while room and loose:
+            gain, place, at = 0, 0, 0
+            for p, i in enumerate(b):
+                k = bisect_right(keys, sizes[i] + room) - 1
+                if k >= 0 and keys[k] - sizes[i] > gain:
+                    gain, place, at = keys[k] - sizes[i], p, k
+            if not gain:
+                break
+            out, b[place] = b[place], loose.pop(at)
+            keys.pop(at)
+            k = bisect_right(keys, sizes[out])
+            keys.insert(k, sizes[out])
+            loose.insert(k, out)
+            room -= gain
+    return loose
+
+
+def _refit(sizes: list[int], bins: Packing, displaced: list[int], capacity: int) -> Packing:
+    bins.sort(key=lambda b: _fill(sizes, b))
+    return best_fit(sizes, _exchange(sizes, bins, displaced, capacity), capacity, bins)
+
+
+def _cross(sizes: list[int], one: Packing, other: Packing, capacity: int, draw: random.Random) -> Packing:
     """Inject whole well-filled bins of one parent, drop the other's bins that hold the same items, best-fit what they displace."""
-    ranked = sorted(one, key=lambda b: -sum(sizes[i] for i in b))
-    injected = [b for b in ranked[: max(1, len(ranked) * 2 // 3)] if draw.random() < 0.5] or ranked[:1]
+    ranked = sorted(one, key=lambda b: -_fill(sizes, b))
+    injected = [list(b) for b in ranked[: max(1, len(ranked) // 2)] if draw.random() < 0.5] or [list(ranked[0])]
     taken = {i for b in injected for i in b}
-    kept = [b for b in other if not taken.intersection(b)]
-    displaced = [i for b in other if taken.intersection(b) for i in b if i not in taken]
-    return best_fit(sizes, displaced, capacity, injected + kept)
-
-
-def _mutate(sizes: list[int], bins: list[list[int]], capacity: int, draw: random.Random) -> list[list[int]]:
-    """Empty the least filled bin and a few others, and best-fit their items anew."""
-    worst = min(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-    out = {worst, *(draw.randrange(len(bins)) for _ in range(min(3, len(bins))))}
-    items = [i for k in out for i in bins[k]]
-    draw.shuffle(items)
-    return best_fit(sizes, items, capacity, [b for k, b in enumerate(bins) if k not in out])
-
-
-def evolve(sizes: list[int], capacity: int = CAPACITY, *, population: int = 6, generations: int = 12, searched: int = SEARCHED, seed: int = 0) -> list[list[int]]:
-    """Pack all sizes. Bins that best fit already fills are kept; the search works on the least filled ones."""
-    start = best_fit(sizes, list(range(len(sizes))), capacity)
-    if sum(sizes) > (len(start) - 1) * capacity or not sizes:
-        return start  # no packing has fewer bins
-    start.sort(key=lambda b: -sum(sizes[i] for i in b))
-    frozen, loose = start[:-searched], start[-searched:]
-    items, least = [i for b in loose for i in b], -(-sum(sizes[i] for b in loose for i in b) // capacity)
+    kept = [list(b) for b in other if taken.isdisjoint(b)]
+    displaced = [i for b in other if not taken.isdisjoint(b) for i in b if i not in taken]
+    return _refit(sizes, injected + kept, displaced, capacity)
+
+
+def _mutate(sizes: list[int], bins: Packing, capacity: int, draw: random.Random, share: float) -> Packing:
+    """Empty a share of the bins, half of them the least filled, and place their items anew."""
+    ranked = sorted(bins, key=lambda b: _fill(sizes, b))
+    n = max(2, int(len(ranked) * share))
+    out = {*range(min(len(ranked), n - n // 2)), *(draw.randrange(len(ranked)) for _ in range(n // 2))}
+    displaced = [i for k in out for i in ranked[k]]
+    return _refit(sizes, [list(b) for k, b in enumerate(ranked) if k not in out], displaced, capacity)
+
+
+def least_bins(sizes: list[int], capacity: int, close: float = 0.0) -> int:
+    """So many bins are as few as can be, or exceed that by the share ``close`` at most."""
+    return int(-(-sum(sizes) // capacity) * (1 + close))
+
+
+def evolve(sizes: list[int], capacity: int = CAPACITY, *, elites: list[Packing] | None = None, generations: int = GENERATIONS, herd: int = HERD, close: float = 0.0, seed: int = 0) -> Packing:
+    """The best packing of all sizes that some generations find, starting from elites, or from best fit without any."""
     draw = random.Random(seed)
-    herd = [loose]
-    while len(herd) < population:
-        herd.append(_mutate(sizes, loose, capacity, draw))
+    enough = least_bins(sizes, capacity, close)
+    all_ = [[list(b) for b in e] for e in elites or [best_fit(sizes, list(range(len(sizes))), capacity)]]
+    best = lambda: min(all_, key=lambda bins: _score(sizes, bins, capacity))
+    if not sizes or len(best()) <= enough:
+        return best()
+    while len(all_) < herd:
+        all_.append(_mutate(sizes, all_[len(all_) % len(elites or [0])], capacity, draw, 0.3))
     for _ in range(generations):
-        herd.sort(key=lambda bins: (len(bins), -_fitness(sizes, bins, capacity)))
-        if len(herd[0]) <= least:
+        all_.sort(key=lambda bins: _score(sizes, bins, capacity))
+        if len(all_[0]) <= enough:
             break
-        child = _cross(sizes, *draw.sample(herd[: max(2, population // 2)], 2), capacity, draw)
-        herd[-1] = _mutate(sizes, child, capacity, draw)
-    best = min(herd, key=lambda bins: (len(bins), -_fitness(sizes, bins, capacity)))
-    assert sorted(i for b in best for i in b) == sorted(items)
-    return frozen + best
+        one, other = draw.sample(all_[: herd // 2 + 1], 2)
+        all_[-1] = _mutate(sizes, _cross(sizes, one, other, capacity, draw), capacity, draw, 0.05)
+    out = best()
+    assert sorted(i for b in out for i in b) == list(range(len(sizes)))
+    return out
+
 
+_TOLD = "shard long, island int, item long, length long, bin int, offset long, loose boolean, bins int, score double, done boolean"
 
-def _island(capacity: int, share: float, level: int):
-    """Packs an island. Bins filled to ``share`` are settled; the items of others migrate."""
+
+def _epoch(capacity: int, loose: float, search: dict, epoch: int):
+    """One island's packings of a shard in, its own and a guest from the island before; its best after an epoch out."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item", ignore_index=True)
-        sizes = frame["length"].tolist()
-        island = int(frame["island"].iloc[0])
-        sequence, offset = np.full(len(sizes), -1, dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-        for k, b in enumerate(evolve(sizes, capacity, seed=island)):
-            if sum(sizes[i] for i in b) < share * capacity:
-                continue
-            at = 0
-            for i in b:
-                # level, island and bin never clash: full pieces count down from -1
-                sequence[i], offset[i] = (level << 58) | (island << 20) | k, at
-                at += sizes[i]
-        frame["sequence_id"], frame["offset"] = sequence, offset
-        return frame.drop(columns="island")
+        frame = frame.sort_values(["guest", "item"], ignore_index=True)
+        shard, island = int(frame["shard"].iloc[0]), int(frame["island"].iloc[0])
+        own = frame[~frame["guest"]].reset_index(drop=True)
+        sizes, elites = own["length"].tolist(), []
+        if epoch:
+            for _, part in frame.groupby("guest"):
+                bins: dict[int, list[int]] = {}
+                for i, k in enumerate(part["bin"].tolist()):
+                    bins.setdefault(k, []).append(i)
+                elites.append(list(bins.values()))
+        found = evolve(sizes, capacity, elites=elites, seed=(shard * ISLANDS + island) * EPOCHS + epoch, **search)
+        done = len(found) <= least_bins(sizes, capacity, search["close"])
+        if done and island and not epoch:  # all islands start alike, so the first one has it too
+            found = []
+        found.sort(key=lambda b: _fill(sizes, b))
+        rows = [(i, k, at) for k, b in enumerate(found) for i, at in zip(b, np.cumsum([0, *(sizes[i] for i in b)]).tolist())]
+        at = np.array(rows, dtype=np.int64).reshape(-1, 3)
+        out = own.loc[at[:, 0], ["shard", "island", "item", "length"]].reset_index(drop=True)
+        count, score = _score(sizes, found, capacity)
+        ill = sum(_fill(sizes, b) < FULL * capacity for b in found)
+        out["bin"], out["offset"], out["loose"] = at[:, 1].astype(np.int32), at[:, 2], at[:, 1] < max(1, min(ill, int(len(found) * loose)))
+        out["bins"], out["score"], out["done"] = count, float(score), done
+        return out
 
     return run
 
 
-def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, island: int = ISLAND) -> DataFrame:
+def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, herd: int = HERD, close: float = CLOSE, loose: float = LOOSE) -> DataFrame:
     """Place items (item: unique, length: 1 to capacity, any others) into sequences of at most ``capacity``.
 
-    Islands of about ``island`` items, dealt by a hash, evolve on their own.
-    Bins filled to SETTLED stay; the items of the others migrate to a fresh and
-    smaller set of islands, until one is left or the shares are used up.
-    Adds sequence_id and offset. No islands for full items: each is a sequence.
+    Items are dealt by a hash to shards of about ``shard``. Each shard evolves
+    on several islands; after each epoch an island's elite also joins the next
+    island, and the best of all islands is taken. A shard that best fit packs
+    within ``close`` of the least conceivable number is not searched. The items
+    of the least filled sequences, at most a share ``loose`` of a shard's, form
+    fewer shards then, and so on until one is left, which settles all. Adds
+    sequence_id and offset. No shards for full items: each is a sequence.
     """
-    columns = items.columns
-    full = items.where(F.col("length") >= capacity).select(*columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left, done, level = items.where(F.col("length") < capacity), [full], 0
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    full = items.where(F.col("length") >= capacity).select(*items.columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    partial = items.where(F.col("length") < capacity)
+    left, done, level = partial.select("item", "length"), [], 0
+    search = {"generations": generations, "herd": herd, "close": close}
     while True:
-        count = left.count()
-        islands = max(1, -(-count // island))
-        share = 0.0 if islands == 1 or level >= len(SETTLED) else SETTLED[level]
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(islands)))
-        placed = stash(dealt.groupBy("island").applyInPandas(_island(capacity, share, level), f"{kinds}, sequence_id long, offset long"))
-        done.append(placed.where("sequence_id <> -1"))
-        if not share:
+        shards = max(1, -(-left.count() // shard))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
+        start = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(-1).alias("bin"), F.lit(False).alias("guest"))
+        found = [stash(start.groupBy("shard", "island").applyInPandas(_epoch(capacity, loose, search, 0), _TOLD))]
+        for epoch in range(1, epochs):
+            open_ = found[-1].where("not done")
+            if open_.isEmpty():
+                break
+            homes = F.array(F.struct(F.col("island").alias("to"), F.lit(False).alias("guest")), F.struct(((F.col("island") + 1) % islands).cast("int").alias("to"), F.lit(True).alias("guest")))
+            homes = open_.select("shard", "item", "length", "bin", F.explode(homes if islands > 1 else F.slice(homes, 1, 1)).alias("h"))
+            moved = homes.select("shard", F.col("h.to").alias("island"), "item", "length", "bin", "h.guest")
+            # an island that is done sends no guest on and gets none of its own back: its guests then have no host
+            hosted = open_.select("shard", "island").distinct()
+            moved = moved.join(hosted, ["shard", "island"], "left_semi")
+            found.append(stash(moved.groupBy("shard", "island").applyInPandas(_epoch(capacity, loose, search, epoch), _TOLD)))
+        told = reduce(DataFrame.unionByName, [f.withColumn("epoch", F.lit(k)) for k, f in enumerate(found)])
+        best = told.groupBy("shard").agg(F.min(F.struct("bins", "score", "epoch", "island")).alias("b")).select("shard", "b.epoch", "b.island")
+        placed = stash(told.join(best, ["shard", "epoch", "island"]).select("item", "length", ((F.lit(level).cast("long") * (1 << 58)) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", "loose"))
+        unstash(*found)
+        if shards == 1:
+            done.append(placed)
             break
-        left, level = placed.where("sequence_id = -1").select(*columns), level + 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        done.append(placed.where("not loose"))
+        left, level = placed.where("loose").select("item", "length"), level + 1
+    settled = reduce(DataFrame.unionByName, done).select("item", "sequence_id", "offset")
+    return full.unionByName(partial.join(settled, "item").select(full.columns))
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, ranks: str | None = None) -> DataFrame:
@@ -188,7 +256,9 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, ranks: str | None = None)
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset. A null text counts as empty and is its separator
-    alone. Repeated rows and null ids are packed as documents of their own.
+    alone. A text of any length is tokenized whole and cut into pieces. Repeated
+    rows and null ids are packed as documents of their own; other columns are
+    ignored, and an empty table has no pieces.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
