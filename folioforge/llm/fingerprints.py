@@ -24,7 +24,7 @@ def sketch(text: Column, *, width: int = 5, fraction_bits: int = FRACTION_BITS)
 
     Fewer words than ``width`` make one shingle. A text with words none of
     whose hashes is below the fraction keeps its least one; a null or blank
-    text has an empty sketch. Sketches of parts merge by array_union.
+    text has an empty sketch. Sketches of several texts merge with merged.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D ]+"), lambda w: w != "")
     # The sign bit is cleared: hashes are 63-bit, so fraction_bits counts from the second bit.
@@ -42,6 +42,17 @@ def sketch(text: Column, *, width: int = 5, fraction_bits: int = FRACTION_BITS)
     return _bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _bind(shingles(h), kept))
 
 
+def merged(a: Column, b: Column, *, fraction_bits: int = FRACTION_BITS) -> Column:
+    """The sketch of all shingles of two texts from their sketches.
+
+    Their union; a least hash that is kept though it is above the fraction
+    goes if any is below it, and else the lesser one stays.
+    """
+    both = F.array_sort(F.array_union(a, b))
+    below = F.filter(both, lambda x: x < (1 << (63 - fraction_bits)))
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two sketches; two empty ones are alike."""
     both = F.size(F.array_intersect(a, b))
@@ -77,7 +88,7 @@ def _successors(docs: DataFrame) -> DataFrame:
     own = F.struct("doc_id", "mark", "n_chars")
     ranked = ids.withColumn("before", F.lag(own).over(within)).withColumn("place", F.row_number().over(within))
     # a row per range from here on
-    last = ids.groupBy("range").agg(F.max_by(own, F.struct(F.col("doc_id").isNull().alias("a"), (-F.col("doc_id")).alias("b"), F.col("mark").alias("c"))).alias("last"))
+    last = ids.groupBy("range").agg(F.max_by(own, F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not("doc_id").alias("b"), F.col("mark").alias("c"))).alias("last"))
     whole = Window.partitionBy(F.lit(0)).orderBy("range")
     last = last.withColumn("previous", F.coalesce(F.lag("last").over(whole), F.last("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("range", "previous")
     out = ranked.join(F.broadcast(last), "range")  # as many rows as shuffle partitions
