@@ -27,7 +27,7 @@ class Rule:
     @property
     def pattern(self) -> str:
         """Over host and path joined by a newline."""
-        return rf"^(.*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+        return rf"(?s)\A(.*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -71,7 +71,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = DEFAUL
     listed under them, and only those run their patterns. The longest rule
     that fits wins, the last listed of equal rules; else rule is null and the
     verdict the default. Null URLs and URLs without ``://`` have empty host and
-    path. Spark broadcasts the index while it is small and shuffles beyond.
+    path. URLs of any length and with line breaks are read whole; repeated rows
+    each get theirs, and an empty table gives an empty one. Spark broadcasts
+    the index while it is small and shuffles beyond.
     """
     spark = pages.sparkSession
     pages = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
@@ -89,7 +91,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = DEFAUL
     fits = held.join(index, "token").where(F.expr("concat(host, '\n', path) rlike pattern"))
     best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("size"), "position", "rule", "verdict")).alias("b"))
     best = best.select("url", "b.rule", "b.verdict")
-    judged = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).join(best, "url", "left")
+    told = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
+    # null URLs fit no rule: they stay out of the join, where they would meet in one task
+    judged = told.where("url is not null").join(best, "url", "left").unionByName(told.where("url is null"), allowMissingColumns=True)
     return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
