@@ -14,7 +14,7 @@ from folioforge.llm.common import arrow_map, components, stash, table, unstash
 #: Sign bits of a vector in each pass, least passes, passes sorted at a time (each deals out all vectors once).
 BITS, PASSES, TOGETHER = 48, 16, 4
 #: Neighbours compared on each side, rows of a run of the order that one task compares, rows of a block of a component.
-WINDOW, RUN, BLOCK = 64, 4096, 512
+WINDOW, RUN, BLOCK = 64, 4096, 128
 SEED = 20
 #: Chance that all passes miss a pair of the least cosine that stands alone.
 MISS = 0.001
@@ -37,6 +37,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of what is left neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -156,19 +157,24 @@ def near_duplicates(rows: DataFrame, *, least: float = 0.9, passes: int | None =
     directly), component_id (the smallest vec_id reachable, itself included),
     kept (vec_id = component_id). Equal vectors are compared once and link with
     each other. The passes, by default as many as passes_for says for the
-    vectors there are, find the components; within each, all its vectors
-    are then compared block by block, so n_links has every link there is in
-    it. Vectors that are null, empty, zero or hold null or non-finite
+    vectors there are, find the components: verified neighbours of all passes
+    are united. A window is bounded, so the passes alone would miss links
+    inside a group larger than it; the exact way for these is to compare all
+    vectors of a component, block by block, each task two blocks. Vectors that are null, empty, zero or hold null or non-finite
     components, and vectors of other lengths, link with nothing. A null vec_id
-    never names a component and is not kept. Other columns are ignored.
+    never names a component and is not kept. Numbers are compared in double
+    precision. Other columns are ignored; an empty table stays empty.
     """
-    floats = F.col("embedding").cast("array<float>")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    numbers = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")  # floats are exact as they are
     sound = F.coalesce(
-        floats.isNotNull() & (F.size(floats) > 0) & ~F.exists(floats, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(floats, lambda x: x != 0), F.lit(False)
+        numbers.isNotNull() & (F.size(numbers) > 0) & ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(numbers, lambda x: x != 0), F.lit(False)
     )
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), floats.alias("embedding")).withColumn("node", F.when(sound, F.xxhash64("embedding")))
-    ids = stash(rows.select("vec_id", "node"))
-    vectors = stash(rows.where("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("copies")))
+    # equal vectors are told by 128 bits and go on as one node, the least of their row numbers
+    marks = ["m0", "m1"]
+    given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, numbers).alias("embedding"), F.monotonically_increasing_id().alias("at"))
+    given = stash(given.withColumn("m0", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))).withColumn("m1", F.xxhash64(F.lit(1), "embedding")))
+    vectors = stash(given.where("m0 is not null").groupBy(*marks).agg(F.min("at").alias("node"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     if passes is None:
         passes = passes_for(vectors.count(), least, window)
     roots = stash(components(near_links(vectors.select("node", "embedding"), least=least, passes=passes, window=window)))
@@ -180,13 +186,26 @@ def near_duplicates(rows: DataFrame, *, least: float = 0.9, passes: int | None =
     linked = filled.groupBy("root", "i", "j").applyInArrow(_count_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     linked = stash(linked)
 
-    rooted = stash(vectors.select("node", "first", "copies").join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
+    rooted = stash(vectors.select(*marks, "node", "first", "copies").join(roots, "node", "left").select(*marks, "node", "first", "copies", F.coalesce("root", "node").alias("root")))
     names = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    told = stash(rooted.join(names, "root").join(linked, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    told = stash(rooted.join(names, "root").join(linked, "node", "left").select(*marks, "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     unstash(linked, names)
-    out = ids.join(told, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    # vectors that link with nothing stay out of the join, where they would meet in one task
+    found = given.where("m0 is not null").select("vec_id", *marks).join(told, marks).select("vec_id", "n_links", "component_id")
+    out = found.unionByName(given.where("m0 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
