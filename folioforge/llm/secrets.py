@@ -22,9 +22,15 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: base64 of an opening brace, alone or before a space or line break, starts with one of these.
+_BRACES = ("eyJ", "eyA", "ewo", "ew0", "ewk", "e30", "eyI")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw3][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+_PEM_HEADER = re.compile(r"(?m)^[A-Za-z0-9-]+:.*(?:\n[ \t].*)*$")
+#: Candidates for decoding, the least length that holds a key: 40 characters of base64 (30 bytes), also over several
+#: lines of at least that length but the last; 64 of hex (32 bytes).
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{40,})*\r?\n[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
 _LONG_HEX = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){32,}(?![0-9a-fA-F])")
 
 
@@ -41,7 +47,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _unbase64(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).replace("-", "+").replace("_", "/").rstrip("=")
+    body = re.sub(r"\s|\\[rn]", "", text)  # line breaks may be spelled out, as in JSON.replace("-", "+").replace("_", "/").rstrip("=")
     if len(body) % 4 == 1:
         return None
     try:
@@ -120,27 +126,33 @@ def _decoded_kind(data: bytes | None) -> str | None:
         return "der"
     if data.startswith(b"-----BEGIN ") and b"PRIVATE KEY-----" in data[:64]:
         return "pem"
-    return "jwt" if data.startswith(b"eyJ") and is_signed_token(data.decode("ascii", "replace").strip()) else None
+    return "jwt" if data[:3].decode("ascii", "replace") in _BRACES and is_signed_token(data.decode("ascii", "replace").strip()) else None
 
 
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates that decode to the structure of a key or a signed token."""
     out: list[Span] = []
-    if "eyJ" in text:
+    if any(b in text for b in _BRACES):
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _unbase64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]))
-            if data is not None and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[1] + m[2]):
+            body = re.sub(r"\\r?\\n|\r\n|\\n", "\n", m[2])
+            data = _unbase64(_PEM_HEADER.sub("", body))
+            if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[1] + m[2]):
                 out.append(("pem", *m.span()))
+    whole: list[tuple[int, int]] = []
+    for m in _LINES.finditer(text):
+        if kind := _decoded_kind(_unbase64(m[0])):
+            out.append((kind, *m.span()))
+            whole.append(m.span())
     for m in _BASE64.finditer(text):
         if kind := _decoded_kind(_unbase64(m[0])):
             out.append((kind, *m.span()))
     for m in _LONG_HEX.finditer(text):
         if kind := _decoded_kind(bytes.fromhex(m[0])):
             out.append((kind, *m.span()))
-    armour = [(a, b) for k, a, b in out if k == "pem"]
-    return [s for s in out if s[0] == "pem" or not any(a <= s[1] and s[2] <= b for a, b in armour)]
+    around = [(a, b) for k, a, b in out if k == "pem"] + whole
+    return [s for s in out if not any(a <= s[1] and s[2] <= b and (a, b) != s[1:] for a, b in around)]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
