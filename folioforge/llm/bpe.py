@@ -142,10 +142,14 @@ class Prefixes:
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; what is stored for shorter prefixes stays."""
-        v, at, last = self.vocabulary, len(self.data), self.last
-        whole = self.data = self.data + data
+        self.data += data
+        self._read(len(self.data))
+
+    def _read(self, to: int) -> None:
+        """Find the last tokens of the prefixes up to this length."""
+        v, last, whole = self.vocabulary, self.last, self.data
         ranks, adjacent, pairs, lengths = v.ranks, v.adjacent, v._pairs.get, v.lengths
-        for end in range(at + 1, len(whole) + 1):
+        for end in range(len(last), to + 1):
             for n in lengths.get(whole[end - 1], ()):
                 start = end - n
                 if start < 0 or (token := ranks.get(whole[start:end])) is None:
@@ -165,18 +169,16 @@ class Prefixes:
         """Replace bytes; prefixes before the edit keep their tokens, and so do those after it once two in a row
         as long as the longest token agree with the old ones."""
         old_last, old_tail = self.last, self.data[end:]
-        self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(data)
-        agreed, v = 0, self.vocabulary
-        shift = end - len(self.data)
-        for k in range(len(old_tail)):
+        self.data, self.last = self.data[:start] + data + old_tail, self.last[: start + 1]
+        behind = start + len(data)
+        self._read(behind)
+        agreed, v, shift = 0, self.vocabulary, end - behind
+        for at in range(behind + 1, len(self.data) + 1):
             if agreed >= v.longest:
-                self.last += old_last[end + k + 1 :]
-                self.data += old_tail[k:]
+                self.last += old_last[at + shift :]
                 return
-            self.append(old_tail[k : k + 1])
-            at = len(self.data)
-            inside = len(v.bytes[self.last[at]]) <= at - (end - shift)
+            self._read(at)
+            inside = len(v.bytes[self.last[at]]) <= at - behind
             agreed = agreed + 1 if inside and self.last[at] == old_last[at + shift] else 0
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -204,9 +206,11 @@ class Encoder:
             ids = self.vocabulary.encode_short(data)
         else:
             ids = Prefixes(self.vocabulary, data).tokens()
-        if len(self.known) >= PIECES:
-            self.known.clear()
-        out = self.known[piece] = (ids, " ".join(map(str, ids)))
+        out = (ids, " ".join(map(str, ids)))
+        if len(data) <= SHORT:  # longer ones hardly return, and would fill the memory
+            if len(self.known) >= PIECES:
+                self.known.clear()
+            self.known[piece] = out
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -229,7 +233,10 @@ def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Columns of docs, plus ids (array of int). Null texts count as empty: no ids. A column named ids is replaced."""
+    """Columns of docs, plus ids (array of int). Null texts count as empty: no ids. A column named ids is replaced.
+
+    Texts of any length are encoded whole; rows are judged alone, repeated ones too; an empty table stays empty.
+    """
     docs = docs.select(*[c for c in docs.columns if c != "ids"])
     columns = docs.columns
 
@@ -243,7 +250,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Columns of encoded, plus decoded (the bytes of ids). Null ids give null."""
+    """Columns of encoded, plus decoded (the bytes of ids). Null ids give null; a column named decoded is replaced."""
     encoded = encoded.select(*[c for c in encoded.columns if c != "decoded"])
     columns = encoded.columns
 
