@@ -1,4 +1,4 @@
-"""The queries of this subpackage, their oracles, and the pipeline."""
+"""The queries of this subpackage and their oracles."""
 
 from __future__ import annotations
 
@@ -17,14 +17,4 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLES = {"op3_substrings": substrings.ORACLE_SQL, "op8_url_filters": urlrules.ORACLE_SQL}
-
-
-def queries() -> dict:
-    import corpus_pipeline
-
-    return QUERIES | {"pipeline": corpus_pipeline.run}
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+ORACLES = {"op3_substrings": substrings.ORACLE_SQL, "op8_url_filters": urlrules.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL}

@@ -10,6 +10,8 @@ import pytest
 
 from folioforge.llm import bpe, fingerprints, packing, pii, secrets, toxicity, urlrules
 
+from folioforge.llm.spans import merged
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -49,6 +51,23 @@ def test_bpe_prefixes():
         assert p.data == data[:a] + by + data[b:] and p.last == bpe.Prefixes(v, p.data).last
 
 
+def test_bpe_query(spark, tmp_path, tiktoken_encoding):
+    rows = [*ODD, (70, "word " * 20_000), (71, "q" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        want.append((i is None, i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op2_bpe(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_bpe_edit_far_from_the_end():
+    v = bpe.encoder(RANKS).vocabulary
+    p = bpe.Prefixes(v, b"the cat in the hat " * 3000)
+    p.edit(4, 7, b"dog")
+    assert p.tokens() == bpe.Prefixes(v, p.data).tokens() and p.data[:12] == b"the dog in t"
+
+
 def test_bpe_frames(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in ODD], "doc_id long, text string, ids int")
     back = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()
@@ -119,6 +138,104 @@ def test_pii_bootstrap(spark):
     assert pii.extract(docs.where("false")).count() == 0
 
 
+def test_pii_unseen(spark):
+    """Identifiers that no pattern of the base knows: in seeds' contexts, and then in a context that only those have."""
+    draw = random.Random(14)
+    filler = lambda n: " ".join("w" + str(draw.randrange(50)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(100):
+        rows.append((1000 + k, f"{filler(5)} write to: q{k}@mail.example.org {filler(3)}"))
+    for k in range(20):  # obfuscated, where seeds stand
+        rows.append((100 + k, f"{filler(draw.randrange(9))} write to: user{k * 7 + 100}(at)mail{k + 100} {filler(2)}"))
+        want[100 + k] = f"user{k * 7 + 100}(at)mail{k + 100}"
+    for k in range(20):  # the same ones, behind a word that introduces nothing else
+        rows.append((200 + k, f"{filler(2)} handle user{k * 7 + 100}(at)mail{k + 100}"))
+        want[200 + k] = f"user{k * 7 + 100}(at)mail{k + 100}"
+    for k in range(4):  # new ones, behind that word alone
+        rows.append((300 + k, f"{filler(4)} handle other{k + 500}(at)place{k + 700}"))
+        want[300 + k] = f"other{k + 500}(at)place{k + 700}"
+    rows += [(400 + k, f"{filler(6)} part no {draw.randrange(10**7, 10**8)} {filler(3)}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s not in r.base] for r in pii.extract(docs).collect()}
+    found = {(i, v) for i, values in got.items() for v in values}
+    right = found & set(want.items())
+    assert len(right) >= 0.9 * len(want) and len(right) >= 0.9 * len(found)
+    assert {i for i, _ in right} >= set(range(300, 304))
+
+
+def test_pii_long_and_grouped():
+    long = "x" * 500 + "123@host"
+    text = f"see {long} or 743 555 38 24 now"
+    assert [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))] == [long, "743 555 38 24"]
+    assert pii._context(text, 4, 4 + len(long)) == ["see _", "see a000@a", "see _ or"] and pii._words("a  b", 4, -1, 5) == ["a", "b"]
+
+
+def plain_spans(text, kinds):
+    """Spans of the contract by regular expressions alone: kind, pattern and check, leftmost and non-overlapping."""
+    import re
+
+    order = [k for k, _, _ in kinds]
+    found = [(k, *m.span()) for k, pattern, good in kinds for m in re.finditer(pattern, text) if good(m)]
+    return sorted(found, key=lambda s: (s[1], order.index(s[0])))
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def only_digits(m):
+    return "".join(c for c in m[0] if c in "0123456789")
+
+
+PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(only_digits(m)) <= 19 and luhn(only_digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(only_digits(m)) <= 15),
+)
+SECRETS = (
+    ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+)
+
+
+@pytest.mark.parametrize(("module", "name", "kinds"), [(pii, "op5_pii", PII), (secrets, "op10_secrets", SECRETS)])
+def test_base_spans(spark, tmp_path, module, name, kinds):
+    """The query's counts, digests and spans against plain regular expressions, over the tables and over noise."""
+    draw = random.Random(15)
+    bits = ["a@b.c", "x.y@", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111", "+1 (743) 555-3824", "+", "0", " ", "-", ".", "\n", "é", "token=", "Secret: '", "api_key", "abcdef0123456789abcdef01", "AKIA", "ABCDEFGH12345678", "🙂", "(", ")", '"']
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(60))) for _ in range(400)] + [None, "", "9" * 30_000, "a.b" * 9000 + "@c.d"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    if os.path.isdir(SF):
+        rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in getattr(module, name)(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = plain_spans(t or "", kinds)
+        spelled = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(spelled).encode()).hexdigest()
+        assert all(got[i][f"n_{k}"] == sum(w[0] == k for w in want) for k, _, _ in kinds)
+        assert set(spelled) <= set(got[i].spans.split(","))
+
+
+def test_secrets_forms():
+    b64 = lambda x: base64.b64encode(x).decode()
+    der = b"\x30\x82\x00\x86\x02\x01\x00\x02\x81\x80" + bytes(range(1, 129))
+    der = der[:4].replace(b"\x82\x00\x86", b"\x81\x86") + der[4:]
+    body = "\n".join(b64(der)[i : i + 64] for i in range(0, len(b64(der)), 64))
+    legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    spelled = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----".replace("\n", "\\n")
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    spaced = f'{url("{ " + chr(34) + "alg" + chr(34) + ": " + chr(34) + "HS256" + chr(34) + "}")}.{url("{" + chr(34) + "a" + chr(34) + ":1}")}.c2ln'
+    for value, kind in ((legacy, "pem"), (spelled, "pem"), (body, "der"), (spaced, "jwt")):
+        text = f"x {value} y"
+        assert (kind, 2, 2 + len(value)) in secrets.confirmed_spans(text), kind
+    assert secrets.confirmed_spans("-----BEGIN PRIVATE KEY-----\nnothing here\n-----END PRIVATE KEY----- " + "A" * 50 + "\n" + "B" * 50) == []
+
+
 def test_secrets():
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
     body = base64.urlsafe_b64encode(json.dumps({"sub": "1"}).encode()).decode().rstrip("=")
@@ -161,15 +278,51 @@ def test_packing(spark):
 def test_packing_islands(spark):
     draw = random.Random(10)
     items = spark.createDataFrame([(i, draw.randrange(1, 1025)) for i in range(3000)], "item long, length long")
-    got = packing.pack_lengths(items, island=256).collect()
+    got = packing.pack_lengths(items, shard=256).collect()
     total = {}
     for r in got:
         total[r.sequence_id] = total.get(r.sequence_id, 0) + r.length
     assert len(got) == 3000 and max(total.values()) <= 1024 and len(total) <= 1.03 * sum(total.values()) / 1024 + 2
-    same = packing.pack_lengths(spark.createDataFrame([(i, 600) for i in range(900)], "item long, length long"), island=64).collect()
+    same = packing.pack_lengths(spark.createDataFrame([(i, 600) for i in range(900)], "item long, length long"), shard=64).collect()
     assert len({r.sequence_id for r in same}) == 900
 
 
+def test_packing_search(spark):
+    """Where best fit wastes room, crossover, elites of other islands and whole shards find fewer sequences."""
+    draw = random.Random(13)
+    sizes = [draw.randint(200, 499) for _ in range(2000)]
+    fit = len(packing.best_fit(sizes, list(range(2000)), 1024))
+    alone = packing.evolve(sizes, seed=1)
+    assert len(alone) < 0.99 * fit and max(sum(sizes[i] for i in b) for b in alone) <= 1024
+    other = packing.evolve(sizes, seed=2)
+    both = packing.evolve(sizes, elites=[alone, other], seed=3)
+    assert len(both) <= min(len(alone), len(other))
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    assert packing.pack_lengths(items).select("sequence_id").distinct().count() < len(alone)
+    assert packing.pack_lengths(items, epochs=1, islands=1).select("sequence_id").distinct().count() == len(packing.evolve(sizes, seed=0))
+
+
+def test_packing_query(spark, tmp_path):
+    """The query against the tokenizers library, piece by piece."""
+    import zlib
+
+    import numpy as np
+
+    tokenizers = pytest.importorskip("tokenizers")
+    rows = [(i if i is None else 10 * k + i, t) for k, (i, t) in enumerate(ODD)] + [(500, "word " * 3000), (501, "a<|endoftext|>b"), (502, "x" * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in rows:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        bounds = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(i is None, i, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    got = packing.op6_packing(spark, str(tmp_path)).collect()
+    plain = lambda rows: sorted((r[0], r[1] or 0, *r[2:]) for r in rows)
+    assert plain((r.doc_id is None, r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == plain(want)
+
+
 def test_best_fit():
     sizes = [500, 400, 124, 600, 424, 1024]
     assert len(packing.evolve(sizes)) == 3 and packing.evolve([]) == []
@@ -198,6 +351,39 @@ def test_fingerprints(spark):
     assert fingerprints.neighbours(docs.where("false")).count() == 0 and fingerprints.neighbours(docs.where("doc_id = 50")).first().near_next == 1
 
 
+def test_fingerprint_order_and_merge(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(-(2**63), "a b c d e f"), (2**63 - 1, "g h i j k l m"), (0, "n o p q r s t u")]
+    got = {r.doc_id: r for r in fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        n = len(t) // 3
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + order[(k + 1) % 3][1][:n]).encode()).hexdigest()
+    draw = random.Random(16)
+    few = lambda n: " ".join("w" + str(draw.randrange(10**6)) for _ in range(n))
+    pairs = [(few(n), few(m)) for n, m in [(0, 0), (0, 3), (5, 5), (6, 7), (5, 900), (300, 400)] * 5]
+    frame = spark.createDataFrame(pairs, "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    for (a, b), r in zip(pairs, frame.withColumn("m", fingerprints.merged(F.col("a"), F.col("b"))).collect()):
+        every = {*r.a, *r.b}
+        low = {h for h in every if h < 1 << 60}
+        assert r.m == sorted(low or ({min(every)} if every else set()))
+
+
+def test_fingerprint_likeness(spark):
+    """Estimates of texts that share a known part, by all their shingles."""
+    draw = random.Random(17)
+    pool = ["w" + str(draw.randrange(10**6)) for _ in range(30_000)]
+    rows = [(9 - k, " ".join(pool[2000 * k : 2000 * k + 6000])) for k in range(9)]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    got = {r.doc_id: r for r in fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), (_, after) in zip(rows, rows[1:]):
+        a, b = shingles(t), shingles(after)
+        n = len(t) // 3
+        c = shingles(t[: len(t) - n] + after[:n])
+        assert abs(got[i].near_next - len(a & b) / len(a | b)) < 0.08 and abs(got[i].near_edited - len(a & c) / len(a | c)) < 0.08
+
+
 def test_fingerprint_containment(spark):
     from pyspark.sql import functions as F
 
@@ -209,45 +395,128 @@ def test_fingerprint_containment(spark):
 
 
 def test_url_rules(spark):
-    urls = ["https://Example.COM/en/x?q", "http://www.example.com/en/", "http://a.b.net/es/1", "net", None, "http://x.org", "ftp://notexample.com/en/x://y", "http://example.com", "http://example.com/en", "x://://a.net/fr/"]
+    urls = ["https://Example.COM/en/x?q", "http://www.example.com/en/", "http://a.b.net/es/1", "net", None, "http://x.org", "ftp://notexample.com/en/x://y", "http://example.com", "http://example.com/en", "x://://a.net/fr/", "http://a\nb.net/es/x", "http://a\u2028b.net/es/", "http://net/es\n/"]
     pages = spark.createDataFrame([(u, 1) for u in [*urls, urls[0]]], "url string, token int")
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urlrules.judge(pages).collect()}
     assert got[urls[0]] == ("example.com", "/en/x", "example.com/en/", "block") and got[urls[1]][2:] == ("www.example.com/en/", "allow")
     assert got[urls[2]][2:] == ("net/es/", "block") and got["net"] == ("", "", None, "allow") and got[None] == ("", "", None, "allow")
+    assert got[urls[10]] == ("a\nb.net", "/es/x", "net/es/", "block") and got[urls[11]][2] == "net/es/" and got[urls[12]][2] is None
     assert got[urls[6]][2] == "com/" and got[urls[7]] == ("example.com", "", None, "allow") and got[urls[8]][2] == "com/"
     assert urlrules.judge(pages).count() == len(urls) + 1 and urlrules.judge(pages.where("false")).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op3_substrings", "op8_url_filters"])
+@pytest.mark.parametrize("name", ["op3_substrings", "op8_url_filters", "op9_embeddings"])
 def test_oracles(spark, name):
     import duckdb
 
     from folioforge.llm.registry import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     plain = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).where(f.notna(), None).values.tolist()))
     assert plain(got) == plain(want)
 
 
+def near_groups(texts):
+    """The least place of each text's component under Jaccard 0.8 of five-word shingles, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_shingle = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by_shingle.setdefault(g, []).append(i)
+    blank = [i for i, s in enumerate(sets) if not s]
+    pairs = {(a, b) for rows in by_shingle.values() for a in rows for b in rows if a < b} | {(blank[0], b) for b in blank[1:]}
+    for a, b in pairs:
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def without_repeats(texts, width=35):
+    split = [(t or "").encode().split() for t in texts]
+    seen = {}
+    for d, s in enumerate(split):
+        for i in range(len(s) - width + 1):
+            seen.setdefault(tuple(s[i : i + width]), []).append((d, i))
+    gone = [set() for _ in split]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                gone[d].update(range(i, i + width))
+    return [b" ".join(w for k, w in enumerate(s) if k not in g).decode() if g else t or "" for t, s, g in zip(texts, split, gone)]
+
+
+def pipeline_by_force(docs, labels_frame, docs_frame):
+    """Rows of run() but for the placing: the stages one by one in plain Python; only the model comes from the operator."""
+    import zlib
+
+    import numpy as np
+
+    model = toxicity.train(docs_frame, labels_frame)
+    rows = [(i, t) for (i, t), s in zip(docs, toxicity.tag(model, [t or "" for _, t in docs])[0]) if s < 0.5]
+    rows.sort()
+    groups = near_groups([t for _, t in rows])
+    rows = [r for k, r in enumerate(rows) if groups[k] == k]
+    rows = [(i, t) for (i, _), t in zip(rows, without_repeats([t for _, t in rows]))]
+    out = []
+    for i, t in rows:
+        for a, b in reversed(merged(secrets.find(t)[1])):
+            t = f"{t[:a]}[SECRET]{t[b:]}"
+        ids = packing.token_ids(t, RANKS)
+        first = len(ids) % 1024 or 1024
+        bounds = [0, *range(first, len(ids) + 1, 1024)]
+        out += [(i, k, a, b - a, zlib.crc32(np.asarray(ids[a:b], dtype="<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    return sorted(out)
+
+
+def same_as_by_force(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = cp.run(spark, sf).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+    want = pipeline_by_force([(r.doc_id, r.text) for r in docs.collect()], spark.read.parquet(f"{sf}/labels.parquet"), docs)
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    return got
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_pipeline(spark):
-    """Each stage's decisions, taken by hand from the stage before."""
+    assert same_as_by_force(spark, SF)
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Nulls, blanks, repeated rows, a very long text, clashing extra columns, and an empty table."""
     import corpus_pipeline as cp
-    from folioforge.llm.common import stash
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = [docs]
-    for _, stage in cp.STAGES[:-1]:
-        kept.append(stash(stage(spark, kept[-1], SF)))
-        assert kept[-1].columns == cp.COLUMNS
-    rows = [{r.doc_id: r.text for r in d.collect()} for d in kept]
-    assert len(rows[0]) >= len(rows[1]) >= len(rows[2]) == len(rows[3]) == len(rows[4])
-    assert all(rows[1][i] == rows[0][i] for i in rows[1]) and len(set(rows[2].values())) == len(rows[2])
-    assert not any(secrets.find(t)[1] for t in rows[4].values())
-    packed = cp.run(spark, SF).collect()
-    assert {r.doc_id for r in packed} == set(rows[4])
-    assert sum(r.length for r in packed) == sum(len(packing.token_ids(t, RANKS)) for t in rows[4].values())
+
+    draw = random.Random(20)
+    text = lambda n: " ".join("w" + str(draw.randrange(10**5)) for _ in range(n))
+    base, passage = text(120), text(50)
+    rows = [(1, None), (2, ""), (3, " \n "), (4, base), (5, base), (6, base.replace(" ", "  ", 3)), (6, base.replace(" ", "  ", 3)), (7, f"{text(30)} {passage} {text(9)}"), (8, f"{passage} {text(20)}"), (9, text(30_000)), (10, "token = abcdefgh " + text(8)), (11, "é🙂 日本")]
+    docs = spark.createDataFrame([(i, t, "n", "s", 1, 5, "x", 2.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, node string, score double")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(4, 0), (None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = cp.run(spark, f"{tmp_path}/a").collect()
+    assert {r.doc_id for r in got} == {1, 4, 7, 8, 9, 10, 11} and len([r for r in got if r.doc_id == 1]) == 1
+    assert max(r.piece for r in got if r.doc_id == 9) > 50
+    docs.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/labels.parquet").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/b").count() == 0
