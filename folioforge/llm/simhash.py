@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from folioforge.llm.common import arrow_map, as_bytes, components, stash, table, unstash
 
@@ -143,10 +143,18 @@ def simhash(docs: DataFrame, *, width: int = 3, distance: int = 3, blocks: int =
 
 
 #: For similarity: words of 64 sign bits a document, least shingles of a document that serve as its keys.
-WIDE, KEYS = 4, 24
+WIDE, KEYS = 3, 10
 #: Sign bits that may differ in a pair to be verified: from SHORT shingles on, and below. At Jaccard 0.8 the mean is
-#: 39 and 5.7 the deviation; of few shingles up to 48 and 6.2. Either limit lies six deviations off.
-SHORT, FAR, FAR_SHORT = 64, 73, 86
+#: 29 and 5.0 the deviation; of few shingles up to 36 and 5.4. Either limit lies five deviations off.
+SHORT, FAR, FAR_SHORT = 64, 54, 63
+#: Rows of a key compared in one place; shingles of such rows, where whole sets are compared.
+BLOCK, SHINGLES = 2048, 500_000
+#: Documents up to which the wanted ones are broadcast to pick their sets (8 bytes each); more are joined.
+FEW = 1_000_000
+#: Candidates of a document in one group that are named as pairs; of those with more, whole sets meet in one place.
+NAMED = 16
+#: Keys of a document that are listed beside it, so that a pair is compared under its first common one of these only.
+LISTED = 16
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -188,12 +196,12 @@ def _shingled(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in as_bytes(batch.column("text"))]
-            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            marks = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes(), SEED) for s in sets), dtype=np.int64).reshape(-1, 2)
             bits = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
             keys = _lists([s[: min(KEYS, _prefix(len(s), similarity))] for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(bits[:, k]) for k in range(WIDE)), keys, _lists(sets)],
-                names=["doc_id", "node", "n", *(f"f{k}" for k in range(WIDE)), "keys", "shingles"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(bits[:, k]) for k in range(WIDE)), keys, _lists(sets)],
+                names=["doc_id", "row", "m0", "m1", "n", *FS, "keys", "shingles"],
             )
 
     return run
@@ -210,129 +218,183 @@ def _rekeyed(crowded: np.ndarray, similarity: float):
             for lo, hi in zip(ends, ends[1:]):
                 last = np.isin(flat[lo:hi], crowded)
                 keys.append(np.concatenate([flat[lo:hi][~last], flat[lo:hi][last]])[: _prefix(hi - lo, similarity)].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(keys)], names=["node", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["node", "n", *FS]), _lists(keys)], names=["node", "n", *FS, "keys"])
 
     return run
 
 
-def _near(x: int, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows may be similar to row x, by size (exactly) and sign bits."""
-    size = np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-9
-    far = np.where((n < SHORT) | (n[x] < SHORT), FAR_SHORT, FAR)
-    return size & (np.bitwise_count(bits ^ bits[x]).sum(axis=1) <= far)
+FS = [f"f{k}" for k in range(WIDE)]
+#: What names a key: 1 for keys anew, and the shingle. What names a group: two chunks of the key's rows beside it.
+KEY = ["anew", "key"]
+GROUPED = [*KEY, "i", "j"]
 
 
-def _members(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+def _near(n: np.ndarray, bits: np.ndarray, x_n: int, x_bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may be similar to a row x, by size (exactly) and sign bits."""
+    size = np.minimum(n, x_n) >= similarity * np.maximum(n, x_n) - 1e-9
+    far = np.where((n < SHORT) | (x_n < SHORT), FAR_SHORT, FAR)
+    return size & (np.bitwise_count(bits ^ x_bits).sum(axis=1) <= far)
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """The place in the batch and the rows of each group."""
     lists = batch.column("members")
     rows, ends = lists.flatten(), lists.offsets.to_numpy()
     columns = {rows.type.field(i).name: c.to_numpy(zero_copy_only=False) for i, c in enumerate(rows.flatten())}
-    keys = columns.pop("keys")
-    bits = np.stack([columns[f"f{k}"] for k in range(WIDE)], axis=1).view(np.uint64)  # of a negative number, bitwise_count takes the absolute value
-    named = zip(batch.column("anew").to_pylist(), batch.column("key").to_pylist(), ends - ends[0], ends[1:] - ends[0])
-    for anew, key, lo, hi in named:
-        yield {name: c[lo:hi] for name, c in columns.items()} | {"bits": bits[lo:hi], "before": _before(keys[lo:hi], 0 if anew else key)}
+    columns["bits"] = np.stack([columns.pop(f) for f in FS], axis=1).view(np.uint64)  # of a negative number, bitwise_count takes the absolute value
+    for place, (lo, hi) in enumerate(zip(ends - ends[0], ends[1:] - ends[0])):
+        yield place, {name: c[lo:hi] for name, c in columns.items()}
 
 
-def _before(keys: np.ndarray, key: int) -> np.ndarray:
-    """The keys of each row that come before this one, by a number each from 1, 0 where none is left; none for new keys."""
-    rows = [k.view(np.uint64)[k.view(np.uint64) < np.int64(key).view(np.uint64)] for k in keys]
-    out = np.zeros((len(rows), KEYS), dtype=np.uint64)
-    for row, k in zip(out, rows):
-        row[: len(k)] = k
-    return out
+def _gathered(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy(*GROUPED).agg(F.collect_list(F.struct("node", "n", *FS, *more)).alias("members")).where("size(members) > 1")
+
 
+def _middle(bits: np.ndarray) -> np.ndarray:
+    """Of each row, the sign bits that differ from those of most rows."""
+    ones = np.unpackbits(bits.view(np.uint8), axis=1).mean(axis=0) > 0.5
+    return np.bitwise_count(bits ^ np.packbits(ones).view(np.uint64)).sum(axis=1)
 
-def _first_here(g: dict[str, np.ndarray], x: int, rows: np.ndarray) -> np.ndarray:
-    """Which of the rows share no earlier key with row x, as pairs that do are seen to in that key's group."""
-    own = g["before"][x]
-    return ~np.isin(g["before"][rows], own[own > 0]).any(axis=1)
 
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups in, the row in the middle of each out, and how far from the middle it is."""
+    for batch in batches:
+        places, found = [], []
+        for place, g in _members(batch):
+            off = _middle(g["bits"])
+            at = np.lexsort((g["node"], off))[0]
+            places.append(place)
+            found.append((g["node"][at], g["n"][at], *g["bits"][at].view(np.int64), off[at]))
+        at, values = pa.array(places, pa.int64()), np.array(found, dtype=np.int64).reshape(-1, WIDE + 3)
+        columns = [pa.array(values[:, 0]), pa.array(values[:, 1].astype(np.int32)), *(pa.array(values[:, 2 + k]) for k in range(WIDE)), pa.array(values[:, -1])]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in KEY), *columns], names=[*KEY, "node", "n", *FS, "off"])
 
-def _trees(similarity: float):
-    """Groups in, pairs to verify out: a tree over each set of rows connected by what may be similar."""
+
+def _stars(similarity: float):
+    """Groups in, out a pair for each row that may be similar to the row of its star: the one in the middle of those left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = [], []
-            for g in _members(batch):
-                left = np.argsort(g["node"])
+            places, first, second, far = [], [], [], []
+            for place, g in _members(batch):
+                left = np.lexsort((g["node"], ~g["given"]))
+                given = int(g["given"].sum())  # the key's own pivot, if it has one, comes before those of the block
                 while len(left) > 1:
-                    todo, left = [left[0]], left[1:]
-                    while todo and len(left):
-                        x = todo.pop()
-                        rows = np.concatenate([[x], left])
-                        near = _near(0, g["n"][rows], g["bits"][rows], similarity)[1:]
-                        near[near] = _first_here(g, x, left[near])
-                        found, left = left[near], left[~near]
-                        first += [g["node"][x]] * len(found)
-                        second += g["node"][found].tolist()
-                        todo += found.tolist()
-            a, b = np.array([first, second], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    bits = g["bits"][left]
+                    x = left[0] if given else left[np.argmin(_middle(bits))]
+                    given = max(0, given - 1)
+                    rest = left[g["node"][left] != g["node"][x]]
+                    near = _near(g["n"][rest], g["bits"][rest], g["n"][x], g["bits"][x], similarity)
+                    found, left = rest[near], rest[~near]
+                    places += [place] * len(found)
+                    first += g["node"][found].tolist()
+                    second += [int(g["node"][x])] * len(found)
+                    far += np.bitwise_count(g["bits"][found] ^ g["bits"][x]).sum(axis=1).tolist()
+            at = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in KEY), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(far, pa.int32())], names=[*KEY, "a", "b", "far"]
+            )
 
     return run
 
 
+def _before(keys: np.ndarray, key: int) -> np.ndarray:
+    """For each row its listed keys below this one, a row of a matrix filled up with the greatest number."""
+    out = np.full((len(keys), LISTED), key_none, dtype=np.int64)
+    for row, own in zip(out, keys):
+        own = own[own < key]
+        row[: len(own)] = own
+    return out
+
+
+key_none = np.iinfo(np.int64).max
+
+
 def _apart(similarity: float):
-    """Groups in, out the rows that may be similar to one of another component."""
+    """Groups in; out each pair of rows of different components that may be similar and has a guest in it.
+
+    If a guest has more than NAMED such partners, the rows of these pairs come
+    out alone, to meet with whole sets in one place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, nodes = [], []
-            for place, g in enumerate(_members(batch)):
-                roots, counts = np.unique(g["root"], return_counts=True)
-                if len(roots) < 2:
-                    continue
-                open_ = np.zeros(len(g["node"]), dtype=bool)
-                for x in np.flatnonzero(g["root"] != roots[counts.argmax()]):  # each such pair has an end outside the largest
-                    near = _near(x, g["n"], g["bits"], similarity) & (g["root"] != g["root"][x])
-                    near[near] = _first_here(g, x, np.flatnonzero(near))
-                    if near.any():
-                        open_ |= near
-                        open_[x] = True
-                nodes += g["node"][open_].tolist()
-                places += [place] * int(open_.sum())
+            places, nodes, others, guests = [], [], [], []
+            for place, g in _members(batch):
+                hosts, visits = np.flatnonzero(~g["guest"]), np.flatnonzero(g["guest"])
+                if not len(visits):  # all of the key is here
+                    visits = np.flatnonzero(g["root"] != g["main"])
+                dense_hosts, dense_guests = set(), set()
+                before = _before(g["keys"], batch.column("key")[place].as_py())
+                for x in visits:
+                    near = _near(g["n"][hosts], g["bits"][hosts], g["n"][x], g["bits"][x], similarity) & (g["root"][hosts] != g["root"][x])
+                    found = hosts[near]
+                    own = before[x][before[x] != key_none]
+                    found = found[~np.isin(before[found], own).any(axis=1)]  # those pairs meet under an earlier key
+                    if len(found) > NAMED:
+                        dense_guests.add(int(g["node"][x]))
+                        dense_hosts.update(g["node"][found].tolist())
+                    else:
+                        places += [place] * len(found)
+                        nodes += [int(g["node"][x])] * len(found)
+                        others += g["node"][found].tolist()
+                        guests += [True] * len(found)
+                for rows, guest in ((sorted(dense_guests), True), (sorted(dense_hosts), False)):
+                    places += [place] * len(rows)
+                    nodes += rows
+                    others += [None] * len(rows)
+                    guests += [guest] * len(rows)
             at = pa.array(places, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in GROUPED), pa.array(nodes, pa.int64())], names=[*GROUPED, "node"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in GROUPED), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(guests, pa.bool_())], names=[*GROUPED, "node", "other", "guest"]
+            )
 
     return run
 
 
 def _verified(similarity: float):
-    """Pairs with both shingle sets in, the similar ones out."""
+    """Rows by star, the center of each first; out the pairs of a row and its center that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, None
         for batch in batches:
-            (x, i), (y, j) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("x"), batch.column("y")))
-            good = []
+            node, star, middle = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "star", "center"))
+            lists = batch.column("shingles")
+            flat, ends, good = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), []
             for k in range(batch.num_rows):
-                both = len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True))
-                good.append(both >= similarity * (i[k + 1] - i[k] + j[k + 1] - j[k] - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                shingles = flat[ends[k] : ends[k + 1]]
+                if middle[k]:
+                    center, own = star[k], shingles.copy()
+                    continue
+                assert center == star[k]
+                both = len(np.intersect1d(shingles, own, assume_unique=True))
+                if both >= similarity * (len(shingles) + len(own) - both) - 1e-9:
+                    good.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(star[good])], names=["a", "b"])
 
     return run
 
 
 def _across(similarity: float):
-    """One group with shingle sets in, out edges that connect its components wherever two rows of them are similar."""
+    """One group with shingle sets in, out edges that connect its components wherever a guest and a host of two are similar."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         node, root, n = (rows[c].to_numpy().copy() for c in ("node", "root", "n"))
-        bits = np.stack([rows[f"f{k}"].to_numpy() for k in range(WIDE)], axis=1).view(np.uint64)
+        guest = rows["guest"].to_numpy(zero_copy_only=False)
+        bits = np.stack([rows[f].to_numpy() for f in FS], axis=1).view(np.uint64)
         names, ids = np.unique(rows["shingles"].combine_chunks().flatten().to_numpy(), return_inverse=True)
         starts = np.cumsum([0, *n])
-        edges = []
-        for x in range(len(node)):
-            near = np.flatnonzero(_near(x, n, bits, similarity) & (root != root[x]))
-            near = near[near > x]
+        hosts, edges = np.flatnonzero(~guest), []
+        for x in np.flatnonzero(guest):
+            near = hosts[_near(n[hosts], bits[hosts], n[x], bits[x], similarity) & (root[hosts] != root[x])]
             if not len(near):
                 continue
             mark = np.zeros(len(names), dtype=bool)
             mark[ids[starts[x] : starts[x + 1]]] = True
             for y in near:
-                both = int(mark[ids[starts[y] : starts[y + 1]]].sum())
-                if root[y] != root[x] and both >= similarity * (n[x] + n[y] - both) - 1e-9:
+                both = int(mark[ids[starts[y] : starts[y + 1]]].sum()) if root[y] != root[x] else 0
+                if both and both >= similarity * (n[x] + n[y] - both) - 1e-9:
                     edges.append((node[x], node[y]))
                     root[root == root[y]] = root[x]
         a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
@@ -341,92 +403,158 @@ def _across(similarity: float):
     return run
 
 
-#: What names a group: 1 for keys anew, the key, and two chunks of a key that stays crowded.
-GROUPED = ["anew", "key", "i", "j"]
-
-
-def _groups(distinct: DataFrame, sets: DataFrame, similarity: float, group: int) -> DataFrame:
-    """Rows (GROUPED, node): any two similar documents are in one of the groups, each of about ``group`` at most.
+def _keyed(distinct: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Rows anew, key, node, n, sign bits, size: any two similar documents share a key, and only shared keys are there.
 
     The keys are a document's least shingles. The least shingle that two
     similar ones share is among the first KEYS of both unless KEYS of only one
-    come before, 0.2 ** KEYS at 0.8. Documents with a crowded key get new ones:
-    the whole prefix, in an order with all shingles last that more than
-    ``group`` of them hold. What is crowded still consists of documents
-    that are made of such shingles; all pairs of its chunks are groups.
+    come before, 0.2 ** KEYS at 0.8. Documents with a crowded key, one that
+    more than ``block`` have, get new ones: the whole prefix, in an order with
+    all shingles last that more than ``block`` of them hold.
     """
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    own = ["node", "n", *FS]
+    keyed = distinct.select(*own, F.explode("keys").alias("key"))
     sizes = stash(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     shared = keyed.join(sizes, "key")
-    whole = [F.lit(0).alias("i"), F.lit(0).alias("j")]
-    out = shared.where(F.col("size") <= group).select(F.lit(0).alias("anew"), "key", *whole, "node")
-    if sizes.where(F.col("size") > group).isEmpty():
+    out = shared.where(F.col("size") <= block).select(F.lit(0).alias("anew"), "key", *own, "size")
+    if sizes.where(F.col("size") > block).isEmpty():
         return stash(out)
-    hot = stash(_sets_of(sets, shared.where(F.col("size") > group).select("node").distinct()))
-    crowded = hot.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group)
+    wanted = _sets_of(shared.where(F.col("size") > block).select("node"), sets)
+    hot = stash(_with_sets(distinct.select(*own), wanted))
+    unstash(wanted)
+    crowded = hot.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    # at most the hot documents' shingles over block: each is in more than block sets
     crowded = np.array([r.key for r in crowded.select("key").collect()], dtype=np.int64)
-    anew = stash(arrow_map(hot, _rekeyed(crowded, similarity), "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
+    schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
+    anew = stash(arrow_map(hot, _rekeyed(crowded, similarity), schema).select(*own, F.explode("keys").alias("key")))
+    unstash(hot)
     anew = anew.join(stash(anew.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")), "key")
-    chunks = F.when(F.col("size") <= group, 1).otherwise(F.ceil(F.col("size") * 2 / group)).cast("int")
-    dealt = anew.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return stash(out.unionByName(dealt.select(F.lit(1).alias("anew"), "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node")))
+    return stash(out.unionByName(anew.select(F.lit(1).alias("anew"), "key", *own, "size")))
+
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node and others) with the shingles of node."""
+    return rows.join(sets, "node")
 
-def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    nodes = stash(nodes)  # so that few are broadcast, and the sets that nobody asks for not dealt out
-    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
+def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of nodes. So that the sets that nobody asks for are not dealt out, the nodes are broadcast if they are few."""
+    nodes = stash(nodes.distinct())
+    return stash(sets.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node", "left_semi"))
 
-def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+
+def _check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the different pairs a, b that are similar.
+
+    All a of one b are read in a row behind the set of b; those of a popular b
+    are dealt out to parts, each behind a copy of it.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    centers = parts.select(F.col("b").alias("node"), F.col("b").alias("star"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("center"))
+    popular = stash(parts.where("parts > 1"))
+    rows = pairs.join(popular, "b", "left").select(F.col("a").alias("node"), F.col("b").alias("star"), F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("center"))
+    placed = _with_sets(rows.unionByName(centers), sets).repartition("star", "part").sortWithinPartitions("star", "part", F.desc("center"))
+    return stash(arrow_map(placed, _verified(similarity), "a long, b long"))
+
+
+def _meetings(rows: DataFrame, roots: DataFrame, tried: DataFrame, block: int) -> DataFrame:
+    """Rows of groups in which all pairs of a key that are in different components meet: GROUPED, node, n, bits, root, main, guest.
+
+    Only keys of which some rows may be similar, and that are in more than one
+    block or component, are there. The guests are the rows outside the key's
+    largest component: each such pair has one. Where a key's rows or guests
+    exceed a block, each block of rows meets each block of guests.
+    """
+    named = rows.join(tried, KEY, "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = stash(named)
+    lists = named.groupBy("anew", "node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("keys"))
+    by_root = named.groupBy(*KEY, "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    keys = by_root.groupBy(*KEY).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("most"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
+    share = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block), F.ceil(F.col("w") * F.col(c) / F.col("c") / SHINGLES)).cast("int")
+    keys = stash(keys.withColumn("guests", F.col("c") - F.col("most")).withColumn("is", share("c")).withColumn("js", share("guests")).select(*KEY, "main", "is", "js"))
+    met = named.join(keys, KEY).join(lists, ["anew", "node"])
+    own = ["node", "n", *FS, "root", "main", "keys"]
+    hosts = met.withColumn("i", F.pmod(F.xxhash64("node", "key"), F.col("is")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+    guests = met.where("(is > 1 or js > 1) and root <> main").withColumn("j", F.pmod(F.xxhash64("key", "node"), F.col("js")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
+    return hosts.select(*GROUPED, *own, F.lit(False).alias("guest")).unionByName(guests.select(*GROUPED, *own, F.lit(True).alias("guest")))
+
+
+def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Documents that share a key (see _groups) and may be similar by size and by
-    WIDE * 64 sign bits are verified on their whole shingle sets. First a tree
-    of such pairs is verified in each group, which settles groups of copies in
-    linear time; then all pairs of a group that are in different components
-    still. Returns one row per input row: doc_id, component_id. Nulls, blanks
-    and ties as in simhash.
+    Documents that share a key (see _keyed) and may be similar by size and by
+    WIDE * 64 sign bits are verified on their whole shingle sets. First a star
+    around the middle of each group is verified, which settles groups of
+    copies in linear time; then all pairs of a key that are in different
+    components still. Returns one row per input row: doc_id, row,
+    component_id. row is that of docs, if it has this column, or null. Nulls,
+    blanks and ties as in simhash.
     """
-    fs = [f"f{k}" for k in range(WIDE)]
-    schema = "doc_id long, node long, n int, " + ", ".join(f"{f} long" for f in fs) + ", keys array<long>, shingles array<long>"
-    prints = stash(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _shingled(width, similarity), schema))
+    row = F.col("row") if "row" in docs.columns else F.lit(None)
+    schema = "doc_id long, row long, m0 long, m1 long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>, shingles array<long>"
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    prints = stash(arrow_map(given, _shingled(width, similarity), schema).withColumn("node", F.monotonically_increasing_id()))
+    # equal sets are told by 128 bits and go on as one node, the least of their row numbers
+    marks = ["m0", "m1"]
+    distinct = stash(prints.groupBy(*marks).agg(F.min("node").alias("node"), F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ["n", *FS, "keys"])))
     sets = prints.select("node", "shingles")
-    distinct = stash(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ["n", *fs, "keys"])))
-    grouped = _groups(distinct, sets, similarity, group)
-    sketched = distinct.select("node", "n", *fs)
-    known = distinct.select("node", "n", *fs, "keys")
-    gathered = lambda rows, *more: rows.groupBy(*GROUPED).agg(F.collect_list(F.struct("node", "n", *fs, "keys", *more)).alias("members")).where("size(members) > 1")
-    pairs = stash(arrow_map(gathered(grouped.join(known, "node")), _trees(similarity), "a long, b long").distinct())
-    needed = stash(_sets_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    paired = pairs.join(needed.toDF("a", "x"), "a").join(needed.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    edges = stash(arrow_map(paired, _verified(similarity), "a long, b long"))
-    unstash(needed, pairs)
+    rows = _keyed(distinct, sets, similarity, block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).withColumn("j", F.lit(0))
+
+    starred = rows.withColumn("given", F.lit(False))
+    large = rows.where("blocks > 1")
+    many = not large.isEmpty()
+    if many:  # a key in several blocks has one pivot for all
+        own = ["node", "n", *FS]
+        pivots = arrow_map(_gathered(large), _pivots, "anew int, key long, node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", off long")
+        pivots = pivots.groupBy(*KEY).agg(F.min_by(F.struct(*own), F.struct("off", "node")).alias("p"))
+        spread = large.groupBy(*KEY).agg(F.max("blocks").alias("blocks")).join(pivots, KEY).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        starred = starred.select(*GROUPED, *own, "given").unionByName(spread.select(*KEY, "i", F.lit(0).alias("j"), *(F.col(f"p.{c}").alias(c) for c in own), F.lit(True).alias("given")))
+    near = stash(arrow_map(_gathered(starred, "given"), _stars(similarity), "anew int, key long, a long, b long, far int"))
+    # one star for each row, the nearest
+    pairs = stash(near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
+    wanted = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
+    edges = _check_pairs(pairs, wanted, similarity)
+    unstash(wanted)
+    tried = near.select(*KEY)
+    tried = stash((tried.unionByName(large.select(*KEY)) if many else tried).distinct())
+    unstash(near, pairs)
     roots = stash(components(edges))
-    labelled = grouped.join(known, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = stash(arrow_map(gathered(labelled, "root"), _apart(similarity), "anew int, key long, i int, j int, node long"))
-    if not apart.isEmpty():
-        filled = apart.join(_sets_of(sets, apart.select("node").distinct()), "node").join(sketched, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stash(filled.groupBy(*GROUPED).applyInArrow(_across(similarity), "a long, b long"))
-        roots = components(edges.unionByName(more))
-    rooted = stash(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+
+    met = stash(_meetings(rows, roots, tried, block))
+    open_ = stash(arrow_map(_gathered(met, "root", "main", "guest", "keys"), _apart(similarity), "anew int, key long, i int, j int, node long, other long, guest boolean"))
+    unstash(met, tried)
+    if not open_.isEmpty():
+        pairs = open_.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        sets = _sets_of(open_.select(F.explode(F.array("node", "other")).alias("node")).where("node is not null"), sets)
+        edges = edges.unionByName(_check_pairs(stash(pairs), sets, similarity))
+        roots = stash(components(edges))
+        dense = open_.where("other is null").join(distinct.select("node", "n", *FS), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if not dense.isEmpty():
+            more = stash(_with_sets(dense, sets).groupBy(*GROUPED).applyInArrow(_across(similarity), "a long, b long"))
+            roots = stash(components(edges.unionByName(more)))
+    rooted = stash(distinct.join(roots, "node", "left").select(*marks, "first", F.coalesce("root", "node").alias("root")))
     least = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = stash(rooted.join(least, "root").select("node", "component_id"))
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = stash(rooted.join(least, "root").select(*marks, "component_id"))
+    return prints.select("doc_id", "row", *marks).join(named, marks).select("doc_id", "row", "component_id")
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Drop all but one document of each near-duplicate component: the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays; rows with a null doc_id all
-    stay, as they cannot be named. Columns are those of docs.
+    If several rows have that doc_id, the one whose columns hash to the least
+    number stays, and of equal rows one. Rows with a null doc_id all stay, as
+    they cannot be named. Null and blank texts are copies of each other. Columns
+    are those of docs; none may be a map.
     """
-    found = similar(docs, width=width, similarity=similarity)
-    keep = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
+    row = F.xxhash64(*(f"`{c}`" for c in docs.columns))
+    found = similar(docs.select("doc_id", "text", row.alias("row")), width=width, similarity=similarity)
+    keep = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("_row"), F.count("*").alias("n")))
+    marked = docs.withColumn("_row", row)
+    kept = marked.join(keep.where("n = 1"), ["doc_id", "_row"], "left_semi")
     if not keep.where("n > 1").isEmpty():
-        kept = kept.unionByName(docs.join(keep.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+        kept = kept.unionByName(marked.join(keep.where("n > 1"), ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return kept.unionByName(marked.where("doc_id is null")).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

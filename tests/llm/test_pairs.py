@@ -86,8 +86,8 @@ def test_keep_one(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, rows)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 8])
-def test_similar(spark, group):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 8])
+def test_similar(spark, block):
     draw = random.Random(6)
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
     rows = []
@@ -104,7 +104,7 @@ def test_similar(spark, group):
     rows += [f"{boiler} {words(draw, 3)}" for _ in range(30)] + ["", " "]
     sets = [shingles(t) for t in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
-    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(rows))), group=group).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(rows))), block=block).collect()}
     assert got == joined(pairs, range(len(rows)))
 
 
@@ -123,7 +123,7 @@ def removed(texts, width):
     return [([w for k, w in enumerate(s) if k not in g], len(g)) for s, g in zip(split, gone)]
 
 
-@pytest.mark.parametrize(("width", "start"), [(35, None), (8, 2), (9, 4), (5, 5)])
+@pytest.mark.parametrize(("width", "start"), [(35, None), (35, 18), (8, 2), (9, 4), (5, 5)])
 def test_substrings(spark, width, start):
     draw = random.Random(width)
     shared = [words(draw, n) for n in (width - 1, width, width + 1, 3 * width)]
@@ -136,6 +136,32 @@ def test_substrings(spark, width, start):
     assert sorted(digest(r.n_removed, r.text) for r in got.collect()) == sorted(digest(n, " ".join(k)) for k, n in removed(texts, width))
 
 
+def test_substrings_long_text(monkeypatch):
+    """Texts of more words than places fit beside hashes choose the same parts as others."""
+    import pyarrow as pa
+
+    draw = random.Random(18)
+    words_ = substrings.Words(pa.RecordBatch.from_pydict({"text": [words(draw, 500), "same " * 80, words(draw, 36)]}))
+    starts = words_.windows(35)
+    for width in (9, 18, 35):
+        monkeypatch.undo()
+        want, _ = substrings._chosen(words_, starts, 35, width)
+        monkeypatch.setattr(substrings, "PLACES", 1)
+        h = words_.hashes(words_.windows(width), width)
+        got = substrings._chosen_long(h, words_.windows(width), starts, 35 - width + 1, len(words_.start))
+        assert (got == want).all()
+
+
+def test_substrings_copied_and_single(spark):
+    """A window that one text shares only with a text that has copies, through three levels."""
+    draw = random.Random(19)
+    shared = words(draw, 40)
+    copied = f"{words(draw, 9)} {shared} {words(draw, 9)}"
+    texts = [copied, copied, f"{words(draw, 20)} {shared} {words(draw, 20)}", words(draw, 60)]
+    got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: 58, 1: 58, 2: 40, 3: 0}
+
+
 def test_substrings_empty(spark):
     assert substrings.substring_dedup(frame(spark, [])).count() == 0
 
@@ -158,6 +184,12 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_doubles(spark):
+    data = [(1, [1.0, 0.0]), (2, [1e-60, 1e-61]), (3, [1e60, 0.0]), (4, [0.0, 1e300]), (5, [1e-300, 1e-300]), (6, None), (7, [float("inf"), 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
 def test_embeddings_lone_pairs(spark):
     assert embeddings.passes_for(50, 0.9, 64) == embeddings.PASSES and embeddings.passes_for(3_000_000, 0.9, 64) > 70
     draw = np.random.default_rng(7)
