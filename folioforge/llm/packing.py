@@ -24,6 +24,8 @@ SEPARATOR = 2
 #: Items of a shard, which is packed on its own; islands that each search for a packing of it, and epochs between
 #: which each island's elite also moves to the next island; generations of an epoch, and packings on an island.
 SHARD, ISLANDS, EPOCHS, GENERATIONS, HERD = 4096, 3, 3, 15, 6
+#: Generations without fewer sequences after which an island rests; one that gained nothing in an epoch is done.
+PATIENCE = 6
 #: A shard is searched no further once its sequences exceed the least conceivable number by this share at most.
 CLOSE = 0.001
 #: The items of a shard's sequences below this fill are packed once more with those of other shards, the least filled
@@ -162,9 +164,11 @@ def evolve(sizes: list[int], capacity: int = CAPACITY, *, elites: list[Packing]
         return best()
     while len(all_) < herd:
         all_.append(_mutate(sizes, all_[len(all_) % len(elites or [0])], capacity, draw, 0.3))
+    fewest, rest = len(best()), 0
     for _ in range(generations):
         all_.sort(key=lambda bins: _score(sizes, bins, capacity))
-        if len(all_[0]) <= enough:
+        fewest, rest = len(all_[0]), 0 if len(all_[0]) < fewest else rest + 1
+        if fewest <= enough or rest > PATIENCE:
             break
         one, other = draw.sample(all_[: herd // 2 + 1], 2)
         all_[-1] = _mutate(sizes, _cross(sizes, one, other, capacity, draw), capacity, draw, 0.05)
@@ -183,7 +187,8 @@ def _epoch(capacity: int, loose: float, search: dict, epoch: int):
         frame = frame.sort_values(["guest", "item"], ignore_index=True)
         shard, island = int(frame["shard"].iloc[0]), int(frame["island"].iloc[0])
         own = frame[~frame["guest"]].reset_index(drop=True)
-        sizes, elites = own["length"].tolist(), []
+        sizes = own["length"].tolist()
+        elites: list[Packing] = [] if epoch else [best_fit(sizes, list(range(len(sizes))), capacity)]
         if epoch:
             for _, part in frame.groupby("guest"):
                 bins: dict[int, list[int]] = {}
@@ -191,8 +196,9 @@ def _epoch(capacity: int, loose: float, search: dict, epoch: int):
                     bins.setdefault(k, []).append(i)
                 elites.append(list(bins.values()))
         found = evolve(sizes, capacity, elites=elites, seed=(shard * ISLANDS + island) * EPOCHS + epoch, **search)
-        done = len(found) <= least_bins(sizes, capacity, search["close"])
-        if done and island and not epoch:  # all islands start alike, so the first one has it too
+        gained = len(found) < min(map(len, elites))
+        done = not gained or len(found) <= least_bins(sizes, capacity, search["close"])
+        if not gained and island and not epoch:  # all islands start alike, so the first one has as few
             found = []
         found.sort(key=lambda b: _fill(sizes, b))
         rows = [(i, k, at) for k, b in enumerate(found) for i, at in zip(b, np.cumsum([0, *(sizes[i] for i in b)]).tolist())]
@@ -213,7 +219,8 @@ def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, shard: int = SHA
     Items are dealt by a hash to shards of about ``shard``. Each shard evolves
     on several islands; after each epoch an island's elite also joins the next
     island, and the best of all islands is taken. A shard that best fit packs
-    within ``close`` of the least conceivable number is not searched. The items
+    within ``close`` of the least conceivable number is not searched, and an
+    island that an epoch gains nothing is done. The items
     of the least filled sequences, at most a share ``loose`` of a shard's, form
     fewer shards then, and so on until one is left, which settles all. Adds
     sequence_id and offset. No shards for full items: each is a sequence.
