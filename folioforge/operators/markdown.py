@@ -98,6 +98,9 @@ class Tree(HTMLParser):
                 self.formatting.append((tag, named))
         self._open(tag, named)
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+
     def handle_endtag(self, tag):
         if tag in FORMATTING:
             for i in range(len(self.formatting) - 1, -1, -1):
@@ -152,6 +155,8 @@ class Writer:
                     part = part[1:]
             else:
                 part = self._node(child)
+                if child.tag == "br":
+                    out = out.rstrip(" ")
             out = self._join(out, part)
         return out
 
@@ -161,7 +166,9 @@ class Writer:
         gap = max(len(a) - len(left), len(b) - len(right))
         if not gap:
             return a + b
-        return (left.rstrip(" ") if gap else left) + "\n" * min(2, gap) + right
+        if gap and not left.endswith("  "):  # two spaces are a line break's own
+            left = left.rstrip(" ")
+        return left + "\n" * min(2, gap) + right
 
     @staticmethod
     def _around(mark: str, inner: str) -> str:
@@ -216,7 +223,7 @@ class Writer:
         if tag == "li":
             return self._item(n, inner)
         if tag == "blockquote":
-            return "\n\n" + "\n".join(f"> {line}" if line else ">" for line in inner.strip().split("\n")) + "\n\n" if inner.strip() else ""
+            return "\n\n" + "\n".join(f"> {line}" for line in inner.strip().split("\n")) + "\n\n" if inner.strip() else ""
         if tag in BLOCK:
             return f"\n\n{inner.strip(chr(10))}\n\n" if inner.strip() else ""
         return inner
