@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
+from folioforge.storage import stored
 from folioforge.functions.urls import document_key, is_homepage, is_known_landing, is_source_like, same_site, skip_before_fetch, title_from_url
 
 SKIPPED = "low_signal_marketing_reference"
@@ -34,14 +35,9 @@ def marketing_signals(main_html, article_html) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in found.items()]))
 
 
-def low_signal(main_url, reference_url, main_html, article_html) -> Column:
+def low_signal(main_url, reference_url, signals) -> Column:
     """Homepages and landing pages of other sites that show two signals or more, unless they look like sources."""
-    return (
-        ~same_site(main_url, reference_url)
-        & ~is_source_like(reference_url)
-        & (is_homepage(reference_url) | is_known_landing(reference_url))
-        & (F.size(marketing_signals(main_html, article_html)) >= 2)
-    )
+    return ~same_site(main_url, reference_url) & ~is_source_like(reference_url) & (is_homepage(reference_url) | is_known_landing(reference_url)) & (F.col(signals) >= 2)
 
 
 def _name_all(frame: pd.DataFrame) -> pd.DataFrame:
@@ -66,11 +62,11 @@ def allocate_names(outcomes: DataFrame) -> DataFrame:
     bundles in which a counted name is also another reference's base need the
     references in order, and only they go through Python.
     """
-    named = outcomes.select("bundle_id", "pos", slug_any("title", "reference").alias("base"))
+    named = stored(outcomes.select("bundle_id", "pos", slug_any("title", "reference").alias("base")))
     own = Window.partitionBy("bundle_id", "base").orderBy("pos")
     counted = named.withColumn("n", F.row_number().over(own))
     taken = counted.where("n > 1").select("bundle_id", F.concat_ws("-", "base", F.col("n").cast("string")).alias("base"))
-    clashing = taken.join(named, ["bundle_id", "base"], "left_semi").select("bundle_id").distinct()
+    clashing = stored(taken.join(named, ["bundle_id", "base"], "left_semi").select("bundle_id").distinct())
     plain = counted.join(clashing, "bundle_id", "left_anti")
     simple = plain.select("bundle_id", "pos", F.concat(F.lit("references/"), "base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md")).alias("relative_path"))
     exact = named.join(clashing, "bundle_id", "left_semi").groupBy("bundle_id").applyInPandas(_name_all, "bundle_id long, pos int, relative_path string")
@@ -95,19 +91,26 @@ def resolve_references(links: DataFrame, sources: DataFrame) -> DataFrame:
     fail_reason, cls (the class), parsed_title, markdown_title, main_html,
     article_html. Links that no source answers fail. Sources are joined after
     the links that are skipped unread have gone; of links that end at one
-    document the first is kept and the others are aliases of it.
+    document the first is kept and the others are aliases of it. The
+    outcomes are stored, as each table of a bundle derives from them.
     """
-    planned = links.withColumn("unread", skip_before_fetch("main_url", "link_url"))
-    answered = planned.where("not unread").join(sources.withColumnRenamed("requested_url", "link_url"), "link_url", "left").withColumn("requested_url", F.col("link_url"))
+    planned = stored(links.withColumn("unread", skip_before_fetch("main_url", "link_url")))
+    # what the join carries of a source: no bodies, only how many signals they show, counted once for each source
+    narrow = sources.select(
+        F.col("requested_url").alias("link_url"), "fetched_url", "final_url", "content_type", "fail_reason", "cls", "parsed_title", "markdown_title",
+        F.size(marketing_signals("main_html", "article_html")).alias("signals"),
+    )
+    answered = planned.where("not unread").join(narrow, "link_url", "left").withColumn("requested_url", F.col("link_url"))
     failed = F.col("final_url").isNull() | F.col("fail_reason").isNotNull()
     title = F.when(failed, title_from_url("link_url")).otherwise(reference_title("cls.kind", "cls.subtype", "parsed_title", "markdown_title", "final_url"))
     answered = answered.withColumn("title", title).withColumn(
         "kind",
         F.when(failed, F.lit("failed"))
-        .when((F.col("cls.kind") == "html") & low_signal("main_url", "final_url", "main_html", "article_html"), F.lit("skipped"))
+        .when((F.col("cls.kind") == "html") & low_signal("main_url", "final_url", "signals"), F.lit("skipped"))
         .when(F.col("cls.kind") == "asset", F.lit("asset"))
         .otherwise(F.lit("readable")),
     )
+    answered = stored(answered)
     names = allocate_names(answered.where("kind <> 'skipped'"))
     answered = answered.join(names, ["bundle_id", "pos"], "left")
 
@@ -131,7 +134,7 @@ def resolve_references(links: DataFrame, sources: DataFrame) -> DataFrame:
         "bundle_id", "pos", "link_url", "link_label", F.lit("skipped").alias("kind"), none("title"), none("relative_path"), none("asset_path"),
         none("requested_url"), none("fetched_url"), none("final_url"), none("content_type"), none("cls_kind"), F.lit(SKIPPED).alias("skipped_reason"), none("fail_reason"),
     )
-    return told.unionByName(unread)
+    return stored(told.unionByName(unread))
 
 
 def link_map(mains: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def link_map(mains: DataFrame, outcomes: DataFrame) -> DataFrame:
     entries = main.unionByName(pages).unionByName(alias)
     keys = F.array_compact(F.array(*[F.col(u) for u in urls], *[document_key(u) for u in urls]))
     spread = entries.select("bundle_id", "relative_path", "title", "turn", F.explode(F.array_distinct(keys)).alias("key"))
-    return spread.groupBy("bundle_id", "key").agg(F.max_by(F.struct("relative_path", "title"), "turn").alias("v")).select("bundle_id", "key", "v.relative_path", "v.title")
+    return stored(spread.groupBy("bundle_id", "key").agg(F.max_by(F.struct("relative_path", "title"), "turn").alias("v")).select("bundle_id", "key", "v.relative_path", "v.title"))
 
 
 def look_up(rows: DataFrame, links_to: DataFrame, url: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
 from folioforge.operators import assets, extract, outcomes, render
 from folioforge.sources.captures import classified
+from folioforge.storage import forget, stored
 
 TITLE = "title"
 
@@ -31,20 +31,30 @@ def main_links(pages: DataFrame) -> DataFrame:
     return found.select("bundle_id", place.alias("pos"), F.col("final_url").alias("main_url"), "link_url", "link_label")
 
 
-def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> dict[str, DataFrame]:
+class Tables(dict[str, DataFrame]):
+    """Tables by name, and the stored steps that they read."""
+
+    steps: list[DataFrame]
+
+
+def release(tables: Tables) -> None:
+    forget(*tables.steps)
+
+
+def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     """All tables of the bundles of mains (bundle_id, url).
 
     sources: responses, one per requested_url. images: image_url, body,
     content_type, fail_reason, one per address. Returns outcomes, link_map,
     manifest, asset_outcomes, rendered (bundle_id, relative_path, markdown) and
-    files (bundle_id, relative_path, body).
+    files (bundle_id, relative_path, body). They read tables stored in the shared
+    folder, which release(tables) deletes once they have been written.
     """
-    # each is read by several of the tables; what a lost executor held is computed again
-    seen = classified(sources).persist(StorageLevel.DISK_ONLY)
-    pages = main_pages(mains, seen).persist(StorageLevel.DISK_ONLY)
-    links = main_links(pages).persist(StorageLevel.DISK_ONLY)
+    # each is read by several of the tables
+    seen = stored(classified(sources))
+    pages = stored(main_pages(mains, seen))
+    links = stored(main_links(pages))
     told = outcomes.resolve_references(links, seen.select("requested_url", "fetched_url", "final_url", "content_type", "fail_reason", "cls", "parsed_title", "markdown_title", "main_html", "article_html"))
-    told = told.persist(StorageLevel.DISK_ONLY)
     main_rows = pages.select("bundle_id", F.col("final_url").alias("page_url"), "requested_url", "fetched_url", "final_url", TITLE)
     links_to = outcomes.link_map(main_rows, told)
     sections = outcomes.reference_sections(links, links_to)
@@ -67,11 +77,13 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> dict[str
     stubs = told.where("kind = 'failed'").select("bundle_id", "relative_path", render.failure_stub("title", "link_url", "fail_reason").alias("markdown"))
     files = every.where("cls.kind = 'asset'").select("bundle_id", F.col("asset_path").alias("relative_path"), "body")
     localized = kept.where("kind = 'localized'").join(images.select("image_url", "body"), "image_url").select("bundle_id", F.col("file_path").alias("relative_path"), "body")
-    return {
+    made = Tables({
         "outcomes": told,
         "link_map": links_to,
         "manifest": outcomes.manifests(told, mains),
         "asset_outcomes": kept,
         "rendered": rendered.unionByName(text).unionByName(asset).unionByName(stubs),
         "files": files.unionByName(localized),
-    }
+    })
+    made.steps = [seen, pages, links, told, links_to]
+    return made

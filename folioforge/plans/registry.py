@@ -16,6 +16,7 @@ from folioforge.functions import classify as C
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
 from folioforge.operators import assets, chrome, extract, outcomes, render
+from folioforge.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -300,8 +301,12 @@ def _linked_sources(spark, sf_dir) -> DataFrame:
     ).withColumn("fetched_url", F.col("requested_url")).withColumn("fail_reason", F.lit(None).cast("string")).withColumn("markdown_title", F.lit(None).cast("string")).withColumn("cls", C.classify("content_type", "final_url", F.lit(None).cast("binary")))
 
 
-def _told(spark, sf_dir) -> DataFrame:
-    found = links_dedup(spark, sf_dir).join(linked(spark, sf_dir).select("page_id", F.col("url").alias("main_url")), "page_id")
+def _links(spark, sf_dir) -> DataFrame:
+    return stored(links_dedup(spark, sf_dir))
+
+
+def _told(spark, sf_dir, links: DataFrame | None = None) -> DataFrame:
+    found = (links or _links(spark, sf_dir)).join(linked(spark, sf_dir).select("page_id", F.col("url").alias("main_url")), "page_id")
     return outcomes.resolve_references(found.withColumnRenamed("page_id", "bundle_id"), _linked_sources(spark, sf_dir))
 
 
@@ -330,9 +335,9 @@ entries AS (SELECT bundle_id, unnest([u, regexp_replace(u, '#.*', '')]) AS key,
 lm AS (SELECT bundle_id, key, arg_max(path, turn) AS relative_path FROM entries GROUP BY ALL)"""
 
 
-def _map(spark, sf_dir):
+def _map(spark, sf_dir, links: DataFrame | None = None):
     mains = linked(spark, sf_dir).select(F.col("page_id").alias("bundle_id"), F.col("url").alias("page_url"), F.col("url").alias("requested_url"), F.col("url").alias("fetched_url"), F.col("url").alias("final_url"), F.lit("main").alias("title"))
-    return outcomes.link_map(mains, _told(spark, sf_dir))
+    return outcomes.link_map(mains, _told(spark, sf_dir, links))
 
 
 @query(f"WITH {_MAP} SELECT * FROM lm")
@@ -346,8 +351,9 @@ firsts AS (SELECT bundle_id, relative_path, min(pos) AS pos FROM hits GROUP BY A
 titles AS (SELECT bundle_id, relative_path, min(title) AS title FROM told WHERE kind <> 'alias' GROUP BY ALL)
 SELECT bundle_id, '## Direct References' || chr(10) || chr(10) || string_agg('- [' || title || '](' || relative_path || ')', chr(10) ORDER BY pos) AS section FROM firsts JOIN titles USING (bundle_id, relative_path) GROUP BY bundle_id""")
 def reference_section(spark, sf_dir):
-    found = links_dedup(spark, sf_dir).select(F.col("page_id").alias("bundle_id"), "pos", "link_url")
-    return outcomes.reference_sections(found, _map(spark, sf_dir))
+    links = _links(spark, sf_dir)
+    found = links.select(F.col("page_id").alias("bundle_id"), "pos", "link_url")
+    return outcomes.reference_sections(found, _map(spark, sf_dir, links))
 
 
 @query(f"""WITH {_OUTCOMES},
@@ -405,7 +411,8 @@ _SIGNS = "list_filter([CASE WHEN page_id % 2 = 0 THEN 'cta' END, CASE WHEN page_
 def marketing_signals(spark, sf_dir):
     html = F.concat(F.lit("<main><p>x</p>"), *[F.when(F.col("page_id") % n == 0, F.lit(f"<p>{p}</p>")).otherwise(F.lit("")) for n, p in _PHRASES], F.lit("</main>"))
     p = _policy(spark, sf_dir).withColumn("main_html", html)
-    return p.select("page_id", F.array_join(outcomes.marketing_signals("main_html", "main_html"), ",").alias("signals"), outcomes.low_signal("main_url", "ref_url", "main_html", "main_html").alias("skipped"))
+    p = p.withColumn("found", outcomes.marketing_signals("main_html", "main_html")).withColumn("n", F.size("found"))
+    return p.select("page_id", F.array_join("found", ",").alias("signals"), outcomes.low_signal("main_url", "ref_url", "n").alias("skipped"))
 
 
 _NOTE = "'# Turn ' || turn || chr(10) || chr(10) || '<Note>' || chr(10) || text || chr(10) || '</Note>'"
@@ -462,9 +469,47 @@ def markdown_tidy(spark, sf_dir):
 
 
 @query()
-def render_html(spark, sf_dir):
-    """Markdown of every page; the converter has no SQL form, so tests check it on fixed pages."""
+def page_markdown(spark, sf_dir):
+    """Markdown of every page; the converter has no SQL form for any markup, so tests check it on fixed pages."""
     p = extract.parse(pages(spark, sf_dir))
     return p.select("page_id", "title", render.html_body(extract.clean("main_html")).alias("markdown"))
 
 
+#: A page of each kind of markup, with its number in it.
+_RICH = (
+    '<script>no()</script><h1 class="t">Page {n}</h1><p style="x">Intro <strong>bold {n}</strong>, <em>soft</em>.</p><h2>Part {n}</h2><ul><li>one</li><li>two {n}</li></ul><ol><li>first</li><li>second</li></ol>'
+    "<table><tr><th>k</th><th>v</th></tr><tr><td><ul><li>a</li><li>b</li></ul></td><td>{n}</td></tr></table>"
+    '<p><a href="/ref/{n}">the reference</a>, <a href="/far#x">far</a>, <a href="mailto:a@b.c">mail</a> and <a href="#top">top</a>.</p>'
+    '<p><img class="i" src="/pics/fig.png" alt="Fig"> and <img src="/logo.png" alt="Site logo"><img src="/pics/gone.png" alt="gone">.</p>'
+    '<pre><code class="language-py">x = {n}</code></pre><blockquote><p>said {n}</p></blockquote><p>Use <code>f({n})</code>.</p><hr><p>a<br>b</p>'
+)
+_RICH_MD = (
+    "# Page {n}\n\nSource: https://site.example.org/p/{n}\nContent-Type: text/html\n\n## Direct References\n\n- [Ref](references/ref-{n}.md)\n\n"
+    "Intro **bold {n}**, _soft_.\n\n## Part {n}\n\n-   one\n-   two {n}\n\n1.  first\n2.  second\n\n"
+    "| k | v |\n| --- | --- |\n| a<br>b | {n} |\n\n"
+    "[the reference](references/ref-{n}.md), [far](https://site.example.org/far#x), [mail](mailto:a@b.c) and [top](#top).\n\n"
+    "![Fig](assets/01-fig.png) and .\n\n"
+    "```\nx = {n}\n```\n\n> said {n}\n\nUse `f({n})`.\n\n* * *\n\na  \nb\n"
+)
+
+
+def _spelled(template: str) -> str:
+    """SQL for a template with page_id in the place of {n}."""
+    quoted = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return quoted.replace("{n}", "' || page_id || '")
+
+
+@query(f"SELECT page_id AS bundle_id, 'index.md' AS relative_path, {_spelled(_RICH_MD)} AS markdown FROM pages")
+def render_html(spark, sf_dir):
+    """Pages of every kind of markup through the whole operator: links, images, sections and Markdown."""
+    n = F.col("page_id").cast("string")
+    filled = lambda template: F.replace(F.lit(template), F.lit("{n}"), n)
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("bundle_id"), n.alias("n"), filled("https://site.example.org/p/{n}").alias("url"), filled(_RICH).alias("main_html"), filled("Page {n}").alias("title"), filled("references/ref-{n}.md").alias("ref"), filled("https://site.example.org/ref/{n}").alias("key"))
+    mains = p.select("bundle_id", F.lit("index.md").alias("relative_path"), F.col("url").alias("page_url"), "title", F.col("url").alias("requested_url"), F.col("url").alias("fetched_url"), F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), "main_html")
+    links_to = p.select("bundle_id", "key", F.col("ref").alias("relative_path"), F.lit("Ref").alias("title"))
+    picture = lambda name, kind, path: F.struct(F.lit(f"https://site.example.org/pics/{name}.png").alias("image_url"), F.lit(kind).alias("kind"), F.lit(path).cast("string").alias("relative_path"))
+    shown = p.select("bundle_id", F.lit("index.md").alias("page_path"), F.explode(F.array(picture("fig", "localized", "assets/01-fig.png"), picture("gone", "dropped", None))).alias("i")).select("bundle_id", "page_path", "i.*")
+    sections = p.select("bundle_id", F.concat(F.lit("## Direct References\n\n- [Ref]("), "ref", F.lit(")")).alias("section"))
+    return render.render_html(mains, links_to, shown, sections)
+
+

@@ -6,8 +6,14 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -20,6 +26,41 @@ def pretty_manifest(compact: str) -> str:
     return json.dumps(json.loads(compact), indent=2, ensure_ascii=False) + "\n"
 
 
+def write_files(tables: dict[str, DataFrame], root: str) -> None:
+    """All bundles' files below root/<bundle_id>/ on storage that all executors see as a path, written by the executors.
+
+    Each task writes the rows of its partition to a name of its own beside the
+    target and renames it, so a task that runs twice leaves whole files. The
+    manifests come last: a bundle with one is complete.
+    """
+
+    def written(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in rows:
+            for bundle, relative, body in zip(*(batch.column(c).to_pylist() for c in ("bundle_id", "relative_path", "body"))):
+                folder = os.path.join(root, str(bundle))
+                path = os.path.normpath(os.path.join(folder, relative))
+                if not path.startswith(folder + os.sep):
+                    raise ValueError(f"path leaves the bundle: {relative}")
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                own = f"{path}.{uuid.uuid4().hex}"
+                with open(own, "wb") as f:
+                    f.write(body or b"")
+                os.replace(own, path)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    text = tables["rendered"].select("bundle_id", "relative_path", F.col("markdown").cast("binary").alias("body"))
+    manifest = tables["manifest"].select("bundle_id", F.lit("references/references.json").alias("relative_path"), _pretty("json").alias("body"))
+    for rows in (text.unionByName(tables["files"].select("bundle_id", "relative_path", "body")), manifest):
+        rows.mapInArrow(written, "n long").agg(F.sum("n")).collect()
+
+
+@F.pandas_udf(BinaryType())
+def _pretty(compact: pd.Series) -> pd.Series:
+    return compact.map(lambda x: pretty_manifest(x).encode())
+
+
 def write_bundle(tables: dict[str, DataFrame], bundle_id: int, out_dir: str) -> None:
     """One bundle's files in out_dir, which they replace when all are written.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.urls import document_key
-from folioforge.plans.bundle import bundles
+from folioforge.plans.bundle import bundles, release
 from folioforge.sources.captures import SOURCES, classified
 
 
@@ -27,12 +27,46 @@ def parsed(stream: DataFrame) -> DataFrame:
 
 
 def write_bundles(stream: DataFrame, path: str, checkpoint: str, images: DataFrame):
-    """Start a query that bundles each batch: rows with role main against the rows of their batch."""
+    """Start a query that bundles the main pages of each batch, and anew those that a late source answers.
+
+    Rows with role main name the pages to bundle; all rows are kept below
+    path/captures, by batch. A bundle is made from all sources that have come
+    so far: when one comes later that a bundle lacked, the bundle is made again
+    in that batch, so the greatest batch that holds a bundle has its last state.
+    """
+    spark = stream.sparkSession
+    kept = f"{path}/captures"
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        mains = batch.where("role = 'main'").select("bundle_id", F.col("requested_url").alias("url"))
-        sources = batch.drop("bundle_id", "role", "ingested").dropDuplicates(["requested_url"])
-        for name, df in bundles(mains, sources, images).items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")  # a batch that is repeated writes the same place
+        # a batch that is repeated writes the same places
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        every = spark.read.option("basePath", kept).parquet(f"{kept}/batch=*").where(F.col("batch") <= batch_id)
+        new = every.where(F.col("batch") == batch_id)
+        mains = every.where("role = 'main'").groupBy("bundle_id").agg(F.max_by("requested_url", "batch").alias("url"))
+        touched = new.where("role = 'main'").select("bundle_id")
+        if batch_id:
+            missed = [spark.read.parquet(f"{path}/outcomes/batch={k}") for k in _batches(spark, f"{path}/outcomes", batch_id)]
+            for told in missed:
+                late = told.where("kind = 'failed'").join(new.select(F.col("requested_url").alias("link_url")), "link_url", "left_semi")
+                touched = touched.unionByName(late.select("bundle_id"))
+        mains = mains.join(touched.distinct(), "bundle_id", "left_semi")
+        newest = F.struct("batch", F.col("fail_reason").isNull())
+        columns = [c for c in every.columns if c not in ("bundle_id", "role", "ingested", "batch", "requested_url")]
+        sources = every.groupBy("requested_url").agg(F.max_by(F.struct(*columns), newest).alias("s")).select("requested_url", "s.*")
+        tables = bundles(mains, sources, images)
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        release(tables)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+
+
+def _batches(spark: SparkSession, path: str, before: int) -> list[int]:
+    """The batches below path that came before this one."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(target)]
+    return sorted(k for n in names if n.startswith("batch=") and (k := int(n.removeprefix("batch="))) < before)

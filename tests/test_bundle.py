@@ -1,6 +1,7 @@
 """End to end: bundles from captured responses, with the outcomes that each kind of reference has."""
 
 import json
+import os
 import struct
 import zlib
 
@@ -9,6 +10,8 @@ import pytest
 from folioforge.plans.bundle import bundles
 from folioforge.sources.captures import SOURCES
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def png(width: int, height: int, pad: int = 600) -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -107,3 +110,59 @@ def test_bundle_files(made, tmp_path):
     assert (out / "references/assets/doc-pdf.pdf").read_bytes() == b"%PDF-1.7\x00" and not (out / "old").exists()
     assert (out / "assets/01-figure-one.png").read_bytes() == png(120, 90)
     assert json.loads((out / "references/references.json").read_text())["references/doc-pdf.md"]["kind"] == "asset"
+
+
+def test_all_bundles_as_files(made, tmp_path):
+    from folioforge.sources.sinks import write_files
+
+    root = tmp_path / "bundles"
+    write_files(made, str(root))
+    write_files(made, str(root))
+    assert (root / "7/references/assets/doc-pdf.pdf").read_bytes() == b"%PDF-1.7\x00"
+    assert (root / "7/index.md").read_text().startswith("# A & B\n") and len(list((root / "7").rglob("*.md"))) == 4
+    assert json.loads((root / "7/references/references.json").read_text())["references/doc-pdf.md"]["kind"] == "asset"
+
+
+def test_name_clashes(spark):
+    """A counted name that is another reference's own name: the first free one is taken, in link order."""
+    from folioforge.operators.outcomes import allocate_names
+
+    titles = ["foo", "foo", "foo-2", "foo", "Bar", "bar", "foo 2"]
+    rows = [(b, k, t) for b in (1, 2) for k, t in enumerate(titles if b == 1 else titles[:2])]
+    got = {(r.bundle_id, r.pos): r.relative_path for r in allocate_names(spark.createDataFrame(rows, "bundle_id long, pos int, title string")).collect()}
+    names = ["foo", "foo-2", "foo-2-2", "foo-3", "bar", "bar-2", "foo-2-3"]
+    assert got == {(1, k): f"references/{n}.md" for k, n in enumerate(names)} | {(2, k): f"references/{n}.md" for k, n in enumerate(names[:2])}
+
+
+def test_plans_read_stored_outcomes(spark):
+    """Each table of a bundle reads a few stored tables, not the pages again and again."""
+    from folioforge.plans.registry import QUERIES
+
+    for name in ("reference_outcomes", "link_map", "reference_section", "manifest"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 5 and "Python" not in plan and "mapInArrow" not in plan, name
+
+
+def test_late_reference(spark, tmp_path):
+    """A source that comes after its bundle has been made: the bundle is made again."""
+    from folioforge.streaming.captures import read_stream, write_bundles
+
+    base = "https://late.example.com"
+    page = f'<html><body><article><p><a href="{base}/b">B</a></p></article></body></html>'
+    schema = SOURCES + ", role string, bundle_id long, ingested timestamp"
+
+    def land(url, html, role, bundle):
+        from datetime import datetime
+
+        row = (url, url, url, 200, "text/html", html.encode(), "fetch", None, role, bundle, datetime(2024, 1, 1))
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    images = spark.createDataFrame([], "image_url string, body binary, content_type string, fail_reason string")
+    for url, html, role, bundle in ((f"{base}/a", page, "main", 3), (f"{base}/b", "<h1>Late</h1>", "reference", None)):
+        land(url, html, role, bundle)
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        write_bundles(stream, f"{tmp_path}/out", f"{tmp_path}/state", images).processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+    kinds = {r.batch: r.kind for r in spark.read.parquet(f"{tmp_path}/out/outcomes").select("batch", "kind").collect()}
+    assert kinds == {0: "failed", 1: "readable"} and read_stream is not None
