@@ -279,6 +279,7 @@ def _digests(path: str):
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of all documents. Null texts count as empty; repeated rows each stay; long texts are encoded whole; no rows give none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return arrow_map(docs, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

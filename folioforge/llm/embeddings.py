@@ -209,4 +209,5 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Unsound vectors link with nothing; repeated vectors link with each other; no rows give none."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -140,5 +140,6 @@ def neighbours(docs: DataFrame, *, width: int = 5, fraction_bits: int = FRACTION
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edits, and their likeness. Null texts count as empty; repeated rows each stay; long texts count whole; no rows give none."""
     out = neighbours(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -275,4 +275,5 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, ranks: str | None = None)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences. Null texts are their separator alone; repeated rows are packed apart; long texts are cut, not shortened; no rows give none."""
     return pack(table(spark, sf_dir, "documents"))

@@ -205,5 +205,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and places of secrets in all documents. Null texts count as empty; repeated rows each stay; long texts count whole; no rows give none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return arrow_map(docs, _digests, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

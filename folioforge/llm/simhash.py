@@ -127,8 +127,8 @@ def simhash(docs: DataFrame, *, width: int = 3, distance: int = 3, blocks: int =
     smallest doc_id reachable by links of at most ``distance`` bits). A null,
     empty or blank text has fingerprint 0 and links like any other. Equal rows
     each stay. A null doc_id keeps its row and its links but never names a
-    component; a component of null ids only has a null id. Other columns of
-    docs are ignored.
+    component; a component of null ids only has a null id. Long texts count
+    whole. Other columns of docs are ignored; an empty table stays empty.
     """
     spark = docs.sparkSession
     prints = stash(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprints(width), "doc_id long, fp long"))
@@ -558,5 +558,6 @@ def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> Dat
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints (16 hex digits) and components of all documents. Null, empty and blank texts: fingerprint zero; repeated rows each stay; long texts count whole; no rows give none."""
     out = simhash(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -326,6 +326,7 @@ def substring_dedup(docs: DataFrame, *, target: int = 35, start: int | None = No
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words removed and a digest of those kept, for all documents. Null texts have none; repeated rows of 35 words or more lose all; long texts count whole; no rows give none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed, told = repeated_windows(docs)
     keyed = keyed.withColumn("text", F.coalesce(F.col("text"), F.lit("")))

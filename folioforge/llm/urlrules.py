@@ -98,6 +98,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = DEFAUL
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages' URLs. Null URLs have empty parts and the default verdict; repeated rows each stay; no rows give none."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
