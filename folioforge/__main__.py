@@ -12,7 +12,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="folioforge", description="Save a web page and its direct references as a Markdown bundle.")
     parser.add_argument("url")
     parser.add_argument("directory")
-    parser.add_argument("--keep-svg", action="store_true", help="accepted for compatibility: SVG images always stay SVG")
+    parser.add_argument("--keep-svg", "--no-svg2png", action="store_true", help="accepted for compatibility: SVG images always stay SVG")
     parser.add_argument("--version", action="version", version=__version__)
     try:
         given = [a for a in (sys.argv[1:] if argv is None else argv) if a != "--"]
@@ -32,13 +32,17 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     url = web.resolve(None, args.url) or args.url
     mains = spark.createDataFrame([(0, url)], "bundle_id long, url string")
+    print(f"Fetching main source {url} ...", file=sys.stderr)
     first = fetch(mains).cache()
     row = first.first()
     if row.fail_reason:
         print(row.fail_reason, file=sys.stderr)
         return 1
     links = main_links(main_pages(mains, classified(first)))
-    wanted = links.where(~skip_before_fetch("main_url", "link_url")).select("link_url")
+    links = links.withColumn("skipped", skip_before_fetch("main_url", "link_url")).cache()
+    for link in links.orderBy("pos").toLocalIterator():  # of one page
+        print(f"{'Skipping low-signal reference' if link.skipped else 'Fetching reference source'} {link.link_url} ...", file=sys.stderr)
+    wanted = links.where("not skipped").select("link_url")
     sources = first.unionByName(fetch(wanted, "link_url")).dropDuplicates(["requested_url"]).cache()
     pictures = image_bytes(images(classified(sources).where("cls.kind = 'html'"), ["final_url"], "article_html", "final_url")).cache()
     write_bundle(bundles(mains, sources, pictures), 0, args.directory)

@@ -26,8 +26,12 @@ PAGE_HEADERS = {
 IMAGE_HEADERS = PAGE_HEADERS | {"Accept": "image/avif,image/webp,image/png,image/svg+xml,image/*;q=0.8,*/*;q=0.5"}
 
 
-def fetch_one(url: str, headers: dict[str, str], timeout: int, fallback: bool = True) -> dict:
-    """status, final_url, content_type, body, fetch_method and fail_reason of one request; a failure is a row too."""
+def fetch_one(url: str, headers: dict[str, str], timeout: int, fallback: bool = True, *, any_status: bool = False) -> dict:
+    """status, final_url, content_type, body, fetch_method and fail_reason of one request; a failure is a row too.
+
+    any_status: what the fallback is given counts whatever its status, without a
+    content type, so that the bytes tell what it is.
+    """
     row = {"status": None, "final_url": None, "content_type": "", "body": None, "fetch_method": "fetch", "fail_reason": None}
     if url.startswith("data:"):
         meta, _, data = url[5:].partition(",")
@@ -40,16 +44,18 @@ def fetch_one(url: str, headers: dict[str, str], timeout: int, fallback: bool =
         why = f"HTTP {e.code}"
     except Exception as e:
         why = str(e)
-    return curl_one(url, headers, timeout, row, why) if fallback else row | {"fail_reason": why}
+    return curl_one(url, headers, timeout, row, why, any_status) if fallback else row | {"fail_reason": why}
 
 
-def curl_one(url: str, headers: dict[str, str], timeout: int, row: dict, why: str) -> dict:
+def curl_one(url: str, headers: dict[str, str], timeout: int, row: dict, why: str, any_status: bool = False) -> dict:
     mark = b"\n--folioforge--"
     given = [x for k, v in headers.items() for x in ("-H", f"{k}: {v}")]
     try:
-        run = subprocess.run(["curl", "-sSL", "--max-time", str(timeout), *given, "-w", mark.decode() + "%{http_code}\t%{url_effective}\t%{content_type}", url], capture_output=True, timeout=timeout + 5)
+        run = subprocess.run(["curl", "-sSL", "--compressed", "--max-time", str(timeout), *given, "-w", mark.decode() + "%{http_code}\t%{url_effective}\t%{content_type}", url], capture_output=True, timeout=timeout + 5)
         body, _, meta = run.stdout.rpartition(mark)
         status, final, kind = (meta.decode("utf-8", "replace").split("\t") + ["", "", ""])[:3]
+        if run.returncode == 0 and any_status and body:
+            return row | {"status": int(status or 0), "final_url": final.split("#")[0], "body": body, "fetch_method": "curl-fallback"}
         if run.returncode == 0 and 200 <= int(status or 0) < 400:
             return row | {"status": int(status), "final_url": final.split("#")[0], "content_type": kind, "body": body, "fetch_method": "curl-fallback"}
         said = run.stderr.decode("utf-8", "replace").strip().splitlines()
@@ -68,7 +74,7 @@ def fetch(urls: DataFrame, url: str = "url", *, images: bool = False) -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for asked_url, fetched_url, refused in zip(frame["requested_url"], frame["fetched_url"], frame["refused"]):
-                got = fetch_one(fetched_url, headers, timeout) if refused is None else {"status": None, "final_url": None, "content_type": None, "body": None, "fetch_method": None, "fail_reason": refused}
+                got = fetch_one(fetched_url, headers, timeout, any_status=images) if refused is None else {"status": None, "final_url": None, "content_type": None, "body": None, "fetch_method": None, "fail_reason": refused}
                 yield pd.DataFrame([{"requested_url": asked_url, "fetched_url": fetched_url} | got])[[c.split()[0] for c in SOURCES.split(", ")]]
 
     return checked.mapInPandas(run, SOURCES)
