@@ -150,9 +150,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float | None
     """
     model = Model()
     kept = {t: y for t, y in zip(texts, toxic)}  # copies count once
-    split = [t.split() for t in kept]
+    words: dict[str, str] = {}  # each word is held once, however often it stands in the texts
+    split = [[words.setdefault(w, w) for w in t.split()] for t in kept]
     apart = _apart(split)
     split, y = [split[i] for i in apart], np.array(list(kept.values()), dtype=bool)[apart]
+    del kept, words
     if not y.any() or y.all():
         return model
     marks = _tag_words(split, y)
