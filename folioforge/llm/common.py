@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from folioforge.session import ensure_importable
 
-#: Rows in one Arrow batch sent to Python: whole texts can be long, so few.
-BATCH_ROWS = 512
+#: Rows in one Arrow batch sent to Python, and bytes after which it ends earlier: whole texts can be long, so few.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,6 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     ensure_importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
