@@ -151,6 +151,8 @@ SHORT, FAR, FAR_SHORT = 64, 54, 63
 BLOCK, SHINGLES = 2048, 500_000
 #: Documents up to which the wanted ones are broadcast to pick their sets (8 bytes each); more are joined.
 FEW = 1_000_000
+#: Crowded shingles up to which they are sent to all tasks (8 bytes each); more are joined.
+CROWDED = 1_000_000
 #: Candidates of a document in one group that are named as pairs; of those with more, whole sets meet in one place.
 NAMED = 16
 #: Keys of a document that are listed beside it, so that a pair is compared under its first common one of these only.
@@ -223,6 +225,14 @@ def _rekeyed(crowded: np.ndarray, similarity: float):
     return run
 
 
+def _rekeyed_by_join(hot: DataFrame, late: DataFrame, similarity: float) -> DataFrame:
+    """As _rekeyed, where the crowded shingles are too many to send to all tasks: late has a row for each that a node holds."""
+    late = late.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("late"))
+    last = F.coalesce("late", F.array().cast("array<long>"))
+    prefix = F.when(F.col("n") > 0, F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1).otherwise(0).cast("int")
+    return hot.join(late, "node", "left").select("node", "n", *FS, F.slice(F.concat(F.array_except("shingles", last), last), F.lit(1), prefix).alias("keys"))
+
+
 FS = [f"f{k}" for k in range(WIDE)]
 #: What names a key: 1 for keys anew, and the shingle. What names a group: two chunks of the key's rows beside it.
 KEY = ["anew", "key"]
@@ -422,11 +432,16 @@ def _keyed(distinct: DataFrame, sets: DataFrame, similarity: float, block: int)
     wanted = _sets_of(shared.where(F.col("size") > block).select("node"), sets)
     hot = stash(_with_sets(distinct.select(*own), wanted))
     unstash(wanted)
-    crowded = hot.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
-    # at most the hot documents' shingles over block: each is in more than block sets
-    crowded = np.array([r.key for r in crowded.select("key").collect()], dtype=np.int64)
-    schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
-    anew = stash(arrow_map(hot, _rekeyed(crowded, similarity), schema).select(*own, F.explode("keys").alias("key")))
+    held = hot.select("node", F.explode("shingles").alias("key"))
+    crowded = stash(held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block).select("key"))
+    if crowded.count() <= CROWDED:
+        names = np.array([r.key for r in crowded.collect()], dtype=np.int64)
+        schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
+        anew = arrow_map(hot, _rekeyed(names, similarity), schema)
+    else:
+        anew = _rekeyed_by_join(hot, held.join(crowded, "key"), similarity)
+    anew = stash(anew.select(*own, F.explode("keys").alias("key")))
+    unstash(crowded)
     unstash(hot)
     anew = anew.join(stash(anew.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")), "key")
     return stash(out.unionByName(anew.select(F.lit(1).alias("anew"), "key", *own, "size")))

@@ -86,8 +86,9 @@ def test_keep_one(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, rows)).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 8])
-def test_similar(spark, block):
+@pytest.mark.parametrize("block, crowded", [(simhash.BLOCK, simhash.CROWDED), (8, simhash.CROWDED), (8, 0)])
+def test_similar(spark, monkeypatch, block, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     draw = random.Random(6)
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
     rows = []
