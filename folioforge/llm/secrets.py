@@ -47,7 +47,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _unbase64(text: str) -> bytes | None:
-    body = re.sub(r"\s|\\[rn]", "", text)  # line breaks may be spelled out, as in JSON.replace("-", "+").replace("_", "/").rstrip("=")
+    # line breaks may be spelled out, as in JSON; the URL-safe alphabet counts as well
+    body = re.sub(r"\s|\\[rn]", "", text)
+    body = body.replace("-", "+").replace("_", "/").rstrip("=")
     if len(body) % 4 == 1:
         return None
     try:
@@ -151,8 +153,21 @@ def confirmed_spans(text: str) -> list[Span]:
     for m in _LONG_HEX.finditer(text):
         if kind := _decoded_kind(bytes.fromhex(m[0])):
             out.append((kind, *m.span()))
-    around = [(a, b) for k, a, b in out if k == "pem"] + whole
-    return [s for s in out if not any(a <= s[1] and s[2] <= b and (a, b) != s[1:] for a, b in around)]
+    return uncovered(out, [(a, b) for k, a, b in out if k == "pem"] + whole)
+
+
+def uncovered(spans: list[Span], around: list[tuple[int, int]]) -> list[Span]:
+    """Spans that no other place holds. By start, the furthest end so far tells: as many steps as there are spans, once sorted."""
+    if not around:
+        return spans
+    places, kept, at, furthest = sorted(set(around), key=lambda p: (p[0], -p[1])), [], 0, -1
+    for s in sorted(spans, key=lambda s: (s[1], -s[2])):
+        while at < len(places) and (places[at][0] < s[1] or (places[at][0] == s[1] and places[at][1] > s[2])):
+            furthest = max(furthest, places[at][1])
+            at += 1
+        if furthest < s[2]:
+            kept.append(s)
+    return kept
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -164,8 +179,9 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 def scan(docs: DataFrame) -> DataFrame:
     """Columns of docs, plus secrets: an array of kind, start and end (code points, end exclusive).
 
-    A null text counts as empty. Each row is judged alone; repeated rows, null
-    ids and other columns pass through; a column named secrets is replaced.
+    A null text counts as empty and texts of any length are read whole. Each
+    row is judged alone; repeated rows, null ids and other columns pass through;
+    a column named secrets is replaced. An empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c != "secrets"]
 
@@ -181,7 +197,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Docs with each secret in text replaced by a mark; null texts stay null."""
+    """Docs with each secret in text replaced by a mark.
+
+    Null and empty texts stay as they are, texts of any length are read whole,
+    each of several repeated rows is redacted, other columns pass through, and
+    an empty table gives an empty one.
+    """
 
     columns = docs.columns
     at = columns.index("text")

@@ -5,6 +5,8 @@ import hashlib
 import json
 import os
 import random
+import re
+import time
 
 import pytest
 
@@ -249,6 +251,59 @@ def test_secrets():
     assert not secrets.is_der_key(b"\x30\x82\xff\xff" + b"\x02\x01\x00" * 20)
 
 
+def url64(x):
+    return base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
+
+
+def plain_secrets(text):
+    """Places of secrets by plain decoding: the base patterns, signed tokens and armoured keys."""
+    out = [m.span() for _, pattern, good in SECRETS for m in re.finditer(pattern, text) if good(m)]
+    for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", text):
+        try:
+            head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in m[0].split(".")[:2])
+        except ValueError:
+            continue
+        if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict):
+            out.append(m.span())
+    for m in re.finditer(r"(?s)-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", text):
+        out.append(m.span())
+    return out
+
+
+def test_secrets_url_safe_alphabet():
+    """Tokens and keys whose base64 holds - and _, among them in header and payload: none is missed."""
+    draw, missed, odd = random.Random(5), 0, [0, 0]
+    for _ in range(500):
+        token = ".".join([url64({"alg": "HS256", "kid": "".join(chr(draw.randrange(0x3E, 0x7F)) for _ in range(draw.randrange(3, 30)))}), url64({"sub": "?>~\u00ff" * draw.randrange(4), "n": draw.randrange(10**9), "q": chr(draw.randrange(0x3E, 0x80)) * draw.randrange(9)}), url64(draw.randbytes(32))])
+        odd = [odd[k] + bool(re.search("[-_]", p)) for k, p in enumerate(token.split(".")[:2])]
+        text = f"see {token} there"
+        missed += plain_secrets(text) != [(4, 4 + len(token))] or ("jwt", 4, 4 + len(token)) not in secrets.find(text)[1]
+    assert missed == 0 and min(odd) > 50
+    for k in range(50):
+        der = b"\x30\x81\x86\x02\x01\x00\x02\x81\x80" + b"\xfb\xff" + random.Random(k).randbytes(126)
+        assert re.search("[-_]", url64(der)) and ("der", 2, 2 + len(url64(der))) in secrets.find(f"x {url64(der)} y")[1]
+
+
+def test_secrets_long_and_crowded():
+    token = f"{url64({'alg': 'none'})}.{url64({'a': '?>'})}."
+    long = "word " * 300_000 + token
+    assert secrets.find(long)[1] == [("jwt", len(long) - len(token), len(long))]
+    der = base64.b64encode(b"\x30\x26\x02\x01\x00\x02\x21" + b"\x01" * 33).decode()
+    key = f"-----BEGIN PRIVATE KEY-----\n{der}\n-----END PRIVATE KEY-----\n"
+    began = time.perf_counter()
+    found = secrets.confirmed_spans(key * 20_000)
+    assert len(found) == 20_000 and {k for k, _, _ in found} == {"pem"} and time.perf_counter() - began < 20
+
+
+def test_spans_uncovered():
+    draw = random.Random(3)
+    for _ in range(300):
+        spans = [("x", a, a + draw.randrange(1, 9)) for a in (draw.randrange(20) for _ in range(8))]
+        around = [s[1:] for s in draw.sample(spans, 2)] + [(a, a + draw.randrange(1, 9)) for a in (draw.randrange(20) for _ in range(2))]
+        want = [s for s in spans if not any(a <= s[1] and s[2] <= b and (a, b) != s[1:] for a, b in around)]
+        assert sorted(secrets.uncovered(spans, around)) == sorted(want)
+
+
 def test_secrets_frames(spark):
     rows = [*ODD, (9, "x token=abcdef y")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, secrets int")
@@ -474,7 +529,7 @@ def pipeline_by_force(docs, labels_frame, docs_frame):
     rows = [(i, t) for (i, _), t in zip(rows, without_repeats([t for _, t in rows]))]
     out = []
     for i, t in rows:
-        for a, b in reversed(merged(secrets.find(t)[1])):
+        for a, b in reversed(merged([("", *s) for s in plain_secrets(t)])):
             t = f"{t[:a]}[SECRET]{t[b:]}"
         ids = packing.token_ids(t, RANKS)
         first = len(ids) % 1024 or 1024
