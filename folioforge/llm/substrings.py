@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from folioforge.llm.common import arrow_map, pieces, stash, table, unstash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A random 64-bit value for each byte value, and odd bases with their inverses: two polynomial hashes.
+#: A random 64-bit value for each byte value, and odd bases with their inverses: two polynomial hashes. Modulo 2 ** 64
+#: some texts collide under every odd base, so these hashes find candidates only; Words.digests tells whole windows apart.
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,6 +94,18 @@ class Words:
         x ^= x >> np.uint64(29)
         return x
 
+    def digests(self, at: np.ndarray, width: int) -> np.ndarray:
+        """128 bits of the bytes of the ``width`` words from each word in ``at``, joined by single spaces: two columns."""
+        length = self.end - self.start
+        place = np.concatenate([[0], np.cumsum(length + 1)])
+        joined = np.full(int(place[-1]), 32, dtype=np.uint8)
+        inside = np.flatnonzero(~_SPACE[self.data])
+        joined[inside + np.repeat(place[:-1] - self.start, length)] = self.data[inside]
+        view = memoryview(joined.tobytes())
+        digest = xxhash.xxh3_128_digest
+        out = b"".join([digest(view[a:b]) for a, b in zip(place[at].tolist(), (place[at + width] - 1).tolist())])
+        return np.frombuffer(out, dtype="<i8").reshape(-1, 2)
+
     def windows(self, width: int) -> np.ndarray:
         """The words that start a window of ``width`` words of one text."""
         fits = np.maximum(self.n - width + 1, 0)
@@ -208,10 +222,14 @@ def _next_level(target: int, width: int, wider: int):
                     picked = np.unique(of[alive])
                 text = np.searchsorted(words.first, picked, side="right") - 1
                 take = pa.array(text)
+                if wider == target:
+                    h, g = words.digests(picked, wider).T
+                else:
+                    h, g = (words.hashes(picked, wider, which).view(np.int64) for which in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(words.hashes(picked, wider, 0).view(np.int64)),
-                        pa.array(words.hashes(picked, wider, 1).view(np.int64)),
+                        pa.array(np.ascontiguousarray(h)),
+                        pa.array(np.ascontiguousarray(g)),
                         batch.column("k1").take(take),
                         batch.column("k2").take(take),
                         pa.array((picked - words.first[text]).astype(np.int32)),
@@ -270,7 +288,7 @@ def repeated_windows(docs: DataFrame, *, target: int = 35, start: int | None = N
     the corpus, windows whose part stands alone are dropped, the others are
     tested with parts twice as long, up to the whole window: 9, 18 and 35 words
     by default. Each repeated window passes every level, as its copies choose
-    the same parts. The last level compares 128-bit hashes of the whole window.
+    the same parts. The last level compares the XXH3-128 of the whole window's bytes.
     Before it, places go by k1 alone: texts that share it only add candidates.
     """
     widths = [start or -(-target // 4)]

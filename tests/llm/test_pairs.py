@@ -153,6 +153,15 @@ def test_substrings_long_text(monkeypatch):
         assert (got == want).all()
 
 
+def test_substrings_same_polynomial(spark):
+    """A Thue-Morse word and its complement agree under every polynomial modulo 2 ** 64; they are different words."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    rest = " ".join(f"w{k}" for k in range(34))
+    rows = list(enumerate([f"{one} {rest}", f"{one.translate(str.maketrans('ab', 'ba'))} {rest}", f"x {rest} {one}", f"y {rest} {one}"]))
+    got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 35, 3: 35}
+
+
 def test_substrings_copied_and_single(spark):
     """A window that one text shares only with a text that has copies, through three levels."""
     draw = random.Random(19)
