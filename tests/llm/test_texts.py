@@ -461,14 +461,14 @@ def test_url_rules(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op3_substrings", "op8_url_filters", "op9_embeddings"])
+@pytest.mark.parametrize("name", ["op3_substrings", "op8_url_filters", "op9_embeddings", "op12_decontamination"])
 def test_oracles(spark, name):
     import duckdb
 
     from folioforge.llm.registry import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     plain = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).where(f.notna(), None).values.tolist()))
