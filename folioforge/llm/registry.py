@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, decontaminate, embeddings, fingerprints, packing, pii, secrets, simhash, substrings, toxicity, urlrules
+from folioforge.llm import bpe, decontaminate, embeddings, fingerprints, packing, pii, runs, secrets, simhash, substrings, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urlrules.op8_url_filters,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_secrets": secrets.op10_secrets,
+    "op11_runs": runs.op11_runs,
     "op12_decontamination": decontaminate.op12_decontamination,
 }
 
