@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, decontaminate, embeddings, fingerprints, packing, pii, runs, secrets, simhash, substrings, toxicity, urlrules
+from folioforge.llm import bpe, decontaminate, embeddings, fingerprints, packing, pii, runs, secrets, simhash, substrings, toxicity, urlrules, variants
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_runs": runs.op11_runs,
     "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_variants": variants.op13_variants,
 }
 
-ORACLES = {"op3_substrings": substrings.ORACLE_SQL, "op8_url_filters": urlrules.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL}
+ORACLES = {"op3_substrings": substrings.ORACLE_SQL, "op8_url_filters": urlrules.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL, "op13_variants": variants.ORACLE_SQL}
