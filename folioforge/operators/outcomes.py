@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
-from folioforge.storage import stored
+from folioforge.storage import collected, forget, stored
 from folioforge.functions.urls import document_key, is_homepage, is_known_landing, is_source_like, same_site, skip_before_fetch, title_from_url
 
 SKIPPED = "low_signal_marketing_reference"
@@ -92,8 +92,16 @@ def resolve_references(links: DataFrame, sources: DataFrame) -> DataFrame:
     article_html. Links that no source answers fail. Sources are joined after
     the links that are skipped unread have gone; of links that end at one
     document the first is kept and the others are aliases of it. The
-    outcomes are stored, as each table of a bundle derives from them.
+    outcomes are stored, as each table of a bundle derives from them; steps on
+    the way to them go again.
     """
+    with collected() as steps:
+        out = stored(_resolved(links, sources))
+    forget(*(s for s in steps if s is not out))
+    return out
+
+
+def _resolved(links: DataFrame, sources: DataFrame) -> DataFrame:
     planned = stored(links.withColumn("unread", skip_before_fetch("main_url", "link_url")))
     # what the join carries of a source: no bodies, only how many signals they show, counted once for each source
     narrow = sources.select(
@@ -134,7 +142,7 @@ def resolve_references(links: DataFrame, sources: DataFrame) -> DataFrame:
         "bundle_id", "pos", "link_url", "link_label", F.lit("skipped").alias("kind"), none("title"), none("relative_path"), none("asset_path"),
         none("requested_url"), none("fetched_url"), none("final_url"), none("content_type"), none("cls_kind"), F.lit(SKIPPED).alias("skipped_reason"), none("fail_reason"),
     )
-    return stored(told.unionByName(unread))
+    return told.unionByName(unread)
 
 
 def link_map(mains: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import slug_any
 from folioforge.operators import assets, extract, outcomes, render
 from folioforge.sources.captures import classified
-from folioforge.storage import forget, stored
+from folioforge.storage import collected, forget, stored
 
 TITLE = "title"
 
@@ -50,6 +50,13 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     files (bundle_id, relative_path, body). They read tables stored in the shared
     folder, which release(tables) deletes once they have been written.
     """
+    with collected() as steps:
+        made = _bundles(mains, sources, images)
+    made.steps = steps
+    return made
+
+
+def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     # each is read by several of the tables
     seen = stored(classified(sources))
     pages = stored(main_pages(mains, seen))
@@ -77,7 +84,7 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     stubs = told.where("kind = 'failed'").select("bundle_id", "relative_path", render.failure_stub("title", "link_url", "fail_reason").alias("markdown"))
     files = every.where("cls.kind = 'asset'").select("bundle_id", F.col("asset_path").alias("relative_path"), "body")
     localized = kept.where("kind = 'localized'").join(images.select("image_url", "body"), "image_url").select("bundle_id", F.col("file_path").alias("relative_path"), "body")
-    made = Tables({
+    return Tables({
         "outcomes": told,
         "link_map": links_to,
         "manifest": outcomes.manifests(told, mains),
@@ -85,5 +92,3 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
         "rendered": rendered.unionByName(text).unionByName(asset).unionByName(stubs),
         "files": files.unionByName(localized),
     })
-    made.steps = [seen, pages, links, told, links_to]
-    return made

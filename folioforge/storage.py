@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +24,33 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+_open: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("open", default=())
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The steps that are stored within, for forget()."""
+    steps: list[DataFrame] = []
+    token = _open.set((*_open.get(), steps))
+    try:
+        yield steps
+    finally:
+        _open.reset(token)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read again: its lineage ends here, and lost executors cost no recomputation."""
+    """df, written as Parquet and read again: its lineage ends here, and lost executors cost no recomputation.
+
+    All steps of an application lie below one folder of its own, which can go
+    when the application has ended.
+    """
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark).rstrip('/')}/bundles-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/bundles-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stored = path
+    for steps in _open.get():
+        steps.append(out)
     return out
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.functions.urls import document_key
-from folioforge.plans.bundle import bundles, release
+from folioforge.plans.bundle import bundles
 from folioforge.sources.captures import SOURCES, classified
+from folioforge.storage import collected, forget, stored
+from folioforge.streaming.keyed import SALTS, touched
 
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 16, schema: str = SOURCES + ", ingested timestamp") -> DataFrame:
     """Captures as they land in a folder of Parquet files, with the time they were taken in."""
-    return spark.readStream.schema(SOURCES + ", ingested timestamp").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def first_seen(stream: DataFrame, within: str = "1 hour") -> DataFrame:
@@ -26,47 +31,63 @@ def parsed(stream: DataFrame) -> DataFrame:
     return classified(stream).select("ingested", "final_url", F.col("cls.kind").alias("kind"), F.col("parsed_title").alias("title"), "main_html", "article_html")
 
 
-def write_bundles(stream: DataFrame, path: str, checkpoint: str, images: DataFrame):
-    """Start a query that bundles the main pages of each batch, and anew those that a late source answers.
+def located(stream: DataFrame) -> DataFrame:
+    """The stream with the file of each row, which read_stream() and other streams of files can tell."""
+    return stream if "file" in stream.columns else stream.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def answers(spark: SparkSession, touched: DataFrame, schema: StructType) -> DataFrame:
+    """The responses (SOURCES) that touched bundles have, one per address, read from the files that hold them and from no other."""
+    files = [unquote(r.file) for r in touched.select("file").distinct().toLocalIterator()]  # as many as the read lists anyway
+    names = [c.split()[0] for c in SOURCES.split(", ")]
+    wanted = touched.select(F.col("address").alias("requested_url"), "file", "taken", "good").distinct()
+    held = spark.read.schema(schema).parquet(*files).select(*names, F.coalesce(F.unix_micros("ingested"), F.lit(0)).alias("taken"), F.col("_metadata.file_path").alias("file"))
+    found = held.withColumn("good", F.col("fail_reason").isNull()).join(wanted, ["requested_url", "file", "taken", "good"], "left_semi")
+    # of rows that differ in nothing that ranks them, any, but always the same
+    rest = [n for n in names if n != "requested_url"]
+    return found.groupBy("requested_url").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("s")).select("requested_url", "s.*").select(*names)
+
+
+def write_bundles(stream: DataFrame, path: str, checkpoint: str, images: DataFrame, salts: int = SALTS):
+    """Start a query that bundles main pages as they arrive, and anew those whose references get a new or better answer.
 
-    Rows with role main name the pages to bundle; all rows are kept below
-    path/captures, by batch. A bundle is made from all sources that have come
-    so far: when one comes later that a bundle lacked, the bundle is made again
-    in that batch, so the greatest batch that holds a bundle has its last state.
+    stream: captures from files (SOURCES, role, bundle_id, ingested). Rows with
+    role main name the pages to bundle, of several for one bundle the last; all
+    rows answer their address. Of several answers a good one counts before a
+    failure and a later one before an earlier one, in whatever order and batches
+    they arrive, so newest() gives the tables that one batch with all rows
+    would. A later capture of a main page changes what its bundle asks for if it
+    has that role too. State holds addresses and the names of files, which must
+    stay; a batch reads its own rows and the files of the bundles that it makes.
+    A batch that is repeated writes the same places.
     """
     spark = stream.sparkSession
-    kept = f"{path}/captures"
+    schema = StructType([f for f in stream.schema if f.name != "file"])
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is repeated writes the same places
-        batch.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
-        every = spark.read.option("basePath", kept).parquet(f"{kept}/batch=*").where(F.col("batch") <= batch_id)
-        new = every.where(F.col("batch") == batch_id)
-        mains = every.where("role = 'main'").groupBy("bundle_id").agg(F.max_by("requested_url", "batch").alias("url"))
-        touched = new.where("role = 'main'").select("bundle_id")
-        if batch_id:
-            missed = [spark.read.parquet(f"{path}/outcomes/batch={k}") for k in _batches(spark, f"{path}/outcomes", batch_id)]
-            for told in missed:
-                late = told.where("kind = 'failed'").join(new.select(F.col("requested_url").alias("link_url")), "link_url", "left_semi")
-                touched = touched.unionByName(late.select("bundle_id"))
-        mains = mains.join(touched.distinct(), "bundle_id", "left_semi")
-        newest = F.struct("batch", F.col("fail_reason").isNull())
-        columns = [c for c in every.columns if c not in ("bundle_id", "role", "ingested", "batch", "requested_url")]
-        sources = every.groupBy("requested_url").agg(F.max_by(F.struct(*columns), newest).alias("s")).select("requested_url", "s.*")
-        tables = bundles(mains, sources, images)
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        release(tables)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
-
-
-def _batches(spark: SparkSession, path: str, before: int) -> list[int]:
-    """The batches below path that came before this one."""
-    context = spark.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(context._jsc.hadoopConfiguration())
-    if not store.exists(target):
-        return []
-    names = [f.getPath().getName() for f in store.listStatus(target)]
-    return sorted(k for n in names if n.startswith("batch=") and (k := int(n.removeprefix("batch="))) < before)
+        with collected() as steps:
+            rows = stored(batch)
+            if rows.head(1):
+                mains = rows.where("address = main_url").select("bundle_id", F.col("main_url").alias("url"))
+                tables = bundles(mains, answers(spark, rows, schema), images)
+                for name, df in [*tables.items(), (MADE, mains.select("bundle_id"))]:
+                    df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        forget(*steps)
+
+    had = spark.conf.get(provider)
+    spark.conf.set(provider, rocks)  # the state of this query alone: its session keeps a copy
+    try:
+        return touched(located(stream), salts).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+    finally:
+        spark.conf.set(provider, had)
+
+
+#: The bundles of each batch; written last, so a batch without it is not complete.
+MADE = "made"
+
+
+def newest(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of a table of write_bundles() as the last batch that made each bundle left them."""
+    last = spark.read.parquet(f"{path}/{MADE}").groupBy("bundle_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/{table}").join(last, ["bundle_id", "batch"], "left_semi").drop("batch")
