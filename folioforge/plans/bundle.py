@@ -47,7 +47,7 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     sources: responses, one per requested_url. images: image_url, body,
     content_type, fail_reason, one per address. Returns outcomes, link_map,
     manifest, asset_outcomes, rendered (bundle_id, relative_path, markdown) and
-    files (bundle_id, relative_path, body). They read tables stored in the shared
+    files (bundle_id, relative_path, chunk, body). They read tables stored in the shared
     folder, which release(tables) deletes once they have been written.
     """
     with collected() as steps:
@@ -82,8 +82,8 @@ def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     text = every.where("cls.kind = 'text'").select("bundle_id", "relative_path", render.text_entry(head, "text_body", "title", "cls.subtype", "cls.language", "cls.render", slug_any).alias("markdown"))
     asset = every.where("cls.kind = 'asset'").select("bundle_id", "relative_path", render.asset_entry(head, "asset_path", "relative_path").alias("markdown"))
     stubs = told.where("kind = 'failed'").select("bundle_id", "relative_path", render.failure_stub("title", "link_url", "fail_reason").alias("markdown"))
-    files = every.where("cls.kind = 'asset'").select("bundle_id", F.col("asset_path").alias("relative_path"), "body")
-    localized = kept.where("kind = 'localized'").join(images.select("image_url", "body"), "image_url").select("bundle_id", F.col("file_path").alias("relative_path"), "body")
+    files = every.where("cls.kind = 'asset'").select("bundle_id", F.col("asset_path").alias("relative_path"), F.lit(0).alias("chunk"), "body")
+    localized = kept.where("kind = 'localized'").join(images.select("image_url", "body"), "image_url").select("bundle_id", F.col("file_path").alias("relative_path"), F.lit(0).alias("chunk"), "body")
     return Tables({
         "outcomes": told,
         "link_map": links_to,

@@ -6,15 +6,14 @@ import json
 import os
 import shutil
 import tempfile
-import uuid
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from folioforge.sources import files
+
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet below path, in place of what was there."""
@@ -26,34 +25,20 @@ def pretty_manifest(compact: str) -> str:
     return json.dumps(json.loads(compact), indent=2, ensure_ascii=False) + "\n"
 
 
-def write_files(tables: dict[str, DataFrame], root: str) -> None:
+def bundle_files(tables: dict[str, DataFrame]) -> DataFrame:
+    """All files of all bundles: bundle_id, relative_path, chunk, body; long ones chunk by chunk."""
+    text = tables["rendered"].select("bundle_id", "relative_path", F.lit(0).alias("chunk"), F.col("markdown").cast("binary").alias("body"))
+    manifest = tables["manifest"].select("bundle_id", F.lit("references/references.json").alias("relative_path"), F.lit(0).alias("chunk"), _pretty("json").alias("body"))
+    return text.unionByName(manifest).unionByName(tables["files"].select("bundle_id", "relative_path", "chunk", "body"))
+
+
+def write_files(tables: dict[str, DataFrame], root: str, mode: str = "append") -> None:
     """All bundles' files below root/<bundle_id>/ on storage that all executors see as a path, written by the executors.
 
-    Each task writes the rows of its partition to a name of its own beside the
-    target and renames it, so a task that runs twice leaves whole files. The
-    manifests come last: a bundle with one is complete.
+    Bundles are replaced when all their files are written, so none keeps files
+    of an earlier state; if a task fails for good, nothing changes.
     """
-
-    def written(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in rows:
-            for bundle, relative, body in zip(*(batch.column(c).to_pylist() for c in ("bundle_id", "relative_path", "body"))):
-                folder = os.path.join(root, str(bundle))
-                path = os.path.normpath(os.path.join(folder, relative))
-                if not path.startswith(folder + os.sep):
-                    raise ValueError(f"path leaves the bundle: {relative}")
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                own = f"{path}.{uuid.uuid4().hex}"
-                with open(own, "wb") as f:
-                    f.write(body or b"")
-                os.replace(own, path)
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    text = tables["rendered"].select("bundle_id", "relative_path", F.col("markdown").cast("binary").alias("body"))
-    manifest = tables["manifest"].select("bundle_id", F.lit("references/references.json").alias("relative_path"), _pretty("json").alias("body"))
-    for rows in (text.unionByName(tables["files"].select("bundle_id", "relative_path", "body")), manifest):
-        rows.mapInArrow(written, "n long").agg(F.sum("n")).collect()
+    files.write_files(bundle_files(tables), root, mode)
 
 
 @F.pandas_udf(BinaryType())
@@ -62,35 +47,21 @@ def _pretty(compact: pd.Series) -> pd.Series:
 
 
 def write_bundle(tables: dict[str, DataFrame], bundle_id: int, out_dir: str) -> None:
-    """One bundle's files in out_dir, which they replace when all are written.
+    """One bundle's files in out_dir, which they replace when all are written, by the executors.
 
     tables: rendered (bundle_id, relative_path, markdown), files (bundle_id,
-    relative_path, body), manifest (bundle_id, json). Rows come one at a time.
+    relative_path, chunk, body), manifest (bundle_id, json).
     """
     parent = os.path.dirname(os.path.abspath(out_dir))
     os.makedirs(parent, exist_ok=True)
     made = tempfile.mkdtemp(prefix=".bundle-", dir=parent)
     try:
-        def put(relative: str, data: bytes) -> None:
-            path = os.path.normpath(os.path.join(made, relative))
-            if not path.startswith(made + os.sep):
-                raise ValueError(f"path leaves the bundle: {relative}")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
-                f.write(data)
-
-        for row in tables["rendered"].where(f"bundle_id = {int(bundle_id)}").toLocalIterator():
-            put(row.relative_path, row.markdown.encode())
-        for row in tables["files"].where(f"bundle_id = {int(bundle_id)}").toLocalIterator():
-            put(row.relative_path, bytes(row.body))
-        for row in tables["manifest"].where(f"bundle_id = {int(bundle_id)}").toLocalIterator():
-            put("references/references.json", pretty_manifest(row.json).encode())
+        write_files({name: tables[name].where(f"bundle_id = {int(bundle_id)}") for name in ("rendered", "files", "manifest")}, made)
+        done = os.path.join(made, str(int(bundle_id)))
         for folder in ("assets", "references"):
-            os.makedirs(os.path.join(made, folder), exist_ok=True)
-        os.chmod(made, 0o755)
+            os.makedirs(os.path.join(done, folder), exist_ok=True)
         if os.path.isdir(out_dir):
-            shutil.rmtree(out_dir)
-        os.replace(made, out_dir)
-    except BaseException:
+            os.rename(out_dir, os.path.join(made, "old"))
+        os.rename(done, out_dir)
+    finally:
         shutil.rmtree(made, ignore_errors=True)
-        raise
