@@ -20,32 +20,16 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as stop:
         return 1 if stop.code else 0
 
-    from folioforge.functions import web
-    from folioforge.functions.urls import skip_before_fetch
-    from folioforge.plans.bundle import bundles, main_links, main_pages
-    from folioforge.operators.extract import images
-    from folioforge.session import local_session
-    from folioforge.sources.captures import classified
-    from folioforge.sources.http import fetch, image_bytes
-    from folioforge.sources.sinks import write_bundle
+    from folioforge.plans.live import save_page
+    from folioforge.session import ensure_importable, local_session
 
     spark = local_session()
-    url = web.resolve(None, args.url) or args.url
-    mains = spark.createDataFrame([(0, url)], "bundle_id long, url string")
-    print(f"Fetching main source {url} ...", file=sys.stderr)
-    first = fetch(mains).cache()
-    row = first.first()
-    if row.fail_reason:
-        print(row.fail_reason, file=sys.stderr)
+    ensure_importable(spark)
+    try:
+        save_page(spark, args.url, args.directory)
+    except RuntimeError as e:
+        print(e, file=sys.stderr)
         return 1
-    links = main_links(main_pages(mains, classified(first)))
-    links = links.withColumn("skipped", skip_before_fetch("main_url", "link_url")).cache()
-    for link in links.orderBy("pos").toLocalIterator():  # of one page
-        print(f"{'Skipping low-signal reference' if link.skipped else 'Fetching reference source'} {link.link_url} ...", file=sys.stderr)
-    wanted = links.where("not skipped").select("link_url")
-    sources = first.unionByName(fetch(wanted, "link_url")).dropDuplicates(["requested_url"]).cache()
-    pictures = image_bytes(images(classified(sources).where("cls.kind = 'html'"), ["final_url"], "article_html", "final_url")).cache()
-    write_bundle(bundles(mains, sources, pictures), 0, args.directory)
     return 0
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
 from folioforge.operators import assets, extract, outcomes, render
-from folioforge.sources.captures import classified
+from folioforge.sources.captures import classified, pieces
 from folioforge.storage import collected, forget, stored
 
 TITLE = "title"
@@ -41,22 +41,24 @@ def release(tables: Tables) -> None:
     forget(*tables.steps)
 
 
-def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
+def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame, chunks: DataFrame | None = None) -> Tables:
     """All tables of the bundles of mains (bundle_id, url).
 
     sources: responses, one per requested_url. images: image_url, body,
-    content_type, fail_reason, one per address. Returns outcomes, link_map,
+    content_type, fail_reason, one per address. chunks: the pieces (CHUNKS) of
+    sources that were assembled() from them; files take their bytes from there, so
+    that no body of an asset is ever whole in one row. Returns outcomes, link_map,
     manifest, asset_outcomes, rendered (bundle_id, relative_path, markdown) and
     files (bundle_id, relative_path, chunk, body). They read tables stored in the shared
     folder, which release(tables) deletes once they have been written.
     """
     with collected() as steps:
-        made = _bundles(mains, sources, images)
+        made = _bundles(mains, sources, images, chunks)
     made.steps = steps
     return made
 
 
-def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
+def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame, chunks: DataFrame | None) -> Tables:
     # each is read by several of the tables
     seen = stored(classified(sources))
     pages = stored(main_pages(mains, seen))
@@ -82,7 +84,11 @@ def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame) -> Tables:
     text = every.where("cls.kind = 'text'").select("bundle_id", "relative_path", render.text_entry(head, "text_body", "title", "cls.subtype", "cls.language", "cls.render", slug_any).alias("markdown"))
     asset = every.where("cls.kind = 'asset'").select("bundle_id", "relative_path", render.asset_entry(head, "asset_path", "relative_path").alias("markdown"))
     stubs = told.where("kind = 'failed'").select("bundle_id", "relative_path", render.failure_stub("title", "link_url", "fail_reason").alias("markdown"))
-    files = every.where("cls.kind = 'asset'").select("bundle_id", F.col("asset_path").alias("relative_path"), F.lit(0).alias("chunk"), "body")
+    kept_whole = every.where("cls.kind = 'asset'").withColumnRenamed("asset_path", "file_path")
+    if chunks is None:
+        files = kept_whole.select("bundle_id", F.col("file_path").alias("relative_path"), F.lit(0).alias("chunk"), "body")
+    else:  # an empty body has no pieces, but a file
+        files = kept_whole.select("bundle_id", F.col("file_path").alias("relative_path"), "requested_url").join(pieces(chunks), "requested_url", "left").select("bundle_id", "relative_path", F.coalesce("chunk", F.lit(0)).alias("chunk"), "body")
     localized = kept.where("kind = 'localized'").join(images.select("image_url", "body"), "image_url").select("bundle_id", F.col("file_path").alias("relative_path"), F.lit(0).alias("chunk"), "body")
     return Tables({
         "outcomes": told,
