@@ -143,11 +143,78 @@ def _number(body: Column, at: int, order: list[int]) -> Column:
     return F.conv(F.concat(*[F.hex(F.substring(body, at + k, 1)) for k in order]), 16, 10).cast("int")
 
 
+def _be16(body: Column, at) -> Column:
+    return F.conv(F.hex(F.substring(body, at, 2)), 16, 10).cast("int")
+
+
+def _size(width: Column, height: Column) -> Column:
+    return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+
+
+#: Segments of a JPEG that are walked at most; a size behind more of them counts as unknown.
+SEGMENTS = 512
+
+
+def _jpeg_size(body: Column) -> Column:
+    """Height and width stand in the frame header; what comes before it is skipped segment by segment, by the length that each tells."""
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        head = F.hex(F.substring(body, at, 2))
+        moved = lambda to: F.struct(to.cast("int").alias("at"), state["width"].alias("width"), state["height"].alias("height"))
+        frame = F.struct(F.lit(0).alias("at"), _be16(body, at + 7).alias("width"), _be16(body, at + 5).alias("height"))
+        return (
+            F.when((at == 0) | ~head.startswith("FF") | (F.length(head) < 4), moved(F.lit(0)))
+            .when(head == "FFFF", moved(at + 1))  # a byte that fills up
+            .when(head.rlike("^FF(01|D[0-7])"), moved(at + 2))  # a marker without a segment
+            .when(head.rlike("^FFC[0-35-79-BD-F]"), frame)
+            .when(head.rlike("^FFD[89A]"), moved(F.lit(0)))  # the picture begins, or ends
+            .otherwise(moved(at + 2 + F.greatest(F.coalesce(_be16(body, at + 2), F.lit(2)), F.lit(2))))
+        )
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step)
+    return let(found, lambda f: F.when((f["width"] > 0) & (f["height"] > 0), _size(f["width"], f["height"])))
+
+
+def _webp_size(body: Column) -> Column:
+    """Lossy, lossless and extended files keep their size in three ways."""
+    byte = lambda at: _number(body, at, [0])
+    kind = F.hex(F.substring(body, 13, 4))
+    lossy = _size(_number(body, 27, [1, 0]).bitwiseAND(0x3FFF), _number(body, 29, [1, 0]).bitwiseAND(0x3FFF))
+    lossless = _size(
+        1 + byte(22) + F.shiftleft(byte(23).bitwiseAND(0x3F), 8),
+        1 + F.shiftright(byte(23), 6) + F.shiftleft(byte(24), 2) + F.shiftleft(byte(25).bitwiseAND(0x0F), 10),
+    )
+    extended = _size(1 + _number(body, 25, [2, 1, 0]), 1 + _number(body, 28, [2, 1, 0]))
+    return (
+        F.when((kind == "56503820") & (F.hex(F.substring(body, 24, 3)) == "9D012A") & (F.length(body) >= 30), lossy)
+        .when((kind == "5650384C") & (byte(21) == 0x2F) & (F.length(body) >= 25), lossless)
+        .when((kind == "56503858") & (F.length(body) >= 30), extended)
+    )
+
+
+def _svg_size(body: Column) -> Column:
+    """Width and height of the drawing's own tag, in pixels, else the size of its view box; other units count as unknown."""
+    tag = F.regexp_extract(F.substring(body, 1, SAMPLE).cast("string"), r"(?is)<svg\b([^>]*)>", 1)
+    number = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
+    length = lambda name: F.nullif(F.regexp_extract(tag, rf"(?is)(?:\A|\s){name}\s*=\s*[\"']\s*\+?{number}(?:px)?\s*[\"']", 1), F.lit("")).cast("double")
+    told = lambda name: tag.rlike(rf"(?is)(?:\A|\s){name}\s*=\s*[\"']\s*[^\"'%]*[\"']")
+    box = lambda k: F.nullif(F.regexp_extract(tag, rf"(?is)(?:\A|\s)viewBox\s*=\s*[\"']\s*-?[0-9.]+[\s,]+-?[0-9.]+[\s,]+{number}[\s,]+{number}\s*[\"']", k), F.lit("")).cast("double")
+    side = lambda name, k: F.round(F.when(told(name), length(name)).otherwise(box(k)))
+    return let(F.struct(side("width", 1).alias("w"), side("height", 2).alias("h")), lambda x: F.when((x["w"] > 0) & (x["h"] > 0), _size(x["w"], x["h"])))
+
+
 def image_size(body) -> Column:
-    """Width and height from a PNG or GIF header; null for other formats, whose images are kept."""
-    b, form = col(body), image_format(body)
-    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.when((form == "png") & (F.length(b) >= 24), size(_number(b, 17, [0, 1, 2, 3]), _number(b, 21, [0, 1, 2, 3]))).when(form == "gif", size(_number(b, 7, [1, 0]), _number(b, 9, [1, 0])))
+    """Width and height from the headers of PNG, GIF, JPEG and WEBP images and the tag of SVG drawings; null for others, whose images are kept."""
+    b = col(body)
+    return let(image_format(b), lambda form: (
+        F.when((form == "png") & (F.length(b) >= 24), _size(_number(b, 17, [0, 1, 2, 3]), _number(b, 21, [0, 1, 2, 3])))
+        .when(form == "gif", _size(_number(b, 7, [1, 0]), _number(b, 9, [1, 0])))
+        .when(form == "jpeg", _jpeg_size(b))
+        .when(form == "webp", _webp_size(b))
+        .when(form == "svg", _svg_size(b))
+    ))
 
 
 def tiny(width, height) -> Column:

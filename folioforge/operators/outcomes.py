@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import slug_any
+from folioforge.operators.joins import join_popular
+from folioforge.operators.names import allocate_names
 from folioforge.storage import collected, forget, stored
 from folioforge.functions.urls import document_key, is_homepage, is_known_landing, is_source_like, same_site, skip_before_fetch, title_from_url
 
@@ -40,39 +40,6 @@ def low_signal(main_url, reference_url, signals) -> Column:
     return ~same_site(main_url, reference_url) & ~is_source_like(reference_url) & (is_homepage(reference_url) | is_known_landing(reference_url)) & (F.col(signals) >= 2)
 
 
-def _name_all(frame: pd.DataFrame) -> pd.DataFrame:
-    """In link order, the first free of base, base-2, base-3 and so on."""
-    frame = frame.sort_values("pos", ignore_index=True)
-    used, next_, names = set(), {}, []
-    for base in frame["base"]:
-        name, k = f"references/{base}.md", next_.get(base, 2)
-        while name in used:
-            name, k = f"references/{base}-{k}.md", k + 1
-        next_[base] = k
-        used.add(name)
-        names.append(name)
-    frame["relative_path"] = names
-    return frame[["bundle_id", "pos", "relative_path"]]
-
-
-def allocate_names(outcomes: DataFrame) -> DataFrame:
-    """bundle_id, pos and relative_path of outcomes (bundle_id, pos, title) that use a name.
-
-    Nearly all names follow from a count within the bundle and base. Only
-    bundles in which a counted name is also another reference's base need the
-    references in order, and only they go through Python.
-    """
-    named = stored(outcomes.select("bundle_id", "pos", slug_any("title", "reference").alias("base")))
-    own = Window.partitionBy("bundle_id", "base").orderBy("pos")
-    counted = named.withColumn("n", F.row_number().over(own))
-    taken = counted.where("n > 1").select("bundle_id", F.concat_ws("-", "base", F.col("n").cast("string")).alias("base"))
-    clashing = stored(taken.join(named, ["bundle_id", "base"], "left_semi").select("bundle_id").distinct())
-    plain = counted.join(clashing, "bundle_id", "left_anti")
-    simple = plain.select("bundle_id", "pos", F.concat(F.lit("references/"), "base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md")).alias("relative_path"))
-    exact = named.join(clashing, "bundle_id", "left_semi").groupBy("bundle_id").applyInPandas(_name_all, "bundle_id long, pos int, relative_path string")
-    return simple.unionByName(exact)
-
-
 def reference_title(cls_kind, cls_subtype, parsed_title, markdown_title, final_url) -> Column:
     by_url = title_from_url(final_url)
     parsed = F.col(parsed_title)
@@ -108,7 +75,7 @@ def _resolved(links: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("requested_url").alias("link_url"), "fetched_url", "final_url", "content_type", "fail_reason", "cls", "parsed_title", "markdown_title",
         F.size(marketing_signals("main_html", "article_html")).alias("signals"),
     )
-    answered = planned.where("not unread").join(narrow, "link_url", "left").withColumn("requested_url", F.col("link_url"))
+    answered = join_popular(planned.where("not unread"), narrow, "link_url", ["bundle_id", "pos"]).withColumn("requested_url", F.col("link_url"))
     failed = F.col("final_url").isNull() | F.col("fail_reason").isNotNull()
     title = F.when(failed, title_from_url("link_url")).otherwise(reference_title("cls.kind", "cls.subtype", "parsed_title", "markdown_title", "final_url"))
     answered = answered.withColumn("title", title).withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
 from folioforge.operators import assets, extract, outcomes, render
+from folioforge.operators.joins import join_popular
 from folioforge.sources.captures import classified, pieces
 from folioforge.storage import collected, forget, stored
 
@@ -71,7 +72,7 @@ def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame, chunks: Da
     columns = ["bundle_id", "relative_path", "requested_url", "fetched_url", "final_url", "content_type", "title", "cls", "main_html", "article_html", "text_body", "body"]
     first = pages.withColumn("relative_path", F.lit("index.md")).select(*columns)
     readable = told.where("kind in ('readable', 'asset')").select("bundle_id", "relative_path", "title", "asset_path", "link_url")
-    others = readable.join(seen.withColumnRenamed("requested_url", "link_url").withColumn("requested_url", F.col("link_url")), "link_url")
+    others = join_popular(readable, seen.withColumnRenamed("requested_url", "link_url").withColumn("requested_url", F.col("link_url")), "link_url", ["bundle_id", "relative_path"], "inner")
     every = first.withColumn("asset_path", F.when(F.col("cls.kind") == "asset", F.concat(F.lit("assets/source"), F.col("cls.extension")))).unionByName(others.select(*columns, "asset_path"))
 
     html = every.where("cls.kind = 'html'").withColumn("page_url", F.col("final_url"))

@@ -134,37 +134,37 @@ def prefetch_policy(spark, sf_dir):
     return p.select("page_id", "ref_url", U.is_source_like("ref_url").alias("source_like"), U.is_known_landing("ref_url").alias("known_landing"), U.skip_before_fetch("main_url", "ref_url").alias("skipped"))
 
 
-_URLS = ["https://example.com/a", "http://user:pw@example.com/", "ftp://example.com/x", "https://localhost/x", "no url", "http://example.com:8080/p?q#f", "mailto:a@b.c", "https://[::1]/"]
+#: What may be asked for, made from each page's address: as it is, with a password, another scheme, a port, and what is no address of a source.
+_ASKED = [
+    "{url}", "replace({url}, '://', '://user:pw@')", "replace({url}, 'https://', 'ftp://')", "concat('https://localhost/', {id})", "concat('no url ', {id})",
+    "replace(replace({url}, 'https://', 'http://'), '.example.', '.example.org:8080.')", "concat('mailto:', {id}, '@b.c')", "concat('https://[::1]/', {id})", "replace({url}, 'https://', 'http://')",
+]
+_ASKED_SQL = "CASE page_id % 9 " + " ".join(f"WHEN {k} THEN {e.format(url='url', id='page_id')}" for k, e in enumerate(_ASKED)) + " END"
 
 
 @query(
-    "SELECT u, CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'Invalid source URL: ' || u WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') THEN 'Invalid source URL: username and password are not allowed'"
-    " WHEN NOT regexp_matches(u, '^https?:') THEN 'Invalid source URL: protocol must be http or https' WHEN NOT regexp_matches(u, '^https?://[^/?#:]*\\.') THEN 'Invalid source URL: hostname must contain a dot' END AS refused, regexp_replace(u, '^http:', 'https:') AS upgraded FROM (VALUES "
-    + ", ".join(f"('{u}')" for u in _URLS) + ") t(u)"
+    "SELECT page_id, u, CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'Invalid source URL: ' || u WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') THEN 'Invalid source URL: username and password are not allowed'"
+    " WHEN NOT regexp_matches(u, '^https?:') THEN 'Invalid source URL: protocol must be http or https' WHEN NOT regexp_matches(u, '^https?://[^/?#:]*\\.') THEN 'Invalid source URL: hostname must contain a dot' END AS refused, regexp_replace(u, '^http:', 'https:') AS upgraded"
+    f" FROM (SELECT page_id, {_ASKED_SQL} AS u FROM pages)"
 )
 def validate_url(spark, sf_dir):
-    u = spark.createDataFrame([(u,) for u in _URLS], "u string")
-    return u.select("u", U.validation_error("u").alias("refused"), U.upgraded("u").alias("upgraded"))
+    u = pages(spark, sf_dir).select("page_id", F.expr(_ASKED_SQL).alias("u"))
+    return u.select("page_id", "u", U.validation_error("u").alias("refused"), U.upgraded("u").alias("upgraded"))
 
 
 _TYPES = ["text/html; charset=utf-8", "application/xhtml+xml", "Text/Markdown", "text/plain", "application/json", "application/ld+json", "application/rss+xml", "image/svg+xml", "text/javascript", "application/x-www-form-urlencoded", "text/css", "text/csv", "text/x-rst; a=b", "image/png", "application/pdf", "application/yaml", "application/gzip"]
 _TYPE_BASE = "lower(trim(string_split(ct, ';')[1]))"
 
 
-def _values(rows) -> str:
-    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
-
-
 @query(
-    f"""SELECT ct, CASE WHEN b IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN b LIKE 'text/%' OR b LIKE '%+json' OR b LIKE '%+xml' OR b IN ('application/json', 'application/xml', 'application/javascript', 'application/x-www-form-urlencoded') THEN 'text' ELSE 'asset' END AS kind,
+    f"""SELECT page_id, ct, CASE WHEN b IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN b LIKE 'text/%' OR b LIKE '%+json' OR b LIKE '%+xml' OR b IN ('application/json', 'application/xml', 'application/javascript', 'application/x-www-form-urlencoded') THEN 'text' ELSE 'asset' END AS kind,
     CASE WHEN b IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN b = 'text/plain' THEN 'plain' WHEN b = 'application/json' OR b LIKE '%+json' THEN 'json' WHEN b = 'application/xml' OR b LIKE '%+xml' THEN 'xml' WHEN b IN ('application/javascript', 'text/javascript') THEN 'javascript' WHEN b = 'application/x-www-form-urlencoded' THEN 'form' WHEN b LIKE 'text/%' THEN b[6:] ELSE b END AS subtype,
     CASE b WHEN 'text/html' THEN '.html' WHEN 'application/xhtml+xml' THEN '.html' WHEN 'text/markdown' THEN '.md' WHEN 'text/javascript' THEN '.js' WHEN 'text/css' THEN '.css' WHEN 'text/csv' THEN '.csv' WHEN 'image/png' THEN '.png' WHEN 'application/pdf' THEN '.pdf' WHEN 'application/gzip' THEN '.gz' WHEN 'application/yaml' THEN '.bin'
-    ELSE CASE WHEN b = 'application/json' OR b LIKE '%+json' THEN '.json' WHEN b LIKE '%+xml' THEN '.xml' ELSE '.txt' END END AS extension FROM (SELECT ct, {_TYPE_BASE} AS b FROM {_values([(t,) for t in _TYPES])} t(ct))"""
+    ELSE CASE WHEN b = 'application/json' OR b LIKE '%+json' THEN '.json' WHEN b LIKE '%+xml' THEN '.xml' ELSE '.txt' END END AS extension FROM (SELECT page_id, ct, {_TYPE_BASE} AS b FROM (SELECT page_id, list_extract([{', '.join(map(repr, _TYPES))}], CAST(page_id % {len(_TYPES)} + 1 AS INT)) AS ct FROM pages))"""
 )
 def classify_header(spark, sf_dir):
-    t = spark.createDataFrame([(t,) for t in _TYPES], "ct string").withColumn("c", C.classify("ct", F.lit("https://example.com/x"), F.lit(None).cast("binary")))
-    return t.select("ct", "c.kind", "c.subtype", "c.extension")
+    t = pages(spark, sf_dir).withColumn("ct", F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % len(_TYPES) + 1).cast("int")))
+    return t.withColumn("c", C.classify("ct", F.lit("https://example.com/x"), F.col("html").cast("binary"))).select("page_id", "ct", "c.kind", "c.subtype", "c.extension")
 
 
 _EXTS = ["html", "HTM", "md", "markdown", "txt", "json", "rss", "mjs", "css", "csv", "yml", "pdf", "jpeg", "docx"]
@@ -182,37 +182,62 @@ def classify_extension(spark, sf_dir):
     return p.withColumn("c", C.classify(F.lit("application/octet-stream"), url, F.lit(None).cast("binary"))).select("page_id", "ext", "c.kind", "c.subtype")
 
 
+#: What stands before each page's bytes: magic numbers, two ways HTML begins, a NUL, half a character, a control character, nothing.
 _BYTES = ["255044462D312E37", "89504E470D0A1A0A00", "FFD8FFE000", "474946383961AA", "52494646000000005745425056", "504B0304", "3C21444F43545950452068746D6C3E", "20203C48544D4C3E", "68656C6C6F", "680065", "C3", "1B41", ""]
-_BYTES_KIND = ["asset", "asset", "asset", "asset", "asset", "asset", "html", "html", "text", "asset", "asset", "asset", "text"]
-_BYTES_SUB = ["application/pdf", "image/png", "image/jpeg", "image/gif", "image/webp", "application/zip", "html", "html", "plain", "binary", "binary", "binary", "plain"]
+_BYTES_SQL = "CASE page_id % 13 " + " ".join(f"WHEN {k} THEN '{b}'" for k, b in enumerate(_BYTES)) + " END"
+#: Of the first 4096 bytes, in hex: whether they hold a NUL or control character, half a character at either end, and begin as HTML does.
+_ODD_BYTES = "(regexp_matches(s, '^(..)*(0[0-8EF]|1[0-9A-F])') OR regexp_matches(s, '^C3[^89AB]') OR (n > 4096 AND regexp_matches(s, '([C-F].|[EF]...|F.....)$')))"
+_HTML_BYTES = "(p IN ('3C21444F43545950452068746D6C3E', '20203C48544D4C3E') OR (p = '' AND regexp_matches(html, '(?i)^\\s*<(!doctype html|html)')))"
 
 
 @query(
-    """SELECT hx, CASE WHEN hx LIKE '255044462D%' OR hx LIKE '89504E470D0A1A0A%' OR hx LIKE 'FFD8FF%' OR hx LIKE '47494638_961%' OR hx LIKE '52494646________57454250%' OR hx LIKE '504B%' THEN 'asset'
-    WHEN hx LIKE '%00%' OR hx = 'C3' OR hx LIKE '1B%' THEN 'asset' WHEN regexp_matches(lower(CAST(unhex(hx) AS VARCHAR)), '^\\s*<(!doctype html|html)') THEN 'html' ELSE 'text' END AS kind,
-    CASE WHEN hx LIKE '255044462D%' THEN 'application/pdf' WHEN hx LIKE '89504E47%' THEN 'image/png' WHEN hx LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN hx LIKE '47494638%' THEN 'image/gif' WHEN hx LIKE '52494646________57454250%' THEN 'image/webp' WHEN hx LIKE '504B%' THEN 'application/zip'
-    WHEN hx LIKE '%00%' OR hx = 'C3' OR hx LIKE '1B%' THEN 'binary' WHEN regexp_matches(lower(CAST(unhex(hx) AS VARCHAR)), '^\\s*<(!doctype html|html)') THEN 'html' ELSE 'plain' END AS subtype FROM """
-    + _values([(b,) for b in _BYTES]) + " t(hx)"
+    f"""SELECT page_id, n, CASE WHEN magic IS NOT NULL OR {_ODD_BYTES} THEN 'asset' WHEN {_HTML_BYTES} THEN 'html' ELSE 'text' END AS kind,
+    CASE WHEN magic IS NOT NULL THEN magic WHEN {_ODD_BYTES} THEN 'binary' WHEN {_HTML_BYTES} THEN 'html' ELSE 'plain' END AS subtype
+    FROM (SELECT *, CAST(length(hx) // 2 AS BIGINT) AS n, hx[:8192] AS s, CASE p WHEN '255044462D312E37' THEN 'application/pdf' WHEN '89504E470D0A1A0A00' THEN 'image/png' WHEN 'FFD8FFE000' THEN 'image/jpeg'
+      WHEN '474946383961AA' THEN 'image/gif' WHEN '52494646000000005745425056' THEN 'image/webp' WHEN '504B0304' THEN 'application/zip' END AS magic
+      FROM (SELECT *, p || hex(encode(html)) AS hx FROM (SELECT page_id, html, {_BYTES_SQL} AS p FROM pages)))"""
 )
 def classify_bytes(spark, sf_dir):
-    t = spark.createDataFrame([(b,) for b in _BYTES], "hx string").withColumn("c", C.classify(F.lit(""), F.lit("https://example.com/x"), F.unhex("hx")))
-    return t.select("hx", "c.kind", "c.subtype")
-
-
-_IMAGES = ["89504E470D0A1A0A0000000D49484452000000780000005A0802", "89504E47", "474946383961780040000000", "FFD8FFE000104A46494600", "FFD8FFE000104A464946000101", "524946460000000057454250", "000000186674797068656963", "3C73766720786D6C6E733D22", "68656C6C6F20776F726C642E"]
+    """Whole pages behind the bytes that other files begin with."""
+    t = pages(spark, sf_dir).withColumn("b", F.concat(F.unhex(F.expr(_BYTES_SQL)), F.col("html").cast("binary")))
+    return t.withColumn("c", C.classify(F.lit(""), F.lit("https://example.com/x"), F.col("b"))).select("page_id", F.length("b").cast("long").alias("n"), "c.kind", "c.subtype")
+
+
+#: Headers of images of every kind, whose sides follow from the page, before the page's bytes: w and h big-endian, x and y little-endian, in hex.
+_HEADERS = {
+    "png": "'89504E470D0A1A0A0000000D49484452', '0000', w, '0000', h, '0802'",
+    "gif": "'474946383961', x, y, '0000'",
+    "jpeg": "'FFD8FFE000104A46494600010100000100010000', 'FFE1000611223344', 'FFFFC2001108', h, w, '03'",
+    "webp": "'524946460000000057454250', '56503820', '00000000', '000000', '9D012A', x, y",
+    "webp_lossless": "'524946460000000057454250', '5650384C', '00000000', '2F', x, '00', '00'",
+    "webp_extended": "'524946460000000057454250', '56503858', '0A000000', '00000000', x, '00', y, '00'",
+    "svg": "'3C7376672077696474683D22', dw, '22206865696768743D27', dh, '7078273E'",
+    "heif": "'0000001866747970686569630000'",
+    "short": "'89504E47'",
+}
+_SIDES = "1 + page_id % 700 AS width, 1 + page_id * 7 % 600 AS height"
+_HEADER_SQL = "CASE page_id % 9 " + " ".join(f"WHEN {k} THEN concat({e})" for k, e in enumerate(_HEADERS.values())) + " END"
+_DIGITS_SQL = "concat('3', substr({0}, 1, 1), '3', substr({0}, 2, 1), '3', substr({0}, 3, 1))"
+_PARTS = [
+    "substr(hw, 5, 4) AS w", "substr(hh, 5, 4) AS h", "concat(substr(hw, 7, 2), substr(hw, 5, 2)) AS x", "concat(substr(hh, 7, 2), substr(hh, 5, 2)) AS y",
+    f"{_DIGITS_SQL.format('lw')} AS dw", f"{_DIGITS_SQL.format('lh')} AS dh",
+]
 
 
 @query(
-    """SELECT hx, CASE WHEN length(hx) < 24 THEN NULL WHEN hx LIKE '89504E470D0A1A0A%' THEN 'png' WHEN hx LIKE 'FFD8FF%' THEN 'jpeg' WHEN hx LIKE '474946383961%' OR hx LIKE '474946383761%' THEN 'gif' WHEN hx LIKE '52494646________57454250%' THEN 'webp' WHEN hx LIKE '________66747970%' THEN 'heif' WHEN hx LIKE '3C737667%' THEN 'svg' END AS format,
-    CASE WHEN hx LIKE '89504E470D0A1A0A%' AND length(hx) >= 48 THEN CAST('0x' || hx[33:40] AS INT) WHEN hx LIKE '4749463839%' AND length(hx) >= 24 THEN CAST('0x' || hx[15:16] || hx[13:14] AS INT) ELSE 0 END AS width,
-    CASE WHEN hx LIKE '89504E470D0A1A0A%' AND length(hx) >= 48 THEN CAST('0x' || hx[41:48] AS INT) WHEN hx LIKE '4749463839%' AND length(hx) >= 24 THEN CAST('0x' || hx[19:20] || hx[17:18] AS INT) ELSE 0 END AS height FROM """
-    + _values([(b,) for b in _IMAGES])
-    + " t(hx)"
+    """SELECT page_id, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' WHEN 6 THEN 'svg' WHEN 7 THEN 'heif' WHEN 8 THEN NULL ELSE 'webp' END AS format,
+    CASE WHEN k IN (7, 8) THEN 0 WHEN k = 4 THEN 1 + width % 16384 WHEN k = 5 THEN 1 + width ELSE width END AS width, CASE WHEN k IN (7, 8) THEN 0 WHEN k = 4 THEN 1 + width // 16384 WHEN k = 5 THEN 1 + height ELSE height END AS height,
+    CASE WHEN k IN (7, 8) THEN false ELSE least(CASE WHEN k = 4 THEN 1 ELSE height + CAST(k = 5 AS INT) END, width + CAST(k IN (4, 5) AS INT)) < 24 OR greatest(CASE WHEN k = 4 THEN 1 ELSE height + CAST(k = 5 AS INT) END, width + CAST(k IN (4, 5) AS INT)) <= 64 END AS tiny"""
+    f" FROM (SELECT page_id, page_id % 9 AS k, {_SIDES} FROM pages)"
 )
 def image_headers(spark, sf_dir):
-    t = spark.createDataFrame([(b,) for b in _IMAGES], "hx string").withColumn("b", F.unhex("hx"))
-    size = C.image_size("b")
-    return t.select("hx", C.image_format("b").alias("format"), F.coalesce(size["width"], F.lit(0)).alias("width"), F.coalesce(size["height"], F.lit(0)).alias("height"))
+    sides = pages(spark, sf_dir).select("page_id", "html", *[F.expr(e) for e in _SIDES.split(", ")])
+    hexed = sides.select("page_id", "html", F.format_string("%08X", "width").alias("hw"), F.format_string("%08X", "height").alias("hh"), F.format_string("%03d", "width").alias("lw"), F.format_string("%03d", "height").alias("lh"))
+    parts = hexed.selectExpr("page_id", "html", *_PARTS)
+    b = parts.withColumn("b", F.when(F.col("page_id") % 9 == 8, F.unhex(F.expr(_HEADER_SQL))).otherwise(F.concat(F.unhex(F.expr(_HEADER_SQL)), F.col("html").cast("binary"))))
+    told = b.withColumn("size", C.image_size("b"))
+    zero = lambda c: F.coalesce(told["size"][c], F.lit(0)).cast("long").alias(c)
+    return told.select("page_id", C.image_format("b").alias("format"), zero("width"), zero("height"), F.coalesce(C.tiny(told["size"]["width"], told["size"]["height"]), F.lit(False)).alias("tiny"))
 
 
 _WITHOUT = "html"
