@@ -24,10 +24,6 @@ SEPARATOR = 2
 #: Items of a shard, which is packed on its own; islands that each search for a packing of it, and epochs between
 #: which each island's elite also moves to the next island; generations of an epoch, and packings on an island.
 SHARD, ISLANDS, EPOCHS, GENERATIONS, HERD = 4096, 3, 3, 15, 6
-#: Generations without fewer sequences after which an island rests; one that gained nothing in an epoch is done.
-PATIENCE = 6
-#: A shard is searched no further once its sequences exceed the least conceivable number by this share at most.
-CLOSE = 0.001
 #: The items of a shard's sequences below this fill are packed once more with those of other shards, the least filled
 #: ones first and at most this share of them, so that each level is a fraction of the one before.
 FULL, LOOSE = 0.995, 0.25
@@ -73,106 +69,122 @@ def _cut(ranks: str, capacity: int):
     return run
 
 
-def best_fit(sizes: list[int], items: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """Put items, the largest first, where the least room stays; bins that are there already are filled too."""
-    bins = [list(b) for b in bins or []]
-    rooms = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+Packing = list[list[int]]
+#: A bin with its fill; bins never change, so packings share those that they have in common. Packings inside stand with the least filled bin first.
+Bin = tuple[int, tuple[int, ...]]
+
+
+def _placed(sizes: list[int], items: list[int], capacity: int, bins: list[Bin]) -> list[Bin]:
+    """Bins with the items, the largest put first, each where the least room stays; those that fit nowhere open new bins."""
+    rooms = sorted([(capacity - fill, k) for k, (fill, _) in enumerate(bins) if fill < capacity])
+    added: dict[int, list[int]] = {}
+    n = len(bins)
     for i in sorted(items, key=lambda i: -sizes[i]):
         at = bisect_left(rooms, (sizes[i], -1))
         if at < len(rooms):
             room, k = rooms.pop(at)
-            bins[k].append(i)
         else:
-            room, k = capacity, len(bins)
-            bins.append([i])
+            room, k, n = capacity, n, n + 1
+        added.setdefault(k, []).append(i)
         if room > sizes[i]:
             insort(rooms, (room - sizes[i], k))
-    return bins
-
-
-Packing = list[list[int]]
+    out = list(bins)
+    for k, own in added.items():
+        fill = sum([sizes[i] for i in own])
+        if k < len(bins):
+            out[k] = (bins[k][0] + fill, bins[k][1] + tuple(own))
+        else:
+            out.append((fill, tuple(own)))
+    out.sort()
+    return out
 
 
-def _fill(sizes: list[int], one: list[int]) -> int:
-    return sum([sizes[i] for i in one])
+def best_fit(sizes: list[int], items: list[int], capacity: int) -> Packing:
+    """Put items, the largest first, where the least room stays."""
+    return [list(b) for _, b in _placed(sizes, items, capacity, [])]
 
 
-def _score(sizes: list[int], bins: Packing, capacity: int) -> tuple[int, float]:
-    """Fewer bins are better; of equally many, fuller and emptier ones: Falkenauer's mean of squared fills, negated."""
-    return len(bins), -sum((_fill(sizes, b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+def _score(bins: list[Bin]) -> tuple[int, int]:
+    """Fewer bins are better; of equally many, fuller and emptier ones: Falkenauer's squared fills, negated."""
+    return len(bins), -sum([fill * fill for fill, _ in bins])
 
 
-def _exchange(sizes: list[int], bins: Packing, loose: list[int], capacity: int) -> list[int]:
-    """Replace items of bins by larger loose ones that still fit, the best replacement of a bin first; what is loose then."""
+def _exchange(sizes: list[int], bins: list[Bin], loose: list[int], capacity: int) -> tuple[list[Bin], list[int]]:
+    """Replace items of bins by larger loose ones that still fit, the best replacement of a bin first; the bins and what is loose then."""
     loose = sorted(loose, key=lambda i: sizes[i])
-    keys = [sizes[i] for i in loose]
-    for b in bins:
-        room = capacity - _fill(sizes, b)
-        while room and loose:
-            gain, place, at = 0, 0, 0
-            for p, i in enumerate(b):
-                k = bisect_right(keys, sizes[i] + room) - 1
-                if k >= 0 and keys[k] - sizes[i] > gain:
-                    gain, place, at = keys[k] - sizes[i], p, k
-            if not gain:
-                break
-            out, b[place] = b[place], loose.pop(at)
-            keys.pop(at)
-            k = bisect_right(keys, sizes[out])
-            keys.insert(k, sizes[out])
-            loose.insert(k, out)
-            room -= gain
-    return loose
-
-
-def _refit(sizes: list[int], bins: Packing, displaced: list[int], capacity: int) -> Packing:
-    bins.sort(key=lambda b: _fill(sizes, b))
-    return best_fit(sizes, _exchange(sizes, bins, displaced, capacity), capacity, bins)
-
-
-def _cross(sizes: list[int], one: Packing, other: Packing, capacity: int, draw: random.Random) -> Packing:
+    keys, out = [sizes[i] for i in loose], []
+    for one in bins:
+        room = capacity - one[0]
+        if room and keys and keys[-1] > 1:
+            own = list(one[1])
+            while room:
+                gain, place, at = 0, 0, 0
+                for p, i in enumerate(own):
+                    k = bisect_right(keys, sizes[i] + room) - 1
+                    if k >= 0 and keys[k] - sizes[i] > gain:
+                        gain, place, at = keys[k] - sizes[i], p, k
+                if not gain:
+                    break
+                gone, own[place] = own[place], loose.pop(at)
+                keys.pop(at)
+                k = bisect_right(keys, sizes[gone])
+                keys.insert(k, sizes[gone])
+                loose.insert(k, gone)
+                room -= gain
+            one = (capacity - room, tuple(own))
+        out.append(one)
+    return out, loose
+
+
+def _refit(sizes: list[int], bins: list[Bin], displaced: list[int], capacity: int) -> list[Bin]:
+    bins, displaced = _exchange(sizes, sorted(bins), displaced, capacity)
+    return _placed(sizes, displaced, capacity, bins)
+
+
+def _cross(sizes: list[int], one: list[Bin], other: list[Bin], capacity: int, draw: random.Random) -> list[Bin]:
     """Inject whole well-filled bins of one parent, drop the other's bins that hold the same items, best-fit what they displace."""
-    ranked = sorted(one, key=lambda b: -_fill(sizes, b))
-    injected = [list(b) for b in ranked[: max(1, len(ranked) // 2)] if draw.random() < 0.5] or [list(ranked[0])]
-    taken = {i for b in injected for i in b}
-    kept = [list(b) for b in other if taken.isdisjoint(b)]
-    displaced = [i for b in other if not taken.isdisjoint(b) for i in b if i not in taken]
+    injected = [b for b in one[-max(1, len(one) // 2) :] if draw.random() < 0.5] or [one[-1]]
+    taken = {i for _, b in injected for i in b}
+    kept, displaced = [], []
+    for b in other:
+        if taken.isdisjoint(b[1]):
+            kept.append(b)
+        else:
+            displaced += [i for i in b[1] if i not in taken]
     return _refit(sizes, injected + kept, displaced, capacity)
 
 
-def _mutate(sizes: list[int], bins: Packing, capacity: int, draw: random.Random, share: float) -> Packing:
+def _mutate(sizes: list[int], bins: list[Bin], capacity: int, draw: random.Random, share: float) -> list[Bin]:
     """Empty a share of the bins, half of them the least filled, and place their items anew."""
-    ranked = sorted(bins, key=lambda b: _fill(sizes, b))
-    n = max(2, int(len(ranked) * share))
-    out = {*range(min(len(ranked), n - n // 2)), *(draw.randrange(len(ranked)) for _ in range(n // 2))}
-    displaced = [i for k in out for i in ranked[k]]
-    return _refit(sizes, [list(b) for k, b in enumerate(ranked) if k not in out], displaced, capacity)
-
-
-def least_bins(sizes: list[int], capacity: int, close: float = 0.0) -> int:
-    """So many bins are as few as can be, or exceed that by the share ``close`` at most."""
-    return int(-(-sum(sizes) // capacity) * (1 + close))
-
-
-def evolve(sizes: list[int], capacity: int = CAPACITY, *, elites: list[Packing] | None = None, generations: int = GENERATIONS, herd: int = HERD, close: float = 0.0, seed: int = 0) -> Packing:
-    """The best packing of all sizes that some generations find, starting from elites, or from best fit without any."""
-    draw = random.Random(seed)
-    enough = least_bins(sizes, capacity, close)
-    all_ = [[list(b) for b in e] for e in elites or [best_fit(sizes, list(range(len(sizes))), capacity)]]
-    best = lambda: min(all_, key=lambda bins: _score(sizes, bins, capacity))
-    if not sizes or len(best()) <= enough:
-        return best()
-    while len(all_) < herd:
-        all_.append(_mutate(sizes, all_[len(all_) % len(elites or [0])], capacity, draw, 0.3))
-    fewest, rest = len(best()), 0
-    for _ in range(generations):
-        all_.sort(key=lambda bins: _score(sizes, bins, capacity))
-        fewest, rest = len(all_[0]), 0 if len(all_[0]) < fewest else rest + 1
-        if fewest <= enough or rest > PATIENCE:
-            break
-        one, other = draw.sample(all_[: herd // 2 + 1], 2)
-        all_[-1] = _mutate(sizes, _cross(sizes, one, other, capacity, draw), capacity, draw, 0.05)
-    out = best()
+    n = max(2, int(len(bins) * share))
+    out = {*range(min(len(bins), n - n // 2)), *(draw.randrange(len(bins)) for _ in range(n // 2))}
+    return _refit(sizes, [b for k, b in enumerate(bins) if k not in out], [i for k in out for i in bins[k][1]], capacity)
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """So many bins are as few as can be."""
+    return -(-sum(sizes) // capacity)
+
+
+def evolve(sizes: list[int], capacity: int = CAPACITY, *, elites: list[Packing] | None = None, generations: int = GENERATIONS, herd: int = HERD, seed: int = 0) -> Packing:
+    """The best packing of all sizes that some generations find, starting from elites, or from best fit without any. Only a packing that cannot be bettered ends the search sooner."""
+    if not sizes:
+        return []
+    draw, enough = random.Random(seed), least_bins(sizes, capacity)
+    first = [sorted((sum([sizes[i] for i in b]), tuple(b)) for b in e) for e in elites or [best_fit(sizes, list(range(len(sizes))), capacity)]]
+    scored = lambda bins: (_score(bins), bins)
+    all_ = [scored(bins) for bins in first]
+    by_score = lambda x: x[0]
+    if min(map(by_score, all_))[0] > enough:
+        while len(all_) < herd:
+            all_.append(scored(_mutate(sizes, first[len(all_) % len(first)], capacity, draw, 0.3)))
+        for _ in range(generations):
+            all_.sort(key=by_score)
+            if all_[0][0][0] <= enough:
+                break
+            (_, one), (_, other) = draw.sample(all_[: herd // 2 + 1], 2)
+            all_[-1] = scored(_mutate(sizes, _cross(sizes, one, other, capacity, draw), capacity, draw, 0.05))
+    out = [list(b) for _, b in min(all_, key=by_score)[1]]
     assert sorted(i for b in out for i in b) == list(range(len(sizes)))
     return out
 
@@ -188,7 +200,7 @@ def _epoch(capacity: int, loose: float, search: dict, epoch: int):
         shard, island = int(frame["shard"].iloc[0]), int(frame["island"].iloc[0])
         own = frame[~frame["guest"]].reset_index(drop=True)
         sizes = own["length"].tolist()
-        elites: list[Packing] = [] if epoch else [best_fit(sizes, list(range(len(sizes))), capacity)]
+        elites: list[Packing] = []
         if epoch:
             for _, part in frame.groupby("guest"):
                 bins: dict[int, list[int]] = {}
@@ -196,31 +208,26 @@ def _epoch(capacity: int, loose: float, search: dict, epoch: int):
                     bins.setdefault(k, []).append(i)
                 elites.append(list(bins.values()))
         found = evolve(sizes, capacity, elites=elites, seed=(shard * ISLANDS + island) * EPOCHS + epoch, **search)
-        gained = len(found) < min(map(len, elites))
-        done = not gained or len(found) <= least_bins(sizes, capacity, search["close"])
-        if not gained and island and not epoch:  # all islands start alike, so the first one has as few
-            found = []
-        found.sort(key=lambda b: _fill(sizes, b))
-        rows = [(i, k, at) for k, b in enumerate(found) for i, at in zip(b, np.cumsum([0, *(sizes[i] for i in b)]).tolist())]
+        filled = sorted((sum([sizes[i] for i in b]), tuple(b)) for b in found)
+        rows = [(i, k, at) for k, (_, b) in enumerate(filled) for i, at in zip(b, np.cumsum([0, *(sizes[i] for i in b)]).tolist())]
         at = np.array(rows, dtype=np.int64).reshape(-1, 3)
         out = own.loc[at[:, 0], ["shard", "island", "item", "length"]].reset_index(drop=True)
-        count, score = _score(sizes, found, capacity)
-        ill = sum(_fill(sizes, b) < FULL * capacity for b in found)
-        out["bin"], out["offset"], out["loose"] = at[:, 1].astype(np.int32), at[:, 2], at[:, 1] < max(1, min(ill, int(len(found) * loose)))
-        out["bins"], out["score"], out["done"] = count, float(score), done
+        count, score = _score(filled)
+        ill = sum(fill < FULL * capacity for fill, _ in filled)
+        out["bin"], out["offset"], out["loose"] = at[:, 1].astype(np.int32), at[:, 2], at[:, 1] < max(1, min(ill, int(len(filled) * loose)))
+        out["bins"], out["score"], out["done"] = count, float(score), count <= least_bins(sizes, capacity)
         return out
 
     return run
 
 
-def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, herd: int = HERD, close: float = CLOSE, loose: float = LOOSE) -> DataFrame:
+def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, herd: int = HERD, loose: float = LOOSE) -> DataFrame:
     """Place items (item: unique, length: 1 to capacity, any others) into sequences of at most ``capacity``.
 
     Items are dealt by a hash to shards of about ``shard``. Each shard evolves
     on several islands; after each epoch an island's elite also joins the next
-    island, and the best of all islands is taken. A shard that best fit packs
-    within ``close`` of the least conceivable number is not searched, and an
-    island that an epoch gains nothing is done. The items
+    island, and the best of all islands is taken. Only a shard with a packing of
+    the least conceivable number of sequences is searched no further. The items
     of the least filled sequences, at most a share ``loose`` of a shard's, form
     fewer shards then, and so on until one is left, which settles all. Adds
     sequence_id and offset. No shards for full items: each is a sequence.
@@ -228,22 +235,20 @@ def pack_lengths(items: DataFrame, *, capacity: int = CAPACITY, shard: int = SHA
     full = items.where(F.col("length") >= capacity).select(*items.columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     partial = items.where(F.col("length") < capacity)
     left, done, level = partial.select("item", "length"), [], 0
-    search = {"generations": generations, "herd": herd, "close": close}
+    search = {"generations": generations, "herd": herd}
     while True:
         shards = max(1, -(-left.count() // shard))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
         start = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(-1).alias("bin"), F.lit(False).alias("guest"))
         found = [stash(start.groupBy("shard", "island").applyInPandas(_epoch(capacity, loose, search, 0), _TOLD))]
         for epoch in range(1, epochs):
-            open_ = found[-1].where("not done")
+            done_ = found[-1].where("done").select("shard").distinct()
+            open_ = found[-1].join(done_, "shard", "left_anti")
             if open_.isEmpty():
                 break
             homes = F.array(F.struct(F.col("island").alias("to"), F.lit(False).alias("guest")), F.struct(((F.col("island") + 1) % islands).cast("int").alias("to"), F.lit(True).alias("guest")))
             homes = open_.select("shard", "item", "length", "bin", F.explode(homes if islands > 1 else F.slice(homes, 1, 1)).alias("h"))
             moved = homes.select("shard", F.col("h.to").alias("island"), "item", "length", "bin", "h.guest")
-            # an island that is done sends no guest on and gets none of its own back: its guests then have no host
-            hosted = open_.select("shard", "island").distinct()
-            moved = moved.join(hosted, ["shard", "island"], "left_semi")
             found.append(stash(moved.groupBy("shard", "island").applyInPandas(_epoch(capacity, loose, search, epoch), _TOLD)))
         told = reduce(DataFrame.unionByName, [f.withColumn("epoch", F.lit(k)) for k, f in enumerate(found)])
         best = told.groupBy("shard").agg(F.min(F.struct("bins", "score", "epoch", "island")).alias("b")).select("shard", "b.epoch", "b.island")
