@@ -270,7 +270,8 @@ def _scores(model: Model, with_spans: bool, columns: list[str]):
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether a row takes no part in learning. A null doc_id, which no label can name, is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -312,7 +313,12 @@ def toxicity(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, and the offsets of their toxic words as start:end, joined by commas."""
+    """Scores of all documents, and the offsets of their toxic words as start:end, joined by commas.
+
+    Null, empty and blank texts get the score of a text without words; a null
+    doc_id is not held out; repeated rows each stay; long texts count whole; no
+    rows give none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     places = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
