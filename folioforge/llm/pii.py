@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import arrow_map, stash, table
-from folioforge.llm.spans import Span, counts, digest, joined, ordered
+from folioforge.llm.common import arrow_map, stash, table, unstash
+from folioforge.llm.spans import Span, counts, digest, joined, merged, ordered
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -115,7 +116,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     if "@" not in text and not _HAS_DIGITS.search(text):
         return []
     groups = [m.span() for m in _GROUPS.finditer(text) if len(_DIGITS.findall(m[0])) >= 7]
-    out, at = [], 0
+    out, at, taken = [], 0, merged(base)
+    ends = [e for _, e in taken]
     for a, b in sorted(groups + [m.span() for m in _CANDIDATE.finditer(text)], key=lambda x: (x[0], -x[1])):
         if b <= at:
             continue
@@ -124,7 +126,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
             a += 1
         while a < b and text[b - 1] in _EDGE:
             b -= 1
-        if b - a >= 5 and not any(s < b and a < e for _, s, e in base):
+        k = bisect_right(ends, a)  # the first base span that ends after the candidate starts
+        if b - a >= 5 and not (k < len(taken) and taken[k][0] < b):
             out.append((a, b))
     return out
 
@@ -152,19 +155,30 @@ def _observe(columns: list[str]):
     return run
 
 
-def bootstrap(edges: DataFrame, *, rounds: int = 8, support: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Score the graph of patterns and instances by turns, until no round accepts another instance.
+#: Scores that differ by less are the same.
+STILL = 1e-6
+
+
+def _same(new: DataFrame, old: DataFrame, keys: list[str]) -> bool:
+    """Whether no row of new is without one of old with its keys and its score."""
+    before = old.select(*keys, F.col("score").alias("was"))
+    return new.join(before, keys, "left").where(F.col("was").isNull() | (F.abs(F.col("score") - F.col("was")) >= STILL)).isEmpty()
+
+
+def bootstrap(edges: DataFrame, *, support: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Score the graph of patterns and instances by turns, until a round neither adds a pattern or an instance nor moves a score.
 
     edges: pattern, value, kind (null for candidates), one row for each such
     triple. Seeds have score 1 for their kind. In each round a pattern's
     support for a kind is the sum of its instances' scores for it, and its
     score the share of that in all its different instances; patterns of enough
-    support and score stay. An open instance's score for a kind is one less
-    the product of the doubts of its patterns that stay; those of score
-    ``least`` are accepted and support patterns like seeds in the next round,
-    so they also induce patterns that no seed shows. Returns (pattern, kind,
-    score) and (value, kind, score) of accepted instances, the likeliest kind
-    of each. ``rounds`` bounds the search: each costs two joins.
+    support and score stay, and those that stayed once stay for good. An open
+    instance's score for a kind is one less the product of the doubts of its
+    patterns that stay; those of score ``least`` are accepted and support
+    patterns like seeds in the next round, so they also induce patterns that no
+    seed shows. Scores only grow, and a move by less than STILL counts as none,
+    so the rounds end; each costs two joins. Returns (pattern, kind, score) and (value, kind, score) of accepted
+    instances, the likeliest kind of each.
     """
     pairs = stash(edges.select("pattern", "value").distinct())
     total = stash(pairs.groupBy("pattern").agg(F.count("*").alias("total")).where(F.col("total") >= support))
@@ -172,23 +186,30 @@ def bootstrap(edges: DataFrame, *, rounds: int = 8, support: int = 5, least: flo
     # only patterns of enough instances can ever count
     pairs = stash(pairs.join(total.select("pattern"), "pattern", "left_semi"))
     open_ = stash(pairs.join(seeds.select("value").distinct(), "value", "left_anti"))
-    accepted, count = None, 0
-    for _ in range(rounds):
+    patterns = accepted = None
+    while True:
         known = seeds.withColumn("score", F.lit(1.0))
         known = known if accepted is None else known.unionByName(accepted)
         held = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).where(F.col("support") >= support)
-        patterns = stash(held.join(total, "pattern").select("pattern", "kind", (F.col("support") / F.col("total")).alias("score")).where(F.col("score") >= least))
+        new = held.join(total, "pattern").select("pattern", "kind", (F.col("support") / F.col("total")).alias("score")).where(F.col("score") >= least)
+        # scores only grow, so that two instances that support each other cannot come and go for ever
+        new = new if patterns is None else new.unionByName(patterns).groupBy("pattern", "kind").agg(F.max("score").alias("score"))
+        old_patterns, patterns = patterns, stash(new)
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))
         scored = open_.join(patterns, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= least)
-        accepted = scored.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
-        accepted = stash(accepted)
-        before, count = count, accepted.count()
-        if count == before:
-            break
-    return patterns, accepted
-
-
-def extract(docs: DataFrame, *, rounds: int = 8, support: int = 5, least: float = 0.8) -> DataFrame:
+        best = scored.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
+        if accepted is not None:
+            # an instance keeps the kind that it was accepted for
+            first = accepted.select("value", F.col("kind").alias("had"), F.col("score").alias("was"))
+            best = best.join(first, "value", "full").select("value", F.coalesce("had", "kind").alias("kind"), F.when(F.col("had").isNull() | (F.col("had") == F.col("kind")), F.greatest("score", F.coalesce("was", "score"))).otherwise(F.col("was")).alias("score"))
+        old, accepted = accepted, stash(best)
+        ended = accepted.isEmpty() if old is None else _same(accepted, old, ["value"]) and _same(patterns, old_patterns, ["pattern", "kind"])
+        unstash(*(x for x in (old, old_patterns) if x is not None))
+        if ended:
+            return patterns, accepted
+
+
+def extract(docs: DataFrame, *, support: int = 5, least: float = 0.8) -> DataFrame:
     """Columns of docs other than text, plus base and spans: arrays of kind, start, end (code points, end exclusive).
 
     Seeds are the base spans of the whole corpus. Their contexts are patterns;
@@ -205,7 +226,7 @@ def extract(docs: DataFrame, *, rounds: int = 8, support: int = 5, least: float
     seen = stash(seen.withColumn("row", F.monotonically_increasing_id()))
     places = seen.select("row", F.explode("places").alias("p")).select("row", "p.*")
     edges = stash(places.select("pattern", "value", "kind").distinct())
-    _, accepted = bootstrap(edges, rounds=rounds, support=support, least=least)
+    _, accepted = bootstrap(edges, support=support, least=least)
     told = places.where("kind is null").select("row", "start", "end", "value").distinct().join(accepted.select("value", "kind"), "value")
     added = told.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     return seen.join(stash(added), "row", "left").select(*keep, "base", F.concat("base", F.coalesce("added", F.array().cast(_SPANS))).alias("spans"))

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import zlib
 
 import pytest
 
@@ -115,6 +116,11 @@ def test_toxicity_frames(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_toxicity_null_id(spark):
+    frame = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert [r.h for r in frame.select(toxicity.held_out().alias("h")).collect()] == [False, *(zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2))]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -173,6 +179,31 @@ def test_pii_long_and_grouped():
     assert pii._context(text, 4, 4 + len(long)) == ["see _", "see a000@a", "see _ or"] and pii._words("a  b", 4, -1, 5) == ["a", "b"]
 
 
+def test_pii_crowded():
+    """A hundred thousand base spans and as many candidates in one text."""
+    text = "a@b.cd 743-555-38-24x " * 100_000
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == len(found) == 100_000 and time.perf_counter() - began < 5
+    draw = random.Random(8)
+    for _ in range(200):
+        text = "".join(draw.choice(["a@b.cd", "12 34 56 7", "x12345", " ", " ", "(", "@", "+1 23 45 67 89 0"]) for _ in range(12))
+        base = pii.base_spans(text)
+        want = [c for c in pii.candidates(text, []) if not any(s < c[1] and c[0] < e for _, s, e in base)]
+        assert pii.candidates(text, base) == want
+
+
+def test_pii_rounds_go_on(spark):
+    """A chain of patterns in which each round accepts what the next one needs, twelve times."""
+    edges = [("p0 _", f"seed{k}", "email") for k in range(6)] + [("p0 _", f"v0_{k}", None) for k in range(1)]
+    for n in range(12):
+        # pattern n + 1 is shown by six instances that pattern n introduces
+        edges += [(f"p{n} {k} _", f"{'seed' if n == 0 else f'v{n}_'}{j}", "email" if n == 0 else None) for k in range(6) for j in range(6)] + [(f"p{n} {k} _", f"v{n + 1}_{k}", None) for k in range(6)]
+    _, accepted = pii.bootstrap(spark.createDataFrame(edges, "pattern string, value string, kind string"))
+    assert {r.value for r in accepted.collect()} == {"v0_0"} | {f"v{n}_{k}" for n in range(1, 13) for k in range(6)}
+
+
 def plain_spans(text, kinds):
     """Spans of the contract by regular expressions alone: kind, pattern and check, leftmost and non-overlapping."""
     import re
