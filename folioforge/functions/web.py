@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import posixpath
 import re
 import unicodedata
@@ -59,9 +60,58 @@ def _segments(path: str) -> str:
     return "/" + "/".join(out)
 
 
+def _number(part: str) -> int | None:
+    """A part of a numeric host: decimal, octal after 0 or hexadecimal after 0x. None if it is no number."""
+    digits, base = (part[2:], 16) if part[:2].lower() == "0x" else (part[1:], 8) if len(part) > 1 and part[0] == "0" else (part, 10)
+    if not digits:
+        return 0 if base == 16 else None
+    allowed = "0123456789abcdef"[:base]
+    return int(digits, base) if all(c in allowed for c in digits.lower()) else None
+
+
+def _numeric(text: str) -> str | None:
+    """A host as it is, but for one that ends in a number: that is an address of four bytes, whose last part may stand for several. None if it is too large or no address."""
+    parts = text.split(".")
+    if parts[-1] == "" and len(parts) > 1:
+        parts.pop()
+    if not parts[-1] or not (all(c in "0123456789" for c in parts[-1]) or _number(parts[-1]) is not None):
+        return text
+    numbers = [_number(p) if p else None for p in parts]
+    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(parts)):
+        return None
+    whole = numbers[-1] + sum(n << 8 * (3 - k) for k, n in enumerate(numbers[:-1]))
+    return ".".join(str(whole >> shift & 255) for shift in (24, 16, 8, 0))
+
+
+def _six(text: str) -> str | None:
+    """An address of sixteen bytes in its short form; None if it is none."""
+    try:
+        groups = ipaddress.IPv6Address(text).exploded.split(":") if "%" not in text else None
+    except ValueError:
+        return None
+    if groups is None:
+        return None
+    # of the longest runs of zero groups the first gives way to "::"
+    plain = ":".join(f"{int(g, 16):x}" for g in _hex_groups(groups))
+    runs = sorted(((-len(m[0].split(":")), m.start(), m.end()) for m in re.finditer(r"(?<![0-9a-f])0(?::0)+(?![0-9a-f])", plain)))
+    if not runs:
+        return plain
+    _, a, b = runs[0]
+    return f"{plain[:a].removesuffix(':')}::{plain[b:].removeprefix(':')}"
+
+
+def _hex_groups(groups: list[str]) -> list[str]:
+    """The groups, the last two from dotted bytes if they are written so."""
+    if "." not in groups[-1]:
+        return groups
+    a, b, c, d = map(int, groups[-1].split("."))
+    return [*groups[:-1], f"{a << 8 | b:x}", f"{c << 8 | d:x}"]
+
+
 def _host(text: str, special: bool) -> str | None:
     if text.startswith("["):
-        return text.lower() if text.endswith("]") else None
+        short = _six(text[1:-1]) if text.endswith("]") else None
+        return None if short is None else f"[{short}]"
     if not special:
         return None if re.search(r"[\x00\t\n\r #/<>?@\[\\\]^|]", text) else quote(text, safe="!$&'()*+,;=:-._~%\"{}`")
     try:
@@ -72,7 +122,7 @@ def _host(text: str, special: bool) -> str | None:
     except (UnicodeError, ValueError):
         return None
     text = text.lower()
-    return None if not text or _BAD_HOST.search(text) else text
+    return None if not text or _BAD_HOST.search(text) else _numeric(text)
 
 
 def resolve(base: str | None, href: str) -> str | None:

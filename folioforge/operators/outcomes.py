@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioforge.operators.joins import join_popular
 from folioforge.operators.names import allocate_names
@@ -188,3 +192,39 @@ def manifests(outcomes: DataFrame, bundles: DataFrame) -> DataFrame:
     skipped = F.when(F.size("skipped") > 0, F.array(F.concat(F.lit('"skipped":{'), F.array_join("skipped", ","), F.lit("}")))).otherwise(F.array().cast("array<string>"))
     told = lists.select("bundle_id", F.concat(F.lit("{"), F.array_join(F.concat("entries", skipped), ","), F.lit("}")).alias("json"))
     return bundles.select("bundle_id").join(told, "bundle_id", "left").select("bundle_id", F.coalesce("json", F.lit("{}")).alias("json"))
+
+
+#: Places of entries whose text is one part of a manifest's file.
+RANGE = 4096
+
+
+@F.pandas_udf(StringType())
+def _entry_lines(key: pd.Series, entry: pd.Series, depth: pd.Series) -> pd.Series:
+    """An entry as it stands in the file, by the indentation of its section."""
+
+    def told(k: str, e: str, d: int) -> str:
+        body = json.dumps(json.loads(e), indent=2, ensure_ascii=False)
+        return "  " * d + f"{json.dumps(k, ensure_ascii=False)}: {body}".replace("\n", "\n" + "  " * d)
+
+    return pd.Series([told(*x) for x in zip(key, entry, depth)], dtype=object)
+
+
+def manifest_files(outcomes: DataFrame, bundles: DataFrame, places: int = RANGE) -> DataFrame:
+    """The manifests' files in parts: bundle_id, chunk and text, as json.dumps with an indent of 2 writes what manifests() tells.
+
+    A part holds the entries of so many places in a bundle, so no row grows with
+    the bundle; what puts the parts together is the sink.
+    """
+    rows = manifest_entries(outcomes).withColumn("skipped", F.col("section") == "skipped")
+    lines = rows.select("bundle_id", "skipped", F.floor(F.col("pos") / places).alias("range"), F.struct("pos", _entry_lines("key", "entry", F.when(F.col("skipped"), 2).otherwise(1)).alias("text")).alias("x"))
+    parts = lines.groupBy("bundle_id", "skipped", "range").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",\n").alias("text"))
+    keys = ["bundle_id", "skipped", "range"]
+    order = Window.partitionBy("bundle_id").orderBy("skipped", "range")  # over the keys of parts, without their text
+    numbered = lines.select(*keys).distinct().select(*keys, (F.row_number().over(order) - 1).alias("chunk"), F.lag("skipped").over(order).alias("first"), F.lead("skipped").over(order).isNull().alias("last"))
+    first = F.col("first")
+    before = F.when(first.isNull(), F.lit("{\n")).otherwise(F.lit(",\n"))
+    opened = F.when(F.col("skipped") & (first.isNull() | ~first), F.lit('  "skipped": {\n')).otherwise(F.lit(""))
+    after = F.when(~F.col("last"), F.lit("")).when(F.col("skipped"), F.lit("\n  }\n}\n")).otherwise(F.lit("\n}\n"))
+    told = parts.join(numbered, keys).select("bundle_id", "chunk", F.concat(before, opened, "text", after).alias("text"))
+    none = bundles.select("bundle_id").distinct().join(told.select("bundle_id"), "bundle_id", "left_anti")
+    return told.unionByName(none.select("bundle_id", F.lit(0).alias("chunk"), F.lit("{}\n").alias("text")))

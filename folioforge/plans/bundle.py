@@ -49,8 +49,8 @@ def bundles(mains: DataFrame, sources: DataFrame, images: DataFrame, chunks: Dat
     content_type, fail_reason, one per address. chunks: the pieces (CHUNKS) of
     sources that were assembled() from them; files take their bytes from there, so
     that no body of an asset is ever whole in one row. Returns outcomes, link_map,
-    manifest, asset_outcomes, rendered (bundle_id, relative_path, markdown) and
-    files (bundle_id, relative_path, chunk, body). They read tables stored in the shared
+    manifest, manifest_files (bundle_id, chunk, text), asset_outcomes, rendered
+    (bundle_id, relative_path, markdown) and files (bundle_id, relative_path, chunk, body). They read tables stored in the shared
     folder, which release(tables) deletes once they have been written.
     """
     with collected() as steps:
@@ -95,6 +95,7 @@ def _bundles(mains: DataFrame, sources: DataFrame, images: DataFrame, chunks: Da
         "outcomes": told,
         "link_map": links_to,
         "manifest": outcomes.manifests(told, mains),
+        "manifest_files": outcomes.manifest_files(told, mains),
         "asset_outcomes": kept,
         "rendered": rendered.unionByName(text).unionByName(asset).unionByName(stubs),
         "files": files.unionByName(localized),

@@ -7,10 +7,8 @@ import os
 import shutil
 import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from folioforge.sources import files
 
@@ -28,7 +26,7 @@ def pretty_manifest(compact: str) -> str:
 def bundle_files(tables: dict[str, DataFrame]) -> DataFrame:
     """All files of all bundles: bundle_id, relative_path, chunk, body; long ones chunk by chunk."""
     text = tables["rendered"].select("bundle_id", "relative_path", F.lit(0).alias("chunk"), F.col("markdown").cast("binary").alias("body"))
-    manifest = tables["manifest"].select("bundle_id", F.lit("references/references.json").alias("relative_path"), F.lit(0).alias("chunk"), _pretty("json").alias("body"))
+    manifest = tables["manifest_files"].select("bundle_id", F.lit("references/references.json").alias("relative_path"), "chunk", F.col("text").cast("binary").alias("body"))
     return text.unionByName(manifest).unionByName(tables["files"].select("bundle_id", "relative_path", "chunk", "body"))
 
 
@@ -41,22 +39,17 @@ def write_files(tables: dict[str, DataFrame], root: str, mode: str = "append") -
     files.write_files(bundle_files(tables), root, mode)
 
 
-@F.pandas_udf(BinaryType())
-def _pretty(compact: pd.Series) -> pd.Series:
-    return compact.map(lambda x: pretty_manifest(x).encode())
-
-
 def write_bundle(tables: dict[str, DataFrame], bundle_id: int, out_dir: str) -> None:
     """One bundle's files in out_dir, which they replace when all are written, by the executors.
 
     tables: rendered (bundle_id, relative_path, markdown), files (bundle_id,
-    relative_path, chunk, body), manifest (bundle_id, json).
+    relative_path, chunk, body), manifest_files (bundle_id, chunk, text).
     """
     parent = os.path.dirname(os.path.abspath(out_dir))
     os.makedirs(parent, exist_ok=True)
     made = tempfile.mkdtemp(prefix=".bundle-", dir=parent)
     try:
-        write_files({name: tables[name].where(f"bundle_id = {int(bundle_id)}") for name in ("rendered", "files", "manifest")}, made)
+        write_files({name: tables[name].where(f"bundle_id = {int(bundle_id)}") for name in ("rendered", "files", "manifest_files")}, made)
         done = os.path.join(made, str(int(bundle_id)))
         for folder in ("assets", "references"):
             os.makedirs(os.path.join(done, folder), exist_ok=True)

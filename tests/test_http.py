@@ -68,3 +68,15 @@ def test_arguments(capsys):
     assert main(["--help"]) == 0 and "usage" in capsys.readouterr().out
     for wrong in ([], ["https://a.example.com/"], ["a", "b", "c"], ["--unknown", "a", "b"]):
         assert main(wrong) == 1
+
+
+@pytest.mark.parametrize(("given", "want"), [
+    ("http://1.2.3/", "http://1.2.0.3/"), ("http://1.2.3.4./x", "http://1.2.3.4/x"), ("http://0x7f.1/", "http://127.0.0.1/"), ("http://017700000001", "http://127.0.0.1/"), ("http://4294967295/", "http://255.255.255.255/"),
+    ("http://4294967296/", None), ("http://256.1.1.1/", None), ("http://1.2.3.4.5/", None), ("http://1.2.3.09/", None), ("http://a.1/", None), ("http://1.a.example/", "http://1.a.example/"), ("http://a.0xg/", "http://a.0xg/"),
+    ("http://0x/", "http://0.0.0.0/"), ("http://[::1]:80/", "http://[::1]/"), ("http://[0:0:1:0:0:0:0:1]/", "http://[0:0:1::1]/"), ("http://[::FFFF:1.2.3.4]/", "http://[::ffff:102:304]/"), ("http://[1:0:2:3:4:5:6:7]/", "http://[1:0:2:3:4:5:6:7]/"),
+    ("http://[0:0:0:0:0:0:0:0]/", "http://[::]/"), ("http://[1::%25eth0]/", None), ("http://[1:2]/", None),
+])
+def test_numeric_hosts(given, want):
+    from folioforge.functions.web import resolve
+
+    assert resolve(None, given) == want

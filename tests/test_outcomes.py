@@ -110,3 +110,43 @@ def test_sizes(spark):
 def test_small_icons_are_dropped(spark, body, why):
     frame = spark.createDataFrame([(bytearray(body), None)], "body binary, fail_reason string")
     assert frame.select(assets.verdict().alias("v")).first().v == why
+
+
+def outcome(bundle, pos, kind, **more):
+    row = {"bundle_id": bundle, "pos": pos, "link_url": f"https://a.example.com/{pos}", "link_label": None, "kind": kind, "title": f"T \u00e9 \"{pos}\" \n", "relative_path": f"references/r-{pos}.md", "asset_path": None}
+    row |= {c: f"https://a.example.com/{pos}" for c in ("requested_url", "fetched_url", "final_url")} | {"content_type": "text/html", "cls_kind": "html", "skipped_reason": None, "fail_reason": None}
+    if kind == "skipped":
+        row |= {"relative_path": None, "skipped_reason": "low_signal_marketing_reference", "link_label": "l\u00e4bel"}
+    return tuple((row | more).values())
+
+
+OUTCOMES = "bundle_id long, pos int, link_url string, link_label string, kind string, title string, relative_path string, asset_path string, requested_url string, fetched_url string, final_url string, content_type string, cls_kind string, skipped_reason string, fail_reason string"
+
+
+@pytest.mark.parametrize("places", [1, 3, 4096])
+def test_manifest_in_parts(spark, tmp_path, places):
+    """Parts put together by the sink are the bytes of the whole, for bundles of entries, of skipped ones, of both and of none."""
+    from folioforge.operators.outcomes import manifest_files, manifests
+    from folioforge.sources.files import write_files
+    from folioforge.sources.sinks import pretty_manifest
+
+    rows = [outcome(1, k, "readable") for k in range(7)] + [outcome(1, 7, "alias", relative_path="references/r-2.md"), outcome(1, 8, "skipped"), outcome(1, 9, "failed", fail_reason="HTTP 404")]
+    rows += [outcome(2, k, "skipped") for k in range(5)] + [outcome(3, 4, "asset", asset_path="references/assets/r-4.bin")]
+    told, bundles = spark.createDataFrame(rows, OUTCOMES), spark.createDataFrame([(k,) for k in range(1, 5)], "bundle_id long")
+    parts = manifest_files(told, bundles, places)
+    write_files(parts.select("bundle_id", F.lit("m.json").alias("relative_path"), "chunk", F.col("text").cast("binary").alias("body")), str(tmp_path))
+    want = {r.bundle_id: pretty_manifest(r.json) for r in manifests(told, bundles).collect()}
+    assert {b: (tmp_path / str(b) / "m.json").read_text() for b in want} == want and want[4] == "{}\n"
+
+
+def test_manifest_of_a_giant_bundle(spark):
+    """A hundred thousand references with long titles in one bundle: no row is longer than 16 MB."""
+    from folioforge.operators.outcomes import manifest_files
+
+    one = spark.createDataFrame([outcome(1, 0, "readable")], OUTCOMES)
+    many = one.drop("pos", "title", "relative_path", "kind").crossJoin(spark.range(100_000)).select(
+        *[c for c in one.columns if c not in ("pos", "title", "relative_path", "kind")], F.col("id").cast("int").alias("pos"), F.repeat(F.lit("t"), 1000).alias("title"),
+        F.concat(F.lit("references/"), "id", F.lit(".md")).alias("relative_path"), F.when(F.col("id") % 3 == 0, "skipped").otherwise("readable").alias("kind"),
+    )
+    got = manifest_files(many, one.select("bundle_id")).agg(F.max(F.octet_length("text")).alias("most"), F.sum(F.octet_length("text")).alias("all"), F.count("*").alias("n")).first()
+    assert got["most"] < 16 << 20 and got["all"] > 100 << 20 and got["n"] == 50
