@@ -43,16 +43,16 @@ def outcomes(images: DataFrame, fetched: DataFrame) -> DataFrame:
     known = once.join(fetched.select("image_url", "content_type", "fail_reason", verdict().alias("why"), F.lit(True).alias("_answered")), "image_url", "left")
     known = known.withColumn("why", F.when(F.col("_answered").isNull(), F.lit("failed")).otherwise(F.col("why"))).drop("_answered")
     kept = F.col("why").isNull()
-    number = F.sum(kept.cast("int")).over(Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    two = F.lpad(number.cast("string"), 2, "0")
-    padded = F.when(number < 100, two).otherwise(number.cast("string"))
     shown = F.when(F.coalesce(F.col("alt"), F.lit("")) == "", stem("image_url")).otherwise(F.col("alt"))
-    numbered = known.withColumn("_n", padded)
-    name = F.concat(F.col("_n"), F.lit("-"), truncate(slug_any(shown, F.concat(F.lit("image-"), F.col("_n"))), 80), file_extension("content_type", "image_url"))
-    path = F.concat(asset_dir("page_path"), F.lit("/"), name)
+    # all but the number is worked out before the window: behind it, and several times, it would be too much code for one stage
+    known = known.withColumns({"_slug": truncate(slug_any(shown, ""), 80), "_ext": file_extension("content_type", "image_url"), "_dir": asset_dir("page_path"), "_near": relative_path("page_path", asset_dir("page_path"))})
+    number = F.sum(kept.cast("int")).over(Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    padded = F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+    numbered = known.withColumn("_n", padded).withColumn("_name", F.concat("_n", F.lit("-"), F.when(F.col("_slug") == "", F.concat(F.lit("image-"), "_n")).otherwise(F.col("_slug")), "_ext"))
+    path, near = (F.concat(c, F.lit("/"), "_name") for c in ("_dir", "_near"))
     return numbered.select(
         *page, "pos", "image_url",
         F.when(kept, F.lit("localized")).when(F.col("why") == "failed", F.lit("failed")).otherwise(F.lit("dropped")).alias("kind"),
         F.when(F.col("why") != "failed", F.col("why")).alias("reason"), F.when(F.col("why") == "failed", F.coalesce("fail_reason", F.lit("No response"))).alias("fail_reason"),
-        F.when(kept, path).alias("file_path"), F.when(kept, relative_path("page_path", path)).alias("relative_path"),
+        F.when(kept, path).alias("file_path"), F.when(kept, near).alias("relative_path"),
     )
