@@ -538,3 +538,76 @@ def render_html(spark, sf_dir):
     return render.render_html(mains, links_to, shown, sections)
 
 
+
+
+_OWN_LINK = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%3A', ':')"
+
+
+@query(f"""
+WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) AS hs, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) AS ts FROM pages),
+e AS (SELECT page_id, url, hs[k] AS href, nullif({_tags('ts[k]')}, '') AS label, k - 1 AS pos FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS k FROM a)),
+l AS (SELECT page_id, pos, label, {_OWN_LINK} AS link_url FROM e)
+SELECT page_id, CAST(min(pos) AS INT) AS pos, link_url, arg_min(label, pos) FILTER (WHERE label IS NOT NULL) AS link_label, link_url AS doc_key FROM l GROUP BY page_id, link_url""")
+def page_links(spark, sf_dir):
+    """The links of whole pages, one for each document, with the first label that says something."""
+    return extract.links(pages(spark, sf_dir), ["page_id"])
+
+
+#: What each site puts into the pages' own HTML, and what its rule leaves of them.
+_BEFORE = ['<div class="subheader">a<div>b</div></div>', '<div class="mw-content-ltr mw-parser-output"><div class="reflist">x<div>y</div></div>', "", '<button type="button">b</button>']
+_AFTER = [
+    "<h3>References &amp; Citations</h3><p>cut</p>", '<div class="mw-heading mw-heading2"><h2 id="References">R</h2></div><p>cut</p></div> <noscript>n</noscript>', "",
+    "<p> or import from </p><h2>Ready to build something amazing?</h2><p>cut</p>",
+]
+_OPENS = [f"<article>{_BEFORE[0]}", f"<article>{_BEFORE[1]}", '<article class="markdown-body entry">', f"<article>{_BEFORE[3]}"]
+_WITHIN = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_HEAD = "regexp_extract(html, '(?s)^(.*?)<article>', 1)"
+_H2 = "regexp_replace({0}, '(?s)<h1>(.*?)</h1>', '<h2>\\1</h2>')"
+
+
+@query(
+    f"""SELECT page_id, md5(CASE page_id % 5 WHEN 0 THEN {_HEAD} || '<article>' || {_WITHIN} WHEN 1 THEN {_WITHIN} WHEN 2 THEN '<main><article><article class="markdown-body entry">' || {_WITHIN} || '</article></article></main>'
+    WHEN 3 THEN {_H2.format(f"{_HEAD} || '<article>' || {_WITHIN}")} || '</body></html>' ELSE html END) AS cleaned_md5 FROM pages WHERE {_WITHIN} <> ''"""
+)
+def site_pages(spark, sf_dir):
+    """The pages' own HTML as four sites would show it, cleaned by the rules of these; every fifth page has no rule."""
+    at = (F.col("page_id") % 5 + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, [*values, ""])), at)
+    p = pages(spark, sf_dir).where(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1) != "")
+    shown = F.concat(
+        F.regexp_extract("html", "(?s)^(.*?)<article>", 1), pick([*_OPENS, ""]), F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), pick(_AFTER), F.regexp_extract("html", "(?s)<article>.*?(</article>.*)$", 1)
+    )
+    url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, [*_SITES, "example.com"])), at), F.lit("/x"))
+    p = p.select("page_id", F.when(F.col("page_id") % 5 == 4, F.col("html")).otherwise(shown).alias("html"), url.alias("url"))
+    return p.select("page_id", F.md5(chrome.with_site_rules("html", "url")).alias("cleaned_md5"))
+
+
+_SAID = "html || " + " || ".join(f"CASE WHEN page_id % {n} = 0 THEN '<p>{p}</p>' ELSE '' END" for n, p in _PHRASES)
+_STRIPPED = "lower(regexp_replace(said, '<[^>]+>', ' ', 'g'))"
+_TESTS = {
+    "cta": f"regexp_matches({_STRIPPED}, '\\b({outcomes.SIGNALS['cta']})\\b')", "social-proof": f"regexp_matches({_STRIPPED}, '\\b({outcomes.SIGNALS['social-proof']})\\b')",
+    "pricing": f"regexp_matches({_STRIPPED}, '(?s)\\bpricing\\b|\\bfree\\b.{{0,80}}\\b(pro|enterprise)\\b')", "form": f"regexp_matches(said, '(?i)<form\\b') OR regexp_matches({_STRIPPED}, '\\bnewsletter\\b')",
+}
+
+
+@query(f"SELECT page_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {t} THEN {n!r} END' for n, t in _TESTS.items())}], lambda x: x IS NOT NULL), ',') AS signals, CAST(length(said) AS BIGINT) AS n_chars FROM (SELECT page_id, {_SAID} AS said FROM pages)")
+def page_signals(spark, sf_dir):
+    """Marketing phrases looked for in whole pages, some of which say them at their end."""
+    said = F.concat("html", *[F.when(F.col("page_id") % n == 0, F.lit(f"<p>{p}</p>")).otherwise(F.lit("")) for n, p in _PHRASES])
+    p = pages(spark, sf_dir).select("page_id", said.alias("said"))
+    return p.select("page_id", F.array_join(outcomes.marketing_signals("said", F.lit("")), ",").alias("signals"), F.length("said").cast("long").alias("n_chars"))
+
+
+@query(f"""
+SELECT page_id, CAST(k AS INT) AS pos, CASE k WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/img/figure-' || page_id % 7 || '.png' ELSE 'https://cdn.example.org/p/' || page_id || '.jpg' END AS image_url,
+CASE k WHEN 0 THEN 'Figure & ' || page_id % 7 ELSE '' END AS alt FROM pages, (VALUES (0), (2)) t(k) WHERE regexp_matches(html, '(?s)<article>.*?</article>')""")
+def page_images(spark, sf_dir):
+    """Pictures within the pages' own articles: a figure, a logo, one behind an image optimizer, a formula; furniture has one too."""
+    n = F.col("page_id").cast("string")
+    shown = F.concat(
+        F.lit('<p><img class="x" src="/img/figure-'), (F.col("page_id") % 7).cast("string"), F.lit('.png" alt="Figure &amp; '), (F.col("page_id") % 7).cast("string"), F.lit('"><img src="/a/site-logo.png"><img src="/_next/image?url=https%3A%2F%2Fcdn.example.org%2Fp%2F'), n,
+        F.lit('.jpg&amp;w=640"><img src="/math/f.png"></p></article><footer><img src="/footer.png"></footer>'),
+    )
+    p = pages(spark, sf_dir).where(F.col("html").rlike("(?s)<article>.*?</article>"))
+    p = p.select("page_id", "url", F.concat(F.regexp_extract("html", "(?s)^(.*?)</article>", 1), shown, F.regexp_extract("html", "(?s)^.*?</article>(.*)$", 1)).alias("html"))
+    return extract.images(extract.parse(p), ["page_id"], "article_html", "url")
