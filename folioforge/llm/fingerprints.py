@@ -70,7 +70,11 @@ def spelled(sketch_column: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, *, width: int = 5, fraction_bits: int = FRACTION_BITS) -> DataFrame:
-    """Columns of docs plus sketch; a column of that name is replaced. Rows are judged alone, repeated ones too."""
+    """Columns of docs plus sketch; a column of that name is replaced.
+
+    Null, empty and blank texts have an empty sketch; texts of any length count
+    whole. Rows are judged alone, repeated ones too; an empty table stays empty.
+    """
     return docs.withColumn("sketch", sketch(F.col("text").cast("string"), width=width, fraction_bits=fraction_bits))
 
 

@@ -437,6 +437,30 @@ def test_fingerprints(spark):
     assert fingerprints.neighbours(docs.where("false")).count() == 0 and fingerprints.neighbours(docs.where("doc_id = 50")).first().near_next == 1
 
 
+def plain_sketch(text, width=5, bits=3):
+    """The sketch by the xxhash library, shingle by shingle."""
+    xxhash = pytest.importorskip("xxhash")
+    words = [w for w in re.split("[\\x09-\\x0d ]+", (text or "").lower()) if w]
+
+    def of(shingle):
+        h = 42  # Spark's seed; each value is hashed with the hash so far as seed
+        for w in shingle:
+            h = xxhash.xxh64(xxhash.xxh64(w.encode(), seed=42).intdigest().to_bytes(8, "little"), seed=h).intdigest()
+        return h & (1 << 63) - 1
+
+    hashes = [of(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    below = sorted({h for h in hashes if h < 1 << 63 - bits})
+    return below or sorted(hashes)[:1]
+
+
+def test_fingerprint_by_another_hash(spark):
+    draw = random.Random(14)
+    texts = [None, "", " \n", "One", "one two three four", "Ün deux\ttrois  quatre cinq six", "🙂 " * 40] + [" ".join(draw.choice(["Ab", "cd", "é", "x1", "日本"]) for _ in range(n)) for n in (5, 6, 30, 300)] + [" ".join(map(str, range(60_000)))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: r.sketch for r in fingerprints.fingerprint(frame).collect()}
+    assert got == {k: plain_sketch(t) for k, t in enumerate(texts)}
+
+
 def test_fingerprint_order_and_merge(spark):
     from pyspark.sql import functions as F
 
