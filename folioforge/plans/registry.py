@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import classify as C
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
-from folioforge.operators import assets, chrome, extract, outcomes, render
+from folioforge.operators import assets, balance, chrome, extract, outcomes, render
 from folioforge.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,3 +611,9 @@ def page_images(spark, sf_dir):
     p = pages(spark, sf_dir).where(F.col("html").rlike("(?s)<article>.*?</article>"))
     p = p.select("page_id", "url", F.concat(F.regexp_extract("html", "(?s)^(.*?)</article>", 1), shown, F.regexp_extract("html", "(?s)^.*?</article>(.*)$", 1)).alias("html"))
     return extract.images(extract.parse(p), ["page_id"], "article_html", "url")
+
+
+@query(ORACLES["strip_chrome"])
+def strip_chrome_rows(spark, sf_dir):
+    """As strip_chrome, by tags as rows."""
+    return balance.without_by_table(pages(spark, sf_dir), ["page_id"]).select("page_id", F.md5("html").alias("html_md5"))

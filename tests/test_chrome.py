@@ -84,3 +84,22 @@ def test_own_rule(monkeypatch):
     chrome.register_site_rule(chrome.SiteRule("own", r"^own\.example$", (chrome.Stop(("<hr>",)), str.upper)))
     chrome.register_site_rule(chrome.SiteRule("own", r"^own\.example$", (chrome.Stop(("<br>",)), lambda h: re.sub("a", "b", h))))
     assert site("aa<br>c<hr>", "own.example") == "bb"
+
+
+def test_removal_by_table(spark):
+    """Tags as rows give what reading one page gives, on nested, unclosed and crossing markup, roles of every form, and a very long page."""
+    import random
+
+    from folioforge.operators.balance import without_by_table
+
+    draw = random.Random(12)
+    tags = ["<nav>", "</nav>", "<NAV x>", "</nav >", "<header>", "</header>", "<header\n a='>'>", '<div role="Search x">', "<div role=banner>", "<div role='main'>", "<div>", "</div>", "<section data-role=\"a\" role='complementary'>", "<section>", "</section>", "<aside>", "</aside>", "<nav <header>", "<navy>", "é🙂", "t ", "<"]
+    htmls = ["", None, "plain", "<nav>" * 1001 + "</nav>" * 1001 + "b", "<nav>a</nav>" * 1003 + "<aside>b</aside>c", ("<div role=search>x<nav>y</nav></div>é" * 20_000)]
+    htmls += ["".join(draw.choice(tags) for _ in range(draw.randrange(30))) for _ in range(600)]
+    htmls += ["".join(f"<{t}>" + draw.choice(["", "x", "<nav>n</nav>"]) + f"</{t}>" for t in draw.choices(["nav", "header", "footer", "aside"], k=6)) for _ in range(50)]
+    frame = spark.createDataFrame(list(enumerate(htmls)), "k int, html string")
+    got = {r.k: r.html for r in without_by_table(frame, ["k"]).collect()}
+    assert got == {k: None if h is None else without(h, chrome.FURNITURE) for k, h in enumerate(htmls)}
+    byclass = (Element("div", "class", r"(^|\s)ad(\s|$)"),)
+    frame = spark.createDataFrame([(1, "a<div class='x AD'>b<div>c</div></div>d<div class=ads>e</div>")], "k int, html string")
+    assert without_by_table(frame, ["k"], elements=byclass).first().html == "ad<div class=ads>e</div>"
