@@ -13,8 +13,9 @@ from folioforge.llm.common import arrow_map, components, stash, table, unstash
 
 #: Sign bits of a vector in each pass, least passes, passes sorted at a time (each deals out all vectors once).
 BITS, PASSES, TOGETHER = 48, 16, 4
-#: Neighbours compared on each side, rows of a run of the order that one task compares, rows of a block of a component.
-WINDOW, RUN, BLOCK = 64, 4096, 128
+#: Neighbours compared on each side, rows of a run of the order that one task compares, rows of a block of a component
+#: (each vector goes to as many tasks as its component has blocks, so these are large), and rows of a tile of a block.
+WINDOW, RUN, BLOCK, TILE = 64, 4096, 1024, 256
 SEED = 20
 #: Chance that all passes miss a pair of the least cosine that stands alone.
 MISS = 0.001
@@ -111,13 +112,16 @@ def _count_links(least: float):
         other = ~one if (~one).any() else one
         links = np.zeros(len(node), dtype=np.int64)
         if int(rows["i"][0].as_py()) == int(rows["j"][0].as_py()) or (~one).any():
-            near = x[one] @ x[other].T >= least
-            if other is one:
-                np.fill_diagonal(near, False)
-                links[one] += near @ copies[one]
-            else:
-                links[one] += near @ copies[other]
-                links[other] += near.T @ copies[one]
+            here, there = np.flatnonzero(one), np.flatnonzero(other)
+            for at in range(0, len(here), TILE):
+                part = here[at : at + TILE]
+                near = x[part] @ x[there].T >= least
+                if other is one:
+                    near[np.arange(len(part)), np.arange(at, at + len(part))] = False
+                    links[part] += near @ copies[there]
+                else:
+                    links[part] += near @ copies[there]
+                    links[there] += near.T @ copies[part]
         return pa.table({"node": pa.array(node), "links": pa.array(links)})
 
     return run
