@@ -17,8 +17,9 @@ from folioforge.llm.fmindex import FMIndex
 WIDTH = 10
 #: Words of one shard, and bytes of text after which the rows so far are indexed.
 SHARD_WORDS, SHARD_BYTES = 1 << 20, 6 << 20
-#: Words of test items in one block: what is sent to all tasks holds no more (some 30 MB); more items take more passes.
-BLOCK_WORDS = 2_000_000
+#: Words of test items in one block, about; a window starts at each, so what is sent to all tasks is some 25 MB at most.
+#: More items take more passes.
+BLOCK_WORDS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -109,7 +110,7 @@ def _block(rows: list, width: int) -> Block:
     owner = np.array([place[r.item_id] for r in rows], dtype=np.int64)[piece] if len(rows) else np.zeros(0, dtype=np.int64)
     pairs = np.unique(which.reshape(-1) * max(1, len(items)) + owner)
     of, item = np.divmod(pairs, max(1, len(items)))
-    return Block(coded.dictionary, windows, (windows > 0).sum(axis=1), np.searchsorted(of, np.arange(len(windows) + 1)), item, items)
+    return Block(coded.dictionary, windows.astype(np.int32), (windows > 0).sum(axis=1), np.searchsorted(of, np.arange(len(windows) + 1)), item, items)
 
 
 def blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WORDS) -> Iterator[Block]:
