@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug_any
@@ -11,6 +11,13 @@ from folioforge.storage import forget, stored
 _BASE = ["bundle_id", "base"]
 
 
+def source_name(pos) -> Column:
+    """The name under which the response to a bundle's link is kept, by its place, counted from 1, skipped links included."""
+    place = (F.col(pos) if isinstance(pos, str) else pos) + 1
+    digits = place.cast("string")
+    return F.concat(F.lit("reference-"), F.when(place < 1000, F.lpad(digits, 3, "0")).otherwise(digits), F.lit(".source"))
+
+
 def contests(named: DataFrame) -> DataFrame:
     """Names that two bases may claim: bundle_id, base, k, child, before.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import slug_any
 from folioforge.operators import assets, extract, outcomes, render
 from folioforge.operators.joins import join_popular
+from folioforge.operators.names import source_name
 from folioforge.sources.captures import classified, pieces
 from folioforge.storage import collected, forget, stored
 
@@ -25,11 +26,12 @@ def main_pages(mains: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def main_links(pages: DataFrame) -> DataFrame:
-    """Direct references of main pages: bundle_id, pos, main_url, link_url, link_label; pos counts documents from 0."""
+    """Direct references of main pages: bundle_id, pos, main_url, link_url, link_label, source_name; pos counts documents from 0."""
     html = pages.where("cls.kind = 'html'")
     found = extract.links(html, ["bundle_id", "final_url"], "article_html", "final_url")
     place = F.row_number().over(Window.partitionBy("bundle_id").orderBy("pos")) - 1
-    return found.select("bundle_id", place.alias("pos"), F.col("final_url").alias("main_url"), "link_url", "link_label")
+    placed = found.select("bundle_id", place.alias("pos"), F.col("final_url").alias("main_url"), "link_url", "link_label")
+    return placed.withColumn("source_name", source_name("pos"))
 
 
 class Tables(dict[str, DataFrame]):

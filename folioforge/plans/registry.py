@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import classify as C
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
-from folioforge.operators import assets, balance, chrome, extract, outcomes, render
+from folioforge.operators import assets, balance, chrome, extract, names, outcomes, render
 from folioforge.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -543,10 +543,14 @@ def render_html(spark, sf_dir):
 _OWN_LINK = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%3A', ':')"
 
 
-@query(f"""
+#: Each anchor of a page as pos, label and link_url.
+_ANCHORS = f"""
 WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) AS hs, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) AS ts FROM pages),
 e AS (SELECT page_id, url, hs[k] AS href, nullif({_tags('ts[k]')}, '') AS label, k - 1 AS pos FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS k FROM a)),
-l AS (SELECT page_id, pos, label, {_OWN_LINK} AS link_url FROM e)
+l AS (SELECT page_id, pos, label, {_OWN_LINK} AS link_url FROM e)"""
+
+
+@query(f"""{_ANCHORS}
 SELECT page_id, CAST(min(pos) AS INT) AS pos, link_url, arg_min(label, pos) FILTER (WHERE label IS NOT NULL) AS link_label, link_url AS doc_key FROM l GROUP BY page_id, link_url""")
 def page_links(spark, sf_dir):
     """The links of whole pages, one for each document, with the first label that says something."""
@@ -617,3 +621,11 @@ def page_images(spark, sf_dir):
 def strip_chrome_rows(spark, sf_dir):
     """As strip_chrome, by tags as rows."""
     return balance.without_by_table(pages(spark, sf_dir), ["page_id"]).select("page_id", F.md5("html").alias("html_md5"))
+
+
+@query(f"""{_ANCHORS}
+SELECT page_id, link_url, 'reference-' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) AS VARCHAR), 3, '0') || '.source' AS source_name FROM l GROUP BY page_id, link_url""")
+def source_names(spark, sf_dir):
+    """Under what names the responses to the links of whole pages are kept."""
+    found = extract.links(pages(spark, sf_dir), ["page_id"])
+    return found.select("page_id", "link_url", names.source_name(F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1).alias("source_name"))

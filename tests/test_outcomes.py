@@ -150,3 +150,9 @@ def test_manifest_of_a_giant_bundle(spark):
     )
     got = manifest_files(many, one.select("bundle_id")).agg(F.max(F.octet_length("text")).alias("most"), F.sum(F.octet_length("text")).alias("all"), F.count("*").alias("n")).first()
     assert got["most"] < 16 << 20 and got["all"] > 100 << 20 and got["n"] == 50
+
+
+def test_source_names(spark):
+    from folioforge.operators.names import source_name
+
+    assert [r.s for r in spark.createDataFrame([(0,), (98,), (998,), (999,), (12_344,)], "pos int").select(source_name("pos").alias("s")).collect()] == [f"reference-{n}.source" for n in ("001", "099", "999", "1000", "12345")]
