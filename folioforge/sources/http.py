@@ -35,8 +35,6 @@ IMAGE_LIMIT, META_LIMIT = 30 << 20, 1 << 20
 
 #: Bytes of one chunk of a body.
 CHUNK = 1 << 20
-#: Partitions that hosts are dealt to, if nothing else is said.
-HOSTS = 200
 
 _TOLD = {"final_url": None, "status": None, "content_type": "", "fetch_method": "fetch", "fail_reason": None}
 
@@ -191,6 +189,11 @@ def _ask_all(rows: Iterable[tuple[str, str, str | None, str]], images: bool, del
             asked[host] = time.monotonic()
 
 
+def _partitions(frame: DataFrame) -> int:
+    """Partitions that hosts are dealt to, if nothing else is said."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def addresses(urls: DataFrame, url: str = "url", *, images: bool = False) -> DataFrame:
     """The different addresses of a column: requested_url, fetched_url, refused (why, else null), host, and turn, an address's place among those of its host."""
     asked = urls.select(F.col(url).alias("requested_url")).where("requested_url is not null").distinct()
@@ -209,7 +212,7 @@ def fetch_chunks(urls: DataFrame, url: str = "url", *, images: bool = False, del
     30 MiB unless told otherwise).
     """
     limit = limit if limit is not None or not images else IMAGE_LIMIT
-    by_host = addresses(urls, url, images=images).repartition(hosts or HOSTS, "host").sortWithinPartitions("turn", "host")
+    by_host = addresses(urls, url, images=images).repartition(hosts or _partitions(urls), "host").sortWithinPartitions("turn", "host")
 
     # a task has one clock for each host: its batches come to one call of run
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ FORMAT = "folioforge_http"
 
 def save_addresses(urls: DataFrame, path: str, url: str = "url", *, images: bool = False, hosts: int | None = None) -> None:
     """The different addresses of a column as a folder that the source reads: each host in one folder hosts=N, its addresses in turn."""
-    hosts = hosts or HOSTS
+    hosts = hosts or _partitions(urls)
     dealt = addresses(urls, url, images=images).withColumn("hosts", F.pmod(F.xxhash64("host"), F.lit(hosts)))
     dealt.repartition(hosts, "hosts").sortWithinPartitions("hosts", "turn", "host").write.mode("overwrite").partitionBy("hosts").parquet(path)
 
