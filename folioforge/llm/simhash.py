@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -149,6 +150,8 @@ WIDE, KEYS = 3, 10
 SHORT, FAR, FAR_SHORT = 64, 54, 63
 #: Rows of a key compared in one place; shingles of such rows, where whole sets are compared.
 BLOCK, SHINGLES = 2048, 500_000
+#: Chance that two similar documents share none of their new keys; share of crowded shingles from which these are the whole prefix.
+LOST, OFTEN = 1e-14, 0.1
 #: Documents up to which the wanted ones are broadcast to pick their sets (8 bytes each); more are joined.
 FEW = 1_000_000
 #: Crowded shingles up to which they are sent to all tasks (8 bytes each); more are joined.
@@ -209,28 +212,77 @@ def _shingled(width: int, similarity: float):
     return run
 
 
-def _rekeyed(crowded: np.ndarray, similarity: float):
-    """Shingle sets in, the whole prefix of each out, in an order that puts crowded shingles last."""
+@cache
+def _enough(n: int, rare: int, similarity: float) -> int:
+    """So many first shingles, crowded ones last, of n, of which ``rare`` are not crowded: a similar set has one of them.
+
+    A similar set lacks few of the n. That it lacks all the first m rare ones,
+    which XXH64 has put into any order, has a chance below LOST at the m
+    returned, and none at that of the whole prefix. Documents with many crowded
+    shingles get their whole prefix.
+    """
+    whole = _prefix(n, similarity)
+    if rare < (1 - OFTEN) * n:
+        return whole
+    chance = 1.0
+    for m in range(whole):
+        if chance <= LOST:
+            return m
+        chance *= (whole - 1 - m) / (rare - m) if m < rare else 1.0
+    return whole
+
+
+def _rekeyed(crowded: np.ndarray, similarity: float, depth: int):
+    """Shingle sets in, enough keys of each out, in an order that puts crowded shingles last; with a depth, so many times as many that are not crowded.
+
+    Shingles are crowded if they are among ``crowded`` or those that stand in the row itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("shingles")
+            lists, lates = batch.column("shingles"), batch.column("late")
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            ends, keys = ends - ends[0], []
-            for lo, hi in zip(ends, ends[1:]):
-                last = np.isin(flat[lo:hi], crowded)
-                keys.append(np.concatenate([flat[lo:hi][~last], flat[lo:hi][last]])[: _prefix(hi - lo, similarity)].view(np.uint64))
+            late, stops = lates.flatten().to_numpy(zero_copy_only=False), lates.offsets.to_numpy()
+            often = np.isin(flat, crowded)
+            ends, stops, keys = ends - ends[0], stops - stops[0], []
+            for lo, hi, at, to in zip(ends, ends[1:], stops, stops[1:]):
+                last = often[lo:hi] | np.isin(flat[lo:hi], late[at:to])
+                rare = flat[lo:hi][~last]
+                enough = _enough(int(hi - lo), len(rare), similarity)
+                keys.append((rare[: enough * depth] if depth else np.concatenate([rare, flat[lo:hi][last]])[:enough]).view(np.uint64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["node", "n", *FS]), _lists(keys)], names=["node", "n", *FS, "keys"])
 
     return run
 
 
-def _rekeyed_by_join(hot: DataFrame, late: DataFrame, similarity: float) -> DataFrame:
-    """As _rekeyed, where the crowded shingles are too many to send to all tasks: late has a row for each that a node holds."""
-    late = late.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("late"))
-    last = F.coalesce("late", F.array().cast("array<long>"))
-    prefix = F.when(F.col("n") > 0, F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1).otherwise(0).cast("int")
-    return hot.join(late, "node", "left").select("node", "n", *FS, F.slice(F.concat(F.array_except("shingles", last), last), F.lit(1), prefix).alias("keys"))
+def _anew(hot: DataFrame, crowded: DataFrame, similarity: float, depth: int = 0) -> DataFrame:
+    """A row for each key (see _rekeyed) of hot documents with their sets: node, n, sign bits, key."""
+    own, none = ["node", "n", *FS], F.array().cast("array<long>")
+    if crowded.count() <= CROWDED:
+        names, hot = np.array([r.key for r in crowded.collect()], dtype=np.int64), hot.withColumn("late", none)
+    else:  # too many to send to all tasks
+        late = hot.select("node", F.explode("shingles").alias("key")).join(crowded, "key").groupBy("node").agg(F.collect_list("key").alias("late"))
+        names, hot = np.zeros(0, dtype=np.int64), hot.join(late, "node", "left").withColumn("late", F.coalesce("late", none))
+    schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
+    return arrow_map(hot.select(*own, "shingles", "late"), _rekeyed(names, similarity, depth), schema).select(*own, F.explode("keys").alias("key"))
+
+
+def _crowded(hot: DataFrame, known: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Shingles that more than ``block`` hot documents would have as keys: those known, and what comes up in their places.
+
+    Only the shingles that would be keys are counted, not whole sets.
+    Documents with a crowded one among them are looked at again, twice as deep.
+    """
+    left, depth = hot, 1
+    while True:
+        looked = stash(_anew(left, known, similarity, depth).select("node", "key"))
+        found = stash(looked.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block).select("key"))
+        if found.isEmpty():
+            unstash(looked, found, *([] if left is hot else [left]))
+            return known
+        more, again = stash(known.unionByName(found)), stash(left.join(looked.join(found, "key").select("node").distinct(), "node", "left_semi"))
+        unstash(looked, found, known, *([] if left is hot else [left]))
+        known, left, depth = more, again, 2 * depth
 
 
 FS = [f"f{k}" for k in range(WIDE)]
@@ -419,8 +471,9 @@ def _keyed(distinct: DataFrame, sets: DataFrame, similarity: float, block: int)
     The keys are a document's least shingles. The least shingle that two
     similar ones share is among the first KEYS of both unless KEYS of only one
     come before, 0.2 ** KEYS at 0.8. Documents with a crowded key, one that
-    more than ``block`` have, get new ones: the whole prefix, in an order with
-    all shingles last that more than ``block`` of them hold.
+    more than ``block`` have, get new ones besides, in an order that puts
+    crowded shingles last: as many as leave a pair a chance of LOST to share
+    none (some 20, however long the document), or the whole prefix.
     """
     own = ["node", "n", *FS]
     keyed = distinct.select(*own, F.explode("keys").alias("key"))
@@ -432,17 +485,9 @@ def _keyed(distinct: DataFrame, sets: DataFrame, similarity: float, block: int)
     wanted = _sets_of(shared.where(F.col("size") > block).select("node"), sets)
     hot = stash(_with_sets(distinct.select(*own), wanted))
     unstash(wanted)
-    held = hot.select("node", F.explode("shingles").alias("key"))
-    crowded = stash(held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block).select("key"))
-    if crowded.count() <= CROWDED:
-        names = np.array([r.key for r in crowded.collect()], dtype=np.int64)
-        schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
-        anew = arrow_map(hot, _rekeyed(names, similarity), schema)
-    else:
-        anew = _rekeyed_by_join(hot, held.join(crowded, "key"), similarity)
-    anew = stash(anew.select(*own, F.explode("keys").alias("key")))
-    unstash(crowded)
-    unstash(hot)
+    crowded = _crowded(hot, sizes.where(F.col("size") > block).select("key"), similarity, block)
+    anew = stash(_anew(hot, crowded, similarity))
+    unstash(crowded, hot)
     anew = anew.join(stash(anew.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")), "key")
     return stash(out.unionByName(anew.select(F.lit(1).alias("anew"), "key", *own, "size")))
 

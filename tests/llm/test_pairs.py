@@ -109,6 +109,30 @@ def test_similar(spark, monkeypatch, block, crowded):
     assert got == joined(pairs, range(len(rows)))
 
 
+def test_similar_new_keys(spark, monkeypatch):
+    """Long documents that all share a line get few new keys, and their sets are not taken apart."""
+    draw = random.Random(8)
+    line = next(t for t in iter(lambda: words(draw, 12), None) if simhash.shingle_set(t.encode(), 5)[0] < 2**64 // 2000)  # one of its shingles is a key of each
+    rows = []
+    for _ in range(20):
+        text = words(draw, 1500).split()
+        rows.append(f"{line} {' '.join(text)}")
+        text[draw.randrange(1500)] = "changed"
+        rows.append(f"{line} {' '.join(text)}")
+    seen, real = [], simhash.stash
+
+    def stash(df):
+        out = real(df)
+        seen.append((out.columns, out.count(), df._jdf.queryExecution().analyzed().toString()))
+        return out
+
+    monkeypatch.setattr(simhash, "stash", stash)
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(rows))), block=8).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+    assert any("anew" in columns for columns, _, _ in seen) and not any("explode(shingles" in plan for _, _, plan in seen)
+    assert max(n for columns, n, _ in seen if "key" in columns) <= 100 * len(rows)  # whole prefixes: 300
+
+
 def removed(texts, width):
     split = [(t or "").split(" ") if t else [] for t in texts]
     split = [[w for w in s if w] for s in split]
