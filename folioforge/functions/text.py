@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioforge.functions import web
+from folioforge.functions.arrow import python_udf
 
 #: White space of HTML authors' scripts: more than Java's \s.
 SPACE = r"[\s\x0B\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -33,12 +34,12 @@ def trim_start(x) -> Column:
     return F.regexp_replace(col(x), rf"\A{SPACE}+", "")
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def _decode_all(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else web.decode_entities(t) for t in text], dtype=object)
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def _unmarked(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else web.unmarked(t) for t in text], dtype=object)
 

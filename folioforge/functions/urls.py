@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioforge.functions import web
+from folioforge.functions.arrow import python_udf
 from folioforge.functions.text import col, let, slug
 
 # Hosts, paths and extensions that the reference policy names.
@@ -21,18 +22,18 @@ SOURCE_EXTENSIONS = "md markdown txt json xml csv yaml yml js mjs cjs css ts tsx
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?"
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link's absolute address, or null for links that lead to no document."""
     return pd.Series([web.normalize(b, h) for b, h in zip(base, href)], dtype=object)
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def resolve_asset(base: pd.Series, src: pd.Series) -> pd.Series:
     return pd.Series([web.asset_address(b, s) for b, s in zip(base, src)], dtype=object)
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def canonical(url: pd.Series) -> pd.Series:
     """The browsers' form of an absolute URL; null if it is none."""
     return pd.Series([None if u is None else web.resolve(None, u) for u in url], dtype=object)

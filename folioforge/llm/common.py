@@ -12,18 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.session import ensure_importable
-
-#: Rows in one Arrow batch sent to Python, and bytes after which it ends earlier: whole texts can be long, so few.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+from folioforge.session import ensure_importable, small_batches
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Called by each operator before it plans: small Arrow batches, importable workers."""
     ensure_importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(spark)
     return spark
 
 

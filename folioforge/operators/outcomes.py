@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from folioforge.operators.joins import join_popular
 from folioforge.operators.names import allocate_names
 from folioforge.storage import collected, forget, stored
+from folioforge.functions.arrow import python_udf
 from folioforge.functions.urls import document_key, is_homepage, is_known_landing, is_source_like, same_site, skip_before_fetch, title_from_url
 
 SKIPPED = "low_signal_marketing_reference"
@@ -198,7 +199,7 @@ def manifests(outcomes: DataFrame, bundles: DataFrame) -> DataFrame:
 RANGE = 4096
 
 
-@F.pandas_udf(StringType())
+@python_udf(StringType())
 def _entry_lines(key: pd.Series, entry: pd.Series, depth: pd.Series) -> pd.Series:
     """An entry as it stands in the file, by the indentation of its section."""
 

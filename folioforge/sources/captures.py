@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from folioforge.functions.arrow import python_udf
 from folioforge.functions.classify import classify
 from folioforge.functions.text import markdown_title
 from folioforge.functions.urls import canonical, document_key, upgraded
@@ -46,7 +47,7 @@ def assembled(chunks: DataFrame, every: bool = False) -> DataFrame:
     return done.select(*[c.split()[0] for c in SOURCES.split(", ")], "head")
 
 
-@F.pandas_udf(BinaryType())
+@python_udf(BinaryType())
 def put_together(parts: pd.Series) -> pd.Series:
     return parts.map(lambda own: b"".join(own))
 

@@ -2,10 +2,17 @@
 
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from folioforge.functions.arrow import python_udf
+from folioforge.functions.text import decode_html
+from folioforge.functions.urls import resolve_asset
 from folioforge.operators import chrome
 from folioforge.operators.chrome import Element, strip_furniture, without
+from folioforge.session import BATCH_ROWS
 
 
 @pytest.mark.parametrize(
@@ -103,3 +110,24 @@ def test_removal_by_table(spark):
     byclass = (Element("div", "class", r"(^|\s)ad(\s|$)"),)
     frame = spark.createDataFrame([(1, "a<div class='x AD'>b<div>c</div></div>d<div class=ads>e</div>")], "k int, html string")
     assert without_by_table(frame, ["k"], elements=byclass).first().html == "ad<div class=ads>e</div>"
+
+
+def test_small_batches(spark):
+    """What runs in Python over pages gets few of them at once, however many there are."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("<p>x</p>"), F.col("id").cast("string")).alias("html"), F.lit("https://example.org/").alias("url"))
+    steps = [
+        lambda: chrome.with_cleaned(pages, "html", "url", "c"), lambda: pages.select(chrome.without_furniture("html")), lambda: pages.select(chrome.with_site_rules("html", "url")),
+        lambda: pages.select(resolve_asset("url", "html")), lambda: pages.select(decode_html("html")),
+    ]
+    for step in steps:
+        spark.conf.set(limit, "10000")
+        assert step().count() == 3000
+        assert int(spark.conf.get(limit)) == BATCH_ROWS
+
+    @python_udf(IntegerType())
+    def rows(html: pd.Series) -> pd.Series:
+        return pd.Series([len(html)] * len(html))
+
+    spark.conf.set(limit, "10000")
+    assert pages.select(rows("html").alias("n")).agg(F.max("n")).first()[0] == BATCH_ROWS
