@@ -1,8 +1,11 @@
 """HTML to Markdown on fixed pages: what the usual converter, its table and strike-through rules and the two own rules make of them."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioforge.operators import render
 from folioforge.operators.markdown import convert
+from folioforge.session import BATCH_ROWS
 
 CASES = {
     "headings": ("<h1>A</h1><h3>B <em>c</em></h3><p>d</p>", "# A\n\n### B _c_\n\nd"),
@@ -44,3 +47,14 @@ CASES = {
 def test_convert(name):
     html, want = CASES[name]
     assert convert(html) == want
+
+
+def test_small_batches(spark):
+    """Rendering gets few pages at once, however many there are."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    none = F.array().cast("array<struct<key:string,path:string>>")
+    pages = spark.range(0, 3000, 1, 1).select(F.lit("<p>x</p>").alias("html"), F.lit("https://example.org/").alias("url"), none.alias("t"), none.alias("k"))
+    for step in (lambda: render.localize("html", "url", "t", "k"), lambda: render.to_markdown("html")):
+        spark.conf.set(limit, "10000")
+        assert pages.select(step().alias("x")).distinct().count() == 1
+        assert int(spark.conf.get(limit)) == BATCH_ROWS
