@@ -232,57 +232,105 @@ def _enough(n: int, rare: int, similarity: float) -> int:
     return whole
 
 
-def _rekeyed(crowded: np.ndarray, similarity: float, depth: int):
-    """Shingle sets in, enough keys of each out, in an order that puts crowded shingles last; with a depth, so many times as many that are not crowded.
+def _rare(batch: pa.RecordBatch, crowded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row's shingles, and which are not crowded: neither among ``crowded`` nor in the row's own list."""
+    lists, lates = batch.column("shingles"), batch.column("late")
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    late, stops = lates.flatten().to_numpy(zero_copy_only=False), lates.offsets.to_numpy()
+    often = np.isin(flat, crowded)
+    ends, stops = ends - ends[0], stops - stops[0]
+    for lo, hi, at, to in zip(ends, ends[1:], stops, stops[1:]):
+        yield flat[lo:hi], ~(often[lo:hi] | np.isin(flat[lo:hi], late[at:to]))
 
-    Shingles are crowded if they are among ``crowded`` or those that stand in the row itself.
-    """
+
+def _rekeyed(crowded: np.ndarray, similarity: float):
+    """Shingle sets in, enough keys of each out, in an order that puts crowded shingles last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, lates = batch.column("shingles"), batch.column("late")
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            late, stops = lates.flatten().to_numpy(zero_copy_only=False), lates.offsets.to_numpy()
-            often = np.isin(flat, crowded)
-            ends, stops, keys = ends - ends[0], stops - stops[0], []
-            for lo, hi, at, to in zip(ends, ends[1:], stops, stops[1:]):
-                last = often[lo:hi] | np.isin(flat[lo:hi], late[at:to])
-                rare = flat[lo:hi][~last]
-                enough = _enough(int(hi - lo), len(rare), similarity)
-                keys.append((rare[: enough * depth] if depth else np.concatenate([rare, flat[lo:hi][last]])[:enough]).view(np.uint64))
+            keys = []
+            for own, rare in _rare(batch, crowded):
+                enough = _enough(len(own), int(rare.sum()), similarity)
+                keys.append(np.concatenate([own[rare], own[~rare]])[:enough].view(np.uint64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["node", "n", *FS]), _lists(keys)], names=["node", "n", *FS, "keys"])
 
     return run
 
 
-def _anew(hot: DataFrame, crowded: DataFrame, similarity: float, depth: int = 0) -> DataFrame:
-    """A row for each key (see _rekeyed) of hot documents with their sets: node, n, sign bits, key."""
-    own, none = ["node", "n", *FS], F.array().cast("array<long>")
+def _looked(crowded: np.ndarray, similarity: float, depth: int):
+    """Shingle sets in, out with them ``depth`` times enough shingles that are not crowded, but those before the place ``at``, and the new place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = [], []
+            for (own, rare), at in zip(_rare(batch, crowded), batch.column("at").to_pylist()):
+                where = np.flatnonzero(rare)
+                deep = _enough(len(own), len(where), similarity) * depth
+                to = max(at, int(where[deep]) if deep < len(where) else len(own))
+                keys.append(own[where[(where >= at) & (where < to)]].view(np.uint64))
+                places.append(to)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("shingles"), pa.array(places, pa.int32()), _lists(keys)], names=["node", "shingles", "at", "keys"])
+
+    return run
+
+
+def _deeper(found: np.ndarray):
+    """Rows in; out those with a found shingle before the place ``at`` and others behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [at < len(own) and not rare[:at].all() for (own, rare), at in zip(_rare(batch, found), batch.column("at").to_pylist())]
+            yield batch.select(["node", "shingles", "at"]).filter(pa.array(more, pa.bool_()))
+
+    return run
+
+
+def _beside(hot: DataFrame, crowded: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Crowded shingles for all tasks, or if these are too many, each document's own in its column ``late``."""
+    none = F.array().cast("array<long>")
     if crowded.count() <= CROWDED:
-        names, hot = np.array([r.key for r in crowded.collect()], dtype=np.int64), hot.withColumn("late", none)
-    else:  # too many to send to all tasks
-        late = hot.select("node", F.explode("shingles").alias("key")).join(crowded, "key").groupBy("node").agg(F.collect_list("key").alias("late"))
-        names, hot = np.zeros(0, dtype=np.int64), hot.join(late, "node", "left").withColumn("late", F.coalesce("late", none))
+        return np.array([r.key for r in crowded.collect()], dtype=np.int64), hot.withColumn("late", none)
+    late = hot.select("node", F.explode("shingles").alias("key")).join(crowded, "key").groupBy("node").agg(F.collect_list("key").alias("late"))
+    return np.zeros(0, dtype=np.int64), hot.join(late, "node", "left").withColumn("late", F.coalesce("late", none))
+
+
+def _anew(hot: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
+    """A row for each key (see _rekeyed) of hot documents with their sets: node, n, sign bits, key."""
+    own = ["node", "n", *FS]
+    names, hot = _beside(hot, crowded)
     schema = "node long, n int, " + ", ".join(f"{f} long" for f in FS) + ", keys array<long>"
-    return arrow_map(hot.select(*own, "shingles", "late"), _rekeyed(names, similarity, depth), schema).select(*own, F.explode("keys").alias("key"))
+    return arrow_map(hot.select(*own, "shingles", "late"), _rekeyed(names, similarity), schema).select(*own, F.explode("keys").alias("key"))
 
 
 def _crowded(hot: DataFrame, known: DataFrame, similarity: float, block: int) -> DataFrame:
     """Shingles that more than ``block`` hot documents would have as keys: those known, and what comes up in their places.
 
     Only the shingles that would be keys are counted, not whole sets.
-    Documents with a crowded one among them are looked at again, twice as deep.
+    Documents with a crowded one among them are looked at again, twice as deep,
+    from the place where the last look ended: as sets are in order, each
+    shingle of a document is counted once at most, however many are crowded.
     """
-    left, depth = hot, 1
+    schema = "node long, shingles array<long>, at int"
+    left, depth, last, counts = hot.select("node", "shingles", F.lit(0).alias("at")), 1, None, None
     while True:
-        looked = stash(_anew(left, known, similarity, depth).select("node", "key"))
-        found = stash(looked.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block).select("key"))
+        names, rows = _beside(left, known)
+        looked = stash(arrow_map(rows.select("node", "shingles", "at", "late"), _looked(names, similarity, depth), f"{schema}, keys array<long>"))
+        if last:
+            unstash(last)
+        now = looked.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size"))
+        if counts:
+            now = now.unionByName(counts.where(F.col("size") <= block)).groupBy("key").agg(F.sum("size").alias("size"))
+        now = stash(now)
+        if counts:
+            unstash(counts)
+        found = stash(now.where(F.col("size") > block).select("key"))
         if found.isEmpty():
-            unstash(looked, found, *([] if left is hot else [left]))
+            unstash(looked, now, found)
             return known
-        more, again = stash(known.unionByName(found)), stash(left.join(looked.join(found, "key").select("node").distinct(), "node", "left_semi"))
-        unstash(looked, found, known, *([] if left is hot else [left]))
-        known, left, depth = more, again, 2 * depth
+        more = stash(known.unionByName(found))
+        names, rows = _beside(looked.select("node", "shingles", "at"), found)
+        left = arrow_map(rows, _deeper(names), schema)
+        known, last, counts, depth = more, looked, now, 2 * depth
 
 
 FS = [f"f{k}" for k in range(WIDE)]

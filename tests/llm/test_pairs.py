@@ -133,6 +133,38 @@ def test_similar_new_keys(spark, monkeypatch):
     assert max(n for columns, n, _ in seen if "key" in columns) <= 100 * len(rows)  # whole prefixes: 300
 
 
+def rows_made(spark, since, node):
+    """Output rows of the plan nodes that begin so, over all executions from one on."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for e in (executions.apply(k) for k in range(executions.size())):
+        if e.executionId() < since:
+            continue
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId()).toSeq()
+        values = {p._1(): p._2() for p in (values.apply(k) for k in range(values.size()))}
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            if n.desc().replace("SortMerge", "").replace("BroadcastHash", "").startswith(node):
+                total += sum(int(values.get(m.accumulatorId(), "0").replace(",", "")) for m in (n.metrics().apply(k) for k in range(n.metrics().size())) if m.name() == "number of output rows")
+    return total
+
+
+def test_similar_crowded_rows(spark):
+    """Near copies by the group: rows joined on shingles grow with the keys of documents, not with all their crowded shingles, and each shingle is looked at once."""
+    draw = random.Random(9)
+    text, made = words(draw, 200).split(), []
+    for n in (40, 80):
+        rows = [" ".join([*text[:k], f"other{k}", *text[k + 1 :]]) for k in range(n)]
+        store = spark._jsparkSession.sharedState().statusStore()
+        since = store.executionsCount()
+        since = store.executionsList().apply(since - 1).executionId() + 1 if since else 0
+        got = simhash.similar(frame(spark, list(enumerate(rows))), block=8).collect()
+        assert {r.component_id for r in got} == {0} and len(got) == n
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        made.append((rows_made(spark, since, "Join [key"), rows_made(spark, since, "Generate explode(keys")))
+    for n, (joined_, exploded) in zip((40, 80), made):
+        assert 0 < joined_ <= 80 * n and 0 < exploded <= 400 * n, made
+
+
 def removed(texts, width):
     split = [(t or "").split(" ") if t else [] for t in texts]
     split = [[w for w in s if w] for s in split]
