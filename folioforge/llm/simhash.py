@@ -329,8 +329,10 @@ def _crowded(hot: DataFrame, known: DataFrame, similarity: float, block: int) ->
             return known
         more = stash(known.unionByName(found))
         names, rows = _beside(looked.select("node", "shingles", "at"), found)
-        left = arrow_map(rows, _deeper(names), schema)
-        known, last, counts, depth = more, looked, now, 2 * depth
+        # stored, so that no task runs two Python steps, each in a worker of its own that stays
+        left = stash(arrow_map(rows, _deeper(names), schema))
+        unstash(looked)
+        known, last, counts, depth = more, left, now, 2 * depth
 
 
 FS = [f"f{k}" for k in range(WIDE)]

@@ -19,21 +19,25 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: some texts collide under every odd base, so these hashes find candidates only; Words.digests tells whole windows apart.
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of text hashed at once, one text at least: arrays beside them take some 50 times as much.
+PIECE = 250_000
+#: Powers that a worker keeps between tasks, enough for a piece; a longer text has its own, which go with it.
+KEPT = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i < n at least."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size = 1 << max(21, (n - 1).bit_length())
-        base = _BASES[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
+    if n <= KEPT and which in _POWERS:
+        return _POWERS[which]
+    out = []
+    for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        steps = np.full(max(n, KEPT), b, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps, out=steps))
+    if n <= KEPT:
         _POWERS[which] = (out[0], out[1])
-    return _POWERS[which]
+    return out[0], out[1]
 
 
 class Words:
@@ -64,29 +68,28 @@ class Words:
         #: Words of text i are those from first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, ends)
         self.n = np.diff(self.first)
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def _prefix(self, which: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words in the text with single spaces, and sums of value * base ** place before each byte."""
+    def _prefix(self, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words in the text with single spaces, sums of value * base ** place before each byte, and base ** -place."""
         if which not in self._sums:
             length = self.end - self.start
             place = np.concatenate([[0], np.cumsum(length + 1)])
             shift = np.repeat(place[:-1] - self.start, length)
             inside = np.flatnonzero(~_SPACE[self.data])
-            power, _ = _powers(which, int(place[-1]) + 1)
+            power, inverse = _powers(which, int(place[-1]) + 1)
             terms = np.zeros(int(place[-1]) + 1, dtype=np.uint64)
             terms[place[1:] - 1] = _VALUES[which][32] * power[place[1:] - 1]
             at = inside + shift
             terms[at] = _VALUES[which][self.data[inside]] * power[at]
             sums = np.zeros(len(terms) + 1, dtype=np.uint64)
             np.cumsum(terms, out=sums[1:])
-            self._sums[which] = (place, sums)
+            self._sums[which] = (place, sums, inverse)
         return self._sums[which]
 
     def hashes(self, at: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         """Hashes of the ``width`` words from each word in ``at``; all must lie in their texts."""
-        place, sums = self._prefix(which)
-        _, inverse = _powers(which, int(place[-1]) + 1)
+        place, sums, inverse = self._prefix(which)
         lo, hi = place[at], place[at + width] - 1
         x = (sums[hi] - sums[lo]) * inverse[lo]
         x ^= x >> np.uint64(32)
@@ -171,7 +174,7 @@ def _first_level(target: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(_once(whole), "text", 1_000_000):
+            for batch in pieces(_once(whole), "text", PIECE):
                 words = Words(batch)
                 starts = words.windows(target)
                 picked, full = _chosen(words, starts, target, width)
@@ -210,7 +213,7 @@ def _next_level(target: int, width: int, wider: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(_once(whole), "text", 1_000_000):
+            for batch in pieces(_once(whole), "text", PIECE):
                 words = Words(batch)
                 alive = _alive(words, batch.column("places").to_pylist(), target, width)
                 if wider == target:
@@ -246,7 +249,7 @@ def _removal(target: int, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text", 1_000_000):
+            for batch in pieces(whole, "text", PIECE):
                 words = Words(batch)
                 gone = np.zeros(len(words.start) + 1, dtype=np.int64)
                 for i, (own, copies) in enumerate(zip(batch.column("places").to_pylist(), batch.column("copies").to_pylist())):

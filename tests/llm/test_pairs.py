@@ -165,6 +165,24 @@ def test_similar_crowded_rows(spark):
         assert 0 < joined_ <= 80 * n and 0 < exploded <= 400 * n, made
 
 
+def test_similar_one_python_step(spark, monkeypatch):
+    """Looking for crowded shingles needs one Python worker a task: what is looked at again is stored before."""
+    draw = random.Random(9)
+    text, looks, real = words(draw, 200).split(), [], simhash.stash
+
+    def stash(df):
+        if "at" in df.columns:
+            looks.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return real(df)
+
+    monkeypatch.setattr(simhash, "stash", stash)
+    sets = [simhash.shingle_set(" ".join([*text[:k], f"other{k}", *text[k + 1 :]]).encode(), 5).view(np.int64).tolist() for k in range(40)]
+    hot = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    got = {r.key for r in simhash._crowded(hot, spark.createDataFrame([(sets[0][0],)], "key long"), 0.8, 8).collect()}
+    assert all(sum(key in own for own in sets) > 8 for key in got) and len(got) > 20
+    assert len(looks) > 2 and set(looks) == {1}
+
+
 def removed(texts, width):
     split = [(t or "").split(" ") if t else [] for t in texts]
     split = [[w for w in s if w] for s in split]
@@ -209,6 +227,37 @@ def test_substrings_long_text(monkeypatch):
         assert (got == want).all()
 
 
+def test_substrings_worker_memory(monkeypatch):
+    """A worker takes little for a full batch and keeps little afterwards, also of one long text; the hashes are those of each text alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = random.Random(20)
+    texts = [words(draw, 1500) for _ in range(400)]
+    batch = lambda own: pa.RecordBatch.from_pydict({"text": own, "k1": list(range(len(own))), "k2": [0] * len(own)})
+    first = substrings._first_level(35, 9)
+    monkeypatch.setattr(substrings, "_POWERS", {})
+    whole = batch(texts)
+    assert whole.nbytes > 3_000_000
+    tracemalloc.start()
+    try:
+        out = [b for b in first(iter([whole]))]
+        assert tracemalloc.get_traced_memory()[1] < 40_000_000
+        long = " ".join(texts)
+        for width in (18, 35):
+            for _ in substrings._next_level(35, width // 2, width)(iter([pa.RecordBatch.from_pydict({"text": [long], "k1": [0], "k2": [0], "places": [[0, 1]], "copied": pa.array([None], pa.list_(pa.struct([("k2", pa.int64()), ("copies", pa.int64())])))})])):
+                pass
+        assert tracemalloc.get_traced_memory()[0] < 20_000_000
+    finally:
+        tracemalloc.stop()
+    parts = {(r["k1"], r["pos"], r["h"]) for b in out for r in b.to_pylist()}
+    assert parts == {(k, r["pos"], r["h"]) for k, t in enumerate(texts) for b in first(iter([batch([t])])) for r in b.to_pylist()}
+    one, other = (substrings.Words(batch([t])) for t in (long, texts[0]))
+    for which in (0, 1):
+        assert (one.hashes(np.arange(900), 35, which) == other.hashes(np.arange(900), 35, which)).all()
+
+
 def test_substrings_same_polynomial(spark):
     """A Thue-Morse word and its complement agree under every polynomial modulo 2 ** 64; they are different words."""
     one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
